@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -66,3 +68,9 @@ def labelled_sample(
     rows = rows.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
     return [(int(r["doc_id"]), int(r["y"])) for r in picked]
+
+
+def worker_cache() -> dict:
+    """A dict that lives as long as the Python worker. (Functions are unpickled for every task, and their globals with them.)"""
+    module = sys.modules.setdefault("_quadrille_worker_cache", types.ModuleType("_quadrille_worker_cache"))
+    return module.__dict__
