@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm, mixing, packing, quality_rules, sharding, simhash
+from . import exact_dedup, lm, mixing, packing, quality, quality_rules, sharding, simhash, toxicity
 
 #: The shards that documents are placed on.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -21,6 +21,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_severity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id")
     return sharding.assign_shards(docs, "doc_id", SHARDS)
@@ -47,8 +51,12 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op4_sharding, op5_mixing, op6_simhash, op7_packing, op8_exact_dedup, op9_lm_scoring)
+    f.__name__: f for f in (op2_quality_rules, op3_toxicity, op4_sharding, op5_mixing, op6_simhash, op7_packing, op8_exact_dedup, op9_lm_scoring, op10_quality)
 }
 
 _SHARDING_SQL = f"""
