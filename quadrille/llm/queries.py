@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm, mixing, packing, quality, quality_rules, sharding, simhash, toxicity
+from . import exact_dedup, lm, mixing, packing, quality, quality_rules, secrets, sharding, simhash, toxicity
 
 #: The shards that documents are placed on.
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -56,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_rules, op3_toxicity, op4_sharding, op5_mixing, op6_simhash, op7_packing, op8_exact_dedup, op9_lm_scoring, op10_quality)
+    f.__name__: f for f in (op1_secrets, op2_quality_rules, op3_toxicity, op4_sharding, op5_mixing, op6_simhash, op7_packing, op8_exact_dedup, op9_lm_scoring, op10_quality)
 }
 
 _SHARDING_SQL = f"""
@@ -79,4 +83,4 @@ FROM t WINDOW w AS (PARTITION BY text)
 
 def oracle_sql() -> dict[str, str]:
     owners = ",".join(map(str, sharding.lookup_table(SHARDS)))
-    return {"op4_sharding": _SHARDING_SQL.format(owners=owners), "op8_exact_dedup": _EXACT_SQL}
+    return {"op1_secrets": secrets.oracle_sql(), "op4_sharding": _SHARDING_SQL.format(owners=owners), "op8_exact_dedup": _EXACT_SQL}

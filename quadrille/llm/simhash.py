@@ -16,6 +16,7 @@ group is larger than two parts. A group returns a spanning forest of its links,
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,25 +34,31 @@ TASKS = 16_384
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
-    """The fingerprint of a text in UTF-8: A-Z lower-cased, words between ASCII white space, ``width``-word shingles with repeats.
-
-    Fewer words than that are one shingle; no word gives 0.
-    """
+def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each ``width``-word shingle in order: A-Z lower-cased, words between ASCII white space. Fewer words are one shingle, none is none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return digest(joined, seed)
+        return np.array([digest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[: -width])).tolist()
-    hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    starts = np.concatenate(([0], ends[:-width])).tolist()
+    return np.array([digest(joined[s:e], seed) for s, e in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that more than half of the hashes have set."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
+    """The 64-bit fingerprint of a text in UTF-8; without a word it is 0."""
+    return int(majority(shingle_hashes(text, width, seed)))
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -66,40 +73,48 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def _planes(fps: np.ndarray, words: np.ndarray, lanes: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bit planes (64, n_words) of fingerprints placed at (word, lane), and the mask of lanes in use."""
-    planes, bit = np.zeros((64, n_words), np.uint64), np.uint64(1) << lanes.astype(np.uint64)
-    order = np.argsort(words, kind="stable")
-    heads = np.flatnonzero(np.diff(words[order], prepend=-1))
-    for p in range(64):
-        planes[p, words[order[heads]]] = np.bitwise_or.reduceat((fps >> np.uint64(p) & np.uint64(1))[order] * bit[order], heads)
+    """The bit planes (bits, n_words) of fingerprints (n, k words of 64 bits) placed at (word, lane), and the mask of lanes in use."""
+    bits = 64 * fps.shape[1]
+    planes, bit = np.zeros((bits, n_words), np.uint64), np.uint64(1) << lanes.astype(np.uint64)
+    # Rows come in the order of their words.
+    heads = np.flatnonzero(np.diff(words, prepend=-1))
+    for p in range(bits):
+        planes[p, words[heads]] = np.bitwise_or.reduceat((fps[:, p // 64] >> np.uint64(p % 64) & np.uint64(1)) * bit, heads)
     used = np.zeros(n_words, np.uint64)
-    used[words[order[heads]]] = np.bitwise_or.reduceat(bit[order], heads)
+    used[words[heads]] = np.bitwise_or.reduceat(bit, heads)
     return planes, used
 
 
 def _near(queries: np.ndarray, words: np.ndarray, planes: np.ndarray, used: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """For pairs of a query and a word of 64 lanes: the positions of pairs that have a hit, and the lanes that hit.
 
-    Carry-save counting: ``c0`` and ``c1`` are the low bits of each lane's distance, ``over`` marks lanes beyond ``radius`` (at most 3).
+    Carry-save counting: two planes and the lowest counter bit are added at once, and only the carry ripples on.
+    Counters begin so far below a power of two that a lane beyond ``radius`` overflows, which sticks in ``over``.
     """
-    live = np.arange(len(queries))
-    c0, c1 = np.zeros(len(queries), np.uint64), np.zeros(len(queries), np.uint64)
+    live, n = np.arange(len(queries)), radius.bit_length()
+    begin = (1 << n) - 1 - radius
+    count = [np.full(len(queries), _ALL if begin >> i & 1 else 0, np.uint64) for i in range(n)]
     over = ~used[words]
-    for p in range(64):
-        differs = planes[p, words] ^ (np.uint64(0) - (queries >> np.uint64(p) & np.uint64(1)))
-        carry = c0 & differs
-        c0 ^= differs
-        over |= c1 & carry
-        c1 ^= carry
-        if radius < 3:
-            over |= c1 & c0 if radius == 2 else c1 if radius == 1 else c0 | c1
-        if p % 4 == 3:
+    differs = lambda p: planes[p, words] ^ (np.uint64(0) - (queries[:, p // 64] >> np.uint64(p % 64) & np.uint64(1)))
+    for p in range(0, len(planes), 2):
+        a, b = differs(p), differs(p + 1)
+        if n:
+            half = count[0] ^ a
+            carry = (count[0] & a) | (half & b)
+            count[0] = half ^ b
+            for i in range(1, n):
+                count[i], carry = count[i] ^ carry, count[i] & carry
+            over |= carry
+        else:
+            over |= a | b
+        if p % 8 == 6:
             stay = over != _ALL
             if not stay.all():
-                live, c0, c1, over, queries, words = live[stay], c0[stay], c1[stay], over[stay], queries[stay], words[stay]
+                live, over, queries, words, count = live[stay], over[stay], queries[stay], words[stay], [c[stay] for c in count]
                 if not len(live):
                     break
-    return live, ~over
+    stay = over != _ALL
+    return live[stay], ~over[stay]
 
 
 def _find(parent: np.ndarray) -> np.ndarray:
@@ -123,9 +138,8 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_links(fps: np.ndarray, groups: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (member, root) of the links within each group. ``groups`` is sorted; equal values are a group."""
+    """A spanning forest (member, root) of the links within each group of fingerprints (n, words). ``groups`` is sorted; equal values are a group."""
     n = len(fps)
-    fps = fps.view(np.uint64)
     first = np.flatnonzero(np.diff(groups, prepend=groups[0] - 1 if n else 0))
     size = np.diff(np.append(first, n))
     nth = np.arange(n) - np.repeat(first, size)
@@ -168,31 +182,40 @@ def _buckets(fp: Column, radius: int) -> Column:
     return F.array(*[F.lit(t << 58) + F.shiftleft(part[i], edges[j + 1] - edges[j]) + part[j] for t, (i, j) in enumerate(pairs)])
 
 
-def links(distinct: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links between distinct fingerprints ``fp`` that join all that chains of links of ``radius`` or fewer bits join."""
-    rows = distinct.select("fp", F.explode(_buckets(F.col("fp"), radius)).alias("bucket"))
+def bucket_links(rows: DataFrame, radius: int, chunk: int = CHUNK, signatures: DataFrame | None = None) -> DataFrame:
+    """(a, b): links between nodes that join all that chains of links within buckets join.
+
+    ``rows`` has (node, bucket). A node is its own fingerprint (a long), or has a longer one, of bytes, in ``signatures`` (node, sig).
+    """
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != F.col("part")))
     groups = rows.join(sizes, "bucket").withColumn("part", part).withColumn("other", F.explode(others))
-    groups = groups.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "fp")
+    groups = groups.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node")
+    if signatures is not None:
+        groups = groups.join(signatures, "node")
+    kind = dict(rows.dtypes)["node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def solved(table: pa.Table) -> pa.RecordBatch:
-            fps, cols = table.column("fp").to_numpy(), [table.column(c).to_numpy() for c in ("bucket", "lo", "hi")]
+            node = table.column("node").combine_chunks()
+            if "sig" in table.column_names:
+                fps = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+            else:
+                fps = node.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
             new = np.zeros(len(fps), bool)
-            for c in cols:
-                new |= np.diff(c, prepend=c[:1]) != 0
+            for c in ("bucket", "lo", "hi"):
+                new |= np.diff(table.column(c).to_numpy(), prepend=table.column(c)[0].as_py()) != 0
             member, root = near_links(fps, np.cumsum(new), radius)
-            return pa.RecordBatch.from_arrays([pa.array(fps[member]), pa.array(fps[root])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([node.take(pa.array(member)), node.take(pa.array(root))], names=["a", "b"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
             if not table.num_rows:
                 continue
-            # The last group may go on in the next batch. It is never larger than two parts.
+            # The last group may go on in the next batch. It is never much larger than two parts.
             tail = np.ones(table.num_rows, bool)
             for c in ("bucket", "lo", "hi"):
                 v = table.column(c).to_numpy()
@@ -205,7 +228,13 @@ def links(distinct: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame
             yield solved(rest)
 
     sorted_rows = groups.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    return sorted_rows.mapInArrow(run, "a long, b long")
+    return sorted_rows.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def links(distinct: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
+    """Links between distinct fingerprints ``fp`` of ``radius`` or fewer differing bits, as ``bucket_links`` gives them."""
+    rows = distinct.select(F.col("fp").alias("node"), F.explode(_buckets(F.col("fp"), radius)).alias("bucket"))
+    return bucket_links(rows, radius, chunk)
 
 
 def near_groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
@@ -220,9 +249,76 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     roots = materialize(components(links(distinct, radius)), "components").withColumnRenamed("node", "fp")
     least = roots.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("least"))
     linked = roots.join(least, "root").select("fp", "least")
-    named = distinct.join(linked, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+#: For near-duplicates by similarity: words of 64 bits in a fingerprint, bands of minima, and minima in each band.
+WIDE = 8
+BANDS, BAND_ROWS = 16, 5
+_MIX = np.random.default_rng(20).integers(1, 1 << 63, BANDS * BAND_ROWS + WIDE, np.uint64) | np.uint64(1)
+
+
+def sketch(text: bytes, width: int) -> tuple[bytes, bytes, list[int]]:
+    """A text's set of shingles as a 128-bit digest, a SimHash of 512 bits, and its bands of minimum hashes."""
+    shingles = np.unique(shingle_hashes(text, width))
+    sig = np.zeros(WIDE, np.uint64)
+    low = np.full(BANDS * BAND_ROWS, _ALL, np.uint64)
+    for k in range(WIDE):
+        mixed = shingles * _MIX[k]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(32)
+        sig[k] = majority(mixed)
+    for at in range(0, len(shingles), 1024):
+        part = shingles[at : at + 1024, None] * _MIX[None, WIDE:]
+        low = np.minimum(low, (part ^ part >> np.uint64(32)).min(axis=0))
+    bands = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(low.reshape(BANDS, BAND_ROWS))]
+    return xxhash.xxh3_128_digest(shingles.tobytes()), sig.tobytes(), np.array(bands, np.uint64).view(np.int64).tolist()
+
+
+def radius_of(similarity: float) -> int:
+    """The bits of a wide fingerprint that two sets of this Jaccard similarity, of equal size, differ in, and three quarters of a standard deviation more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(64 * WIDE * share + 0.75 * (64 * WIDE * share * (1 - share)) ** 0.5)
+
+
+def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of documents whose sets of ``width``-word shingles are this similar, in chains; the id is the smallest.
+
+    Fingerprints of 64 bits can't tell 0.8 from 0.6, and bit blocks don't find pairs that far apart, so this takes
+    512 bits, and bands of minimum hashes of the same shingles deal the buckets (a pair at 0.8 meets in one of 16 with
+    99.8 %); the comparison inside a bucket is the same. Texts without words are alike. Null ids are passed over.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, sig, bands = zip(*(sketch(t, width) for t in rows_of(batch)), strict=True) if batch.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "sig", "bands"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    sketches = materialize(whole_texts(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, node binary, sig binary, bands array<long>"), "sketches")
+    # Of equal sets one row: all have the same signature and bands.
+    distinct = materialize(sketches.groupBy("node").agg(F.min("doc_id").alias("first")), "distinct")
+    once = sketches.dropDuplicates(["node"])
+    rows = once.select("node", F.explode("bands").alias("bucket"))
+    roots = materialize(components(bucket_links(rows, radius_of(similarity), signatures=once.select("node", "sig"))), "components")
+    least = roots.join(distinct, "node").groupBy("root").agg(F.min("first").alias("least"))
+    linked = roots.join(least, "root").select("node", "least")
+    named = materialize(distinct.join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("component_id")), "named")
+    return sketches.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` under the same columns; of each group of similar documents only that of the smallest id stays.
+
+    Rows that share an id are one document. Rows without an id stay. An empty table stays empty.
+    """
+    found = similar_groups(docs, width, similarity)
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = materialize(gone, "gone")
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
