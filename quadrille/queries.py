@@ -1,7 +1,6 @@
-"""Registered geometry queries and their SQL for DuckDB."""
+"""All registered geometry queries."""
 
-QUERIES = {}
+from .plans import bounds_and_points, kernels, measures_and_meshes, motion_and_pairs  # noqa: F401
+from .plans.registry import QUERIES, oracle_sql
 
-
-def oracle_sql():
-    return {}
+__all__ = ["QUERIES", "oracle_sql"]
