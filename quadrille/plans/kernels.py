@@ -1 +1,245 @@
-"""Queries of the iterative kernels."""
+"""Queries of the iterative kernels: pairs stream through numpy in Arrow batches, groups through pandas."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import boxes as B
+from ..kernels import gjk, hulls, solids
+from ..operators import generators, joins, meshes
+from ..sources.tables import view
+from .registry import BOXSQL, MEET, boxes_of, query, r6, renamed
+
+#: First registered wins: (kind, kind, query) -> function of a DataFrame.
+KERNELS: dict[tuple[str, str, str], Callable] = {}
+
+
+def register_kernel(type1: str, type2: str, name: str, fn: Callable) -> None:
+    """Add a pair query of one's own. The first registered for a pair of shapes and a query is the one used."""
+    KERNELS.setdefault((type1, type2, name), fn)
+
+
+def dispatch(type1: str, type2: str, name: str) -> Callable | None:
+    """The kernel for a pair of shapes in either order; None where the pair is unsupported."""
+    return KERNELS.get((type1, type2, name)) or KERNELS.get((type2, type1, name))
+
+
+_BITS = np.array([[i, j, k] for i in (0, 1) for j in (0, 1) for k in (0, 1)], float)
+
+
+def _cloud(rows: pd.DataFrame, prefix: str) -> np.ndarray:
+    """The corners (n, 8, 3) of boxes in columns."""
+    lo, hi = (rows[[f"{prefix}{e}{k}" for k in "xyz"]].to_numpy(float) for e in ("lo", "hi"))
+    return lo[:, None] + (hi - lo)[:, None] * _BITS
+
+
+def _map(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                yield fn(rows)
+
+    return df.mapInPandas(run, schema)
+
+
+_GAP = "sqrt(greatest(a.lox-b.hix,b.lox-a.hix,CAST(0 AS DOUBLE))*greatest(a.lox-b.hix,b.lox-a.hix,CAST(0 AS DOUBLE))+greatest(a.loy-b.hiy,b.loy-a.hiy,CAST(0 AS DOUBLE))*greatest(a.loy-b.hiy,b.loy-a.hiy,CAST(0 AS DOUBLE))+greatest(a.loz-b.hiz,b.loz-a.hiz,CAST(0 AS DOUBLE))*greatest(a.loz-b.hiz,b.loz-a.hiz,CAST(0 AS DOUBLE)))"
+
+
+@query(f"WITH b AS ({BOXSQL}) SELECT a.id AS a_id, round({_GAP},5)+0 AS distance FROM b a JOIN b b ON b.id=a.id+1")
+def gjk_distance(spark, sf):
+    """GJK on the corners of each box and the next; the oracle is the closed form."""
+    pairs = boxes_of(spark, sf, "a_").join(boxes_of(spark, sf, "b_"), F.col("b_id") == F.col("a_id") + 1)
+
+    def run(rows):
+        dist, *_ = gjk.closest(_cloud(rows, "a_"), _cloud(rows, "b_"))
+        return pd.DataFrame({"a_id": rows.a_id, "distance": dist})
+
+    return _map(pairs, run, "a_id long, distance double").select("a_id", (F.round("distance", 5) + 0.0).alias("distance"))
+
+
+@query(f"WITH b AS ({BOXSQL}) SELECT a.id AS a_id, b.id AS b_id, round(-least(a.hix-b.lox,b.hix-a.lox,a.hiy-b.loy,b.hiy-a.loy,a.hiz-b.loz,b.hiz-a.loz),5)+0 AS dist FROM b a JOIN b b ON a.id<b.id AND a.id%5=0 AND b.id%5=0 AND {MEET}")
+def epa_contact(spark, sf):
+    """Penetration depths of overlapping boxes; the oracle is the least overlap of an axis."""
+    found = joins.self_pairs(boxes_of(spark, sf).where("id % 5 = 0"), B.Box.columns, "id")
+
+    def run(rows):
+        zero = np.zeros(len(rows))
+        dist, _ = gjk.contact(_cloud(rows, "a_"), zero, _cloud(rows, "b_"), zero)
+        return pd.DataFrame({"a_id": rows.a_id, "b_id": rows.b_id, "dist": dist})
+
+    return _map(found, run, "a_id long, b_id long, dist double").select("a_id", "b_id", (F.round("dist", 5) + 0.0).alias("dist"))
+
+
+@query("""WITH p AS (SELECT a.id AS a_id, a.x-b.x AS mx, a.y-b.y AS my, a.z-b.z AS mz, a.r+b.r AS r, CAST(b.id%5-a.id%5 AS DOUBLE) AS vx, CAST(b.id%7-a.id%7 AS DOUBLE) AS vy, CAST(b.id%3-a.id%3 AS DOUBLE) AS vz FROM g_balls a JOIN g_balls b ON b.id=a.id+1),
+  q AS (SELECT *, vx*vx+vy*vy+vz*vz AS a, -(mx*vx+my*vy+mz*vz) AS b, mx*mx+my*my+mz*mz-r*r AS c FROM p),
+  t AS (SELECT a_id, CASE WHEN c<=0 THEN CAST(0 AS DOUBLE) WHEN a>0 AND b*b-a*c>=0 AND b<=0 THEN (-b-sqrt(greatest(b*b-a*c,CAST(0 AS DOUBLE))))/nullif(a,0) END AS t FROM q) SELECT a_id, round(t,3)+0 AS toi FROM t WHERE t<=90""")
+def gjk_toi(spark, sf):
+    """Conservative advancement on balls, as points with a radius; the oracle is the closed form."""
+    balls = view(spark, sf, "g_balls").withColumns({k: (F.col("id") % m).cast("double") for k, m in (("vx", 5), ("vy", 7), ("vz", 3))})
+    pairs = renamed(balls, "a_").join(renamed(balls, "b_"), F.col("b_id") == F.col("a_id") + 1)
+
+    def run(rows):
+        at = lambda p, ks: rows[[f"{p}{k}" for k in ks]].to_numpy(float)
+        t = gjk.time_of_impact(at("a_", "xyz")[:, None], rows.a_r.to_numpy(), at("b_", "xyz")[:, None], rows.b_r.to_numpy(), at("b_", ("vx", "vy", "vz")) - at("a_", ("vx", "vy", "vz")), 90.0)
+        return pd.DataFrame({"a_id": rows.a_id, "toi": t})
+
+    return _map(pairs, run, "a_id long, toi double").where("toi IS NOT NULL AND NOT isnan(toi)").select("a_id", (F.round("toi", 3) + 0.0).alias("toi"))
+
+
+@query()
+def nonlinear_toi(spark, sf):
+    """Turning boxes that move towards the next one: when they first touch it."""
+    pairs = boxes_of(spark, sf, "a_").where("a_id % 4 = 0").join(boxes_of(spark, sf, "b_"), F.col("b_id") == F.col("a_id") + 1)
+
+    def run(rows):
+        a, b = _cloud(rows, "a_"), _cloud(rows, "b_")
+        zero, center = np.zeros(len(rows)), b.mean(1)
+        spin = np.tile([0.0, 0.0, 0.5], (len(rows), 1))
+        t = gjk.nonlinear_toi(a, zero, b, zero, (a.mean(1) - center) / 10, spin, center, 10.0)
+        return pd.DataFrame({"a_id": rows.a_id, "toi": t})
+
+    return _map(pairs, run, "a_id long, toi double").select("a_id", r6(F.when(~F.isnan("toi"), F.col("toi")), "toi"))
+
+
+def hull2_by(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """Hull vertices in order (key, n, x, y) of point groups of any size: hulls of Arrow batches first, whose points alone are shuffled."""
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            kept = [g.iloc[hulls.hull2(g[["x", "y"]].to_numpy())] for _, g in rows.groupby("k")]
+            if kept:
+                yield pd.concat(kept)
+
+    def final(rows: pd.DataFrame) -> pd.DataFrame:
+        p = rows[["x", "y"]].to_numpy()[hulls.hull2(rows[["x", "y"]].to_numpy())]
+        return pd.DataFrame({"k": rows["k"].iloc[0], "n": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1]})
+
+    slim = df.select(F.col(key).cast("long").alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
+    out = slim.mapInPandas(partial, "k long, x double, y double").groupBy("k").applyInPandas(final, "k long, n long, x double, y double")
+    return out.withColumnRenamed("k", key)
+
+
+@query("""WITH e AS (SELECT a.grp, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, a.id AS i, b.id AS j FROM g_points a JOIN g_points b ON a.grp=b.grp AND a.id<>b.id),
+  h AS (SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM g_points c WHERE c.grp=e.grp AND c.id<>e.i AND c.id<>e.j AND (bx-ax)*(c.y-ay)-(by_-ay)*(c.x-ax)<0))
+  SELECT CAST(grp AS BIGINT) AS grp, CAST(count(*) AS BIGINT) AS n, round(sum(ax*by_-bx*ay)/2,4)+0 AS area FROM h GROUP BY grp""")
+def convex_hull2(spark, sf):
+    from ..operators.aggregates import polygon_area
+
+    h = hull2_by(view(spark, sf, "g_points"), "grp", "x", "y")
+    area = polygon_area(h, "x", "y", "n", "grp").select("grp", (F.round("area", 4) + 0.0).alias("area"))
+    return h.groupBy("grp").agg(F.count("*").alias("n")).join(area, "grp")
+
+
+@query("SELECT id, round(hx*hy*hz*8,4)+0 AS volume, CAST(12 AS INTEGER) AS faces FROM g_boxes")
+def convex_hull3(spark, sf):
+    """Hulls of the corners of boxes and their centres."""
+
+    def run(rows):
+        out = []
+        for cloud in _cloud(rows, ""):
+            pts = np.concatenate([cloud, cloud.mean(0)[None]])
+            f = hulls.hull3(pts)
+            out.append((hulls.hull_volume(pts, f), len(f)))
+        return pd.DataFrame({"id": rows.id, "volume": [v for v, _ in out], "faces": [n for _, n in out]})
+
+    return _map(boxes_of(spark, sf), run, "id long, volume double, faces int").select("id", (F.round("volume", 4) + 0.0).alias("volume"), "faces")
+
+
+@query()
+def oriented_boxes(spark, sf):
+    """Boxes along the principal axes of point groups, from their covariance (one aggregate) and projections (another)."""
+    pts = view(spark, sf, "g_points")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        c, _, h = hulls.obb(rows[["x", "y", "z"]].to_numpy())
+        return pd.DataFrame([(int(rows.grp.iloc[0]), *c, *sorted(h))], columns=["grp", "cx", "cy", "cz", "h0", "h1", "h2"])
+
+    got = pts.groupBy("grp").applyInPandas(run, "grp long, cx double, cy double, cz double, h0 double, h1 double, h2 double")
+    return got.select("grp", *[r6(F.col(c), c) for c in got.columns if c != "grp"])
+
+
+_STAR = np.array([(5.0, -4.5), (6, -1), (9.5, -1), (6.5, 1), (7.8, 4.5), (5, 2.2), (2.2, 4.5), (3.5, 1), (0.5, -1), (4, -1)])
+_STAR_AREA = abs(hulls.area2(_STAR)) / 2
+
+
+@query(f"SELECT id, CAST(8 AS INTEGER) AS triangles, round(r*r*CAST({_STAR_AREA!r} AS DOUBLE),4)+0 AS area FROM g_balls")
+def ear_clipping(spark, sf):
+    """Stars of the balls' sizes cut into triangles; the oracle knows their area."""
+
+    def run(rows):
+        out = []
+        for r in rows.r:
+            poly = _STAR * r
+            t = hulls.ear_clip(poly)
+            out.append((len(t), sum(hulls.area2(poly[k]) for k in t) / 2))
+        return pd.DataFrame({"id": rows.id, "triangles": [n for n, _ in out], "area": [a for _, a in out]})
+
+    return _map(view(spark, sf, "g_balls").select("id", "r"), run, "id long, triangles int, area double").select("id", "triangles", (F.round("area", 4) + 0.0).alias("area"))
+
+
+@query("""WITH p AS (SELECT a.id AS a_id, b.id AS b_id, least(a.x+a.r,b.x+b.r)-greatest(a.x-a.r,b.x-b.r) AS w, least(a.y+a.r,b.y+b.r)-greatest(a.y-a.r,b.y-b.r) AS h FROM g_balls a JOIN g_balls b ON a.id<b.id) SELECT a_id, b_id, round(w*h,4)+0 AS area FROM p WHERE w>CAST(0.001 AS DOUBLE) AND h>CAST(0.001 AS DOUBLE)""")
+def polygon_intersection(spark, sf):
+    """What squares around the balls share, as general polygons; the oracle is the closed form."""
+    balls = view(spark, sf, "g_balls").select("id", "x", "y", "r")
+    box = lambda p: B.ball_box(B.V(f"{p}x", f"{p}y"), F.col(f"{p}r"))
+    found = joins.self_pairs(balls, box, "id")
+    square = np.array([(-1.0, -1.0), (1, -1), (1, 1), (-1, 1)])
+
+    def run(rows):
+        at = lambda p, i: square * rows[f"{p}r"].iloc[i] + rows[[f"{p}x", f"{p}y"]].iloc[i].to_numpy(float)
+        area = [sum(abs(hulls.area2(k)) / 2 for k in hulls.intersect_polygons(at("a_", i), at("b_", i))) for i in range(len(rows))]
+        return pd.DataFrame({"a_id": rows.a_id, "b_id": rows.b_id, "area": area})
+
+    return _map(found, run, "a_id long, b_id long, area double").where("area > 0.000001").select("a_id", "b_id", (F.round("area", 4) + 0.0).alias("area"))
+
+
+@query()
+def voxelized_meshes(spark, sf):
+    """Box meshes as solids of unit voxels: cells on the surface, and with the inside filled."""
+    solid = boxes_of(spark, sf).where("id % 20 = 0").withColumnRenamed("id", "mesh_id")
+    v, f = generators.box_mesh(solid, "mesh_id", B.Box.columns())
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b, c = (rows[[f"{n}{k}" for k in "xyz"]].to_numpy() for n in "abc")
+        surface = solids.surface_voxels(a, b, c, np.zeros(3), 1.0)
+        return pd.DataFrame([(int(rows.mesh_id.iloc[0]), len(surface), len(solids.flood_fill(surface)))], columns=["mesh_id", "surface", "filled"])
+
+    return meshes.triangles(v, f).groupBy("mesh_id").applyInPandas(run, "mesh_id long, surface long, filled long")
+
+
+@query()
+def convex_decomposition(spark, sf):
+    """Voxel layers (one solid for each iz) cut into nearly convex parts: their number and how many voxels each solid has."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        cells = rows[["ix", "iy", "iz"]].to_numpy()
+        parts = solids.decompose(cells, 0.2, 8)
+        return pd.DataFrame([(int(rows.iz.iloc[0]), len(parts), sum(map(len, parts)))], columns=["iz", "parts", "voxels"])
+
+    return view(spark, sf, "g_voxels").where("iz <= 3").groupBy("iz").applyInPandas(run, "iz long, parts int, voxels long")
+
+
+@query()
+def triangle_triangle(spark, sf):
+    """Segments that pairs of triangles share: candidates by a cell join on their boxes."""
+    tri = lambda p: tuple(B.V(*(f"{p}{c}" for c in cs)) for cs in (("ax", "ay", "az"), ("bx", "by_", "bz"), ("cx", "cy", "cz")))
+    found = joins.self_pairs(view(spark, sf, "g_triangles"), lambda p: B.triangle_box(*tri(p)), "id")
+    cols = ["ax", "ay", "az", "bx", "by_", "bz", "cx", "cy", "cz"]
+
+    def run(rows):
+        a, b = (rows[[f"{p}{c}" for c in cols]].to_numpy(float).reshape(-1, 3, 3) for p in ("a_", "b_"))
+        got = [solids.triangles_intersect(x, y) for x, y in zip(a, b, strict=True)]
+        length = [np.nan if g is None else float(np.linalg.norm(g[1] - g[0])) for g in got]
+        return pd.DataFrame({"a_id": rows.a_id, "b_id": rows.b_id, "length": length})
+
+    return _map(found, run, "a_id long, b_id long, length double").where("length IS NOT NULL AND NOT isnan(length)").select("a_id", "b_id", r6(F.col("length"), "length"))
+
+
+register_kernel("cuboid", "cuboid", "distance", gjk_distance)
+register_kernel("cuboid", "cuboid", "contact", epa_contact)
+register_kernel("ball", "ball", "toi", gjk_toi)
