@@ -1,8 +1,8 @@
 """Quality rules: surface counts, then the log-likelihood ratio of hashed n-grams between a trusted target and the raw corpus.
 
 N-grams are of bytes (``N`` in a row, white space runs as they stand), hashed to ``BUCKETS``. Two multinomials
-with add-one smoothing are counted in one pass: over all documents, and over the trusted ones, a bounded sample
-of rows labelled good. A document's ratio is the sum of its n-grams' log ratios over their number, so long
+are counted in one pass: over all documents, add-one smoothed, and over the trusted ones, a bounded sample of rows
+labelled good, smoothed towards the former. A document's ratio is the sum of its n-grams' log ratios over their number, so long
 and short texts meet one threshold. Integer counts in, one fixed order of summation: the verdict is repeatable.
 """
 
@@ -93,11 +93,13 @@ def target_log_ratio(docs: DataFrame, trusted: list[int]) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
     got = whole_texts(docs, "doc_id").mapInArrow(run, "bucket int, raw long, target long")
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
+    raw, target = np.ones(BUCKETS), np.zeros(BUCKETS)
     for r in got.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r["bucket"]] += r["raw"]
         target[r["bucket"]] += r["target"]
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    share = raw / raw.sum()
+    # A prior of as many n-grams as there are buckets, spread as the raw corpus spreads them: little evidence, little verdict.
+    return np.log((target + BUCKETS * share) / (target.sum() + BUCKETS)) - np.log(share)
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, threshold: float = THRESHOLD) -> DataFrame:

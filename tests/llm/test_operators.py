@@ -1,0 +1,497 @@
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from quadrille.llm import exact_dedup, lm, mixing, packing, quality, quality_rules, secrets, sharding, simhash, toxicity
+
+from .conftest import SCHEMA, make
+
+BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def collect(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def key(rows):
+    return sorted(rows, key=repr)
+
+
+# Every operator: empty tables, and columns named like its own ------------------------------------------
+
+ALL = {
+    "op1": lambda d, lab: secrets.find_secrets(d),
+    "op2": lambda d, lab: quality_rules.apply_rules(d, lab),
+    "op3": lambda d, lab: toxicity.score_severity(d, lab),
+    "op3_stage": lambda d, lab: toxicity.without_toxic(d, lab),
+    "op4": lambda d, lab: sharding.assign_shards(d, "doc_id", ["a", "b", "c"], 251),
+    "op5": lambda d, lab: mixing.mix_sources(d),
+    "op5_stage": lambda d, lab: mixing.mixed_documents(d),
+    "op6": lambda d, lab: simhash.near_groups(d),
+    "op6_stage": lambda d, lab: simhash.without_near_duplicates(d),
+    "op7": lambda d, lab: packing.pack(d, BPE),
+    "op8": lambda d, lab: exact_dedup.exact_dedup(d),
+    "op8_stage": lambda d, lab: exact_dedup.distinct_documents(d),
+    "op9": lambda d, lab: lm.score_documents(d, PIECES),
+    "op10": lambda d, lab: quality.classify(d, lab),
+}
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_empty(spark, labels, name):
+    assert collect(ALL[name](make(spark, []), labels)) == []
+    assert collect(ALL[name](make(spark, []), labels.limit(0))) == []
+
+
+@pytest.mark.parametrize("name", ALL)
+def test_clashing_columns(clashing, labels, name):
+    got = ALL[name](clashing, labels)
+    assert {r["doc_id"] for r in got.collect()} == {1, 2}
+    if name.endswith("stage"):
+        assert got.columns == clashing.columns
+
+
+# op1 ---------------------------------------------------------------------------------------------------
+
+
+def test_secrets_base_by_brute_force(docs):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    want = []
+    for r in docs.collect():
+        text = r["text"] or ""
+        found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        found.sort()
+        n = [sum(k == i for _, k, _ in found) for i in range(3)]
+        joined = ",".join(f"{['assign', 'access', 'hex'][k]}:{a}:{b}" for a, k, b in found)
+        want.append((r["doc_id"], *n, hashlib.sha256(joined.encode()).hexdigest()))
+    assert key(r[:5] for r in collect(secrets.find_secrets(docs))) == key(want)
+
+
+def test_secrets_link_only_complete_triples(spark):
+    rows = [
+        (1, "user: bob secret=abcde https://x.y/z", "", "", 0),
+        (2, "user: bob secret=abcde", "", "", 0),
+        (3, "user: bob " + "x " * 300 + "secret=abcde https://x.y/z", "", "", 0),
+    ]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(make(spark, rows)).collect()}
+    assert got == {1: "weak_id:0:9,weak_secret:10:22,endpoint:23:36", 2: "", 3: ""}
+
+
+def test_secrets_sql(docs):
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    cols = "doc_id, n_assign, n_access, n_hex, base_sha256, spans"
+    want = con.sql(f"SELECT {cols} FROM ({secrets.oracle_sql()})").fetchall()
+    assert key(collect(secrets.find_secrets(docs))) == key(want)
+
+
+# op2 ---------------------------------------------------------------------------------------------------
+
+
+def test_quality_rules_by_brute_force(docs, labels):
+    got = {}
+    for r in quality_rules.apply_rules(docs, labels).collect():
+        got.setdefault(r["doc_id"], []).append(tuple(r)[1:7])
+    for r in docs.collect():
+        text = r["text"] or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        again = {i + k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+        n = len(words)
+        want = (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again), n < 50 or 100 * len(again) > 50 * n)
+        assert want in got[r["doc_id"]]
+
+
+def test_quality_rules_ratio(spark):
+    clean, junk = "the cat sat on the mat and ran away " * 8, "$$ %% && ## zz qq " * 12
+    docs = make(spark, [(i, f"{clean}{'the mat ' * (i % 3)}", "", "", 0) for i in range(30)] + [(100 + i, f"{junk} {'abcdefghij'[i]} x", "", "", 0) for i in range(10)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(15)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["log_ratio"] for r in quality_rules.apply_rules(docs, labels).collect()}
+    assert min(v for k, v in got.items() if k < 100) > 0 > max(v for k, v in got.items() if k >= 100)
+    again = {r["doc_id"]: r["log_ratio"] for r in quality_rules.apply_rules(docs.repartition(7), labels).collect()}
+    assert again == got
+
+
+# op3 ---------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_finds_marked_texts(spark):
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(120)]
+    rows, labels = [], []
+    for i in range(400):
+        text = list(rng.choice(words, 40))
+        toxic = i % 5 == 0
+        for k in range(1 + i % 3 if toxic else 0):
+            text[k * 7] = "vile"
+        rows.append((i, " ".join(text), "", "", 0))
+        labels.append((i, 1, int(toxic)))
+    docs, lab = make(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_severity(docs, lab.where("doc_id < 200")).collect()}
+    held = [r for i, r in got.items() if i >= 200]
+    assert np.mean([r["rejected"] == (r["doc_id"] % 5 == 0) for r in held]) > 0.97
+    assert all(0 <= r["severity"] <= 3 for r in got.values())
+    assert {r["doc_id"] for r in toxicity.without_toxic(docs, lab.where("doc_id < 200")).collect()} == {i for i, r in got.items() if not r["rejected"]}
+
+
+def test_thresholds_ascend():
+    rng = np.random.default_rng(2)
+    rows = [toxicity.features(" ".join(rng.choice(["aaaa", "bbbb", "cccc"], 5)).encode()) for _ in range(60)]
+    model = toxicity.fit(rows, np.arange(60) % 4, steps=50)
+    assert (np.diff(model.thresholds) > 0).all()
+
+
+# op4 ---------------------------------------------------------------------------------------------------
+
+
+def test_lookup_table_by_brute_force():
+    shards, size = ["a", "b", "c", "d"], 31
+    order = []
+    for s in shards:
+        d = hashlib.md5(s.encode()).digest()
+        offset, stride = int.from_bytes(d[:8], "big") % size, int.from_bytes(d[8:], "big") % (size - 1) + 1
+        order.append([(offset + k * stride) % size for k in range(size)])
+    table = {}
+    while len(table) < size:
+        for i, prefs in enumerate(order):
+            if len(table) < size:
+                table[next(p for p in prefs if p not in table)] = i
+    assert sharding.lookup_table(shards, size) == [table[i] for i in range(size)]
+
+
+def test_losing_a_shard_moves_little():
+    names = [f"n{i}" for i in range(10)]
+    a, b = sharding.lookup_table(names, 4099), sharding.lookup_table(names[:-1], 4099)
+    counts = Counter(a)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    moved = sum(x != y for x, y in zip(a, b, strict=True) if x != 9)
+    assert moved < 0.1 * len(a)
+
+
+def test_shards(docs):
+    got = sharding.assign_shards(docs, "doc_id", ["a", "b", "c"], 251)
+    table = sharding.lookup_table(["a", "b", "c"], 251)
+    for r in got.collect():
+        slot = int(hashlib.md5(("" if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest()[:15], 16) % 251
+        assert (r["slot"], r["shard"]) == (slot, table[slot])
+    with pytest.raises(ValueError):
+        sharding.lookup_table(["a"], 10)
+
+
+# op5 ---------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("plan", [mixing.MixPlan(), mixing.MixPlan(max_epochs=2.5), mixing.MixPlan(max_epochs=None, entropy=0.97), mixing.MixPlan(token_budget=6000)])
+def test_mixing_by_brute_force(docs, plan):
+    rows = [(r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in docs.collect()]
+    tokens = Counter()
+    for _, s, n in rows:
+        tokens[s] += n
+    total = sum(tokens.values())
+    share = {s: n / total for s, n in tokens.items()}
+
+    def figure(a):
+        if plan.entropy is not None:
+            w = [p**a for p in share.values()]
+            return -sum(x / sum(w) * math.log(x / sum(w)) for x in w) / math.log(len(w))
+        f = [p ** (a - 1) for p in share.values()]
+        return max(f) / min(f)
+
+    target = plan.entropy if plan.entropy is not None else plan.max_epochs
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if figure(mid) > target else (lo, mid)
+    w = {s: p**hi for s, p in share.items()}
+    z = sum(w.values())
+    budget = plan.token_budget or max(tokens[s] / (x / z) for s, x in w.items())
+    got = mixing.mix_sources(docs, plan).collect()
+    for s in tokens:
+        mine = [r for r in got if r["source"] == s]
+        epochs = w[s] / z * budget / tokens[s]
+        if not mine:  # its first document is larger than its part of the budget
+            assert epochs < 1
+            continue
+        assert mine[0]["epochs"] == pytest.approx(epochs, abs=1e-6)
+        whole = math.floor(epochs + 1e-9)
+        for e in range(whole):
+            assert sum(r["n_tokens"] for r in mine if r["epoch"] == e) == tokens[s]
+        # The broken epoch takes documents in the permutation's order while they fit.
+        left = (epochs - whole) * tokens[s]
+        order = sorted({(r["place"], r["doc_id"], r["n_tokens"]) for r in mine if r["epoch"] == 0} | {(r["place"], r["doc_id"], r["n_tokens"]) for r in mine}, key=lambda x: x[0])
+        taken = sum(r["n_tokens"] for r in mine if r["epoch"] == whole)
+        assert taken <= left + 1e-6
+        if whole:
+            out = [n for p, d, n in order if (d, whole) not in {(r["doc_id"], r["epoch"]) for r in mine}]
+            assert not out or left - taken < max(n for _, _, n in order)
+    if plan.token_budget is None:
+        assert {r["doc_id"] for r in got} == {r[0] for r in rows}
+
+
+# op6 ---------------------------------------------------------------------------------------------------
+
+
+def brute_fingerprint(text, width=3):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps, radius):
+    parent = list(range(len(fps)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= radius:
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(fps))]
+
+
+def test_simhash_by_brute_force(docs):
+    rows = docs.collect()
+    fps = [brute_fingerprint(r["text"] or "") for r in rows]
+    roots = brute_components(fps, 3)
+    least = {}
+    for r, c in zip(rows, roots, strict=True):
+        if r["doc_id"] is not None:
+            least[c] = min(least.get(c, r["doc_id"]), r["doc_id"])
+    want = [(r["doc_id"], f"{f:016x}", least.get(c)) for r, f, c in zip(rows, fps, roots, strict=True)]
+    got = simhash.near_groups(docs)
+    got = got.select("doc_id", simhash.hex_fingerprint(got.fp), "component_id")
+    assert key(collect(got)) == key(want)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 5])
+def test_bit_sliced_links(radius):
+    rng = np.random.default_rng(radius)
+    base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    fps = np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 30, dtype=np.uint64)) for b in base])
+    groups = np.sort(rng.integers(0, 3, len(fps)))
+    member, root = simhash.near_links(fps.reshape(-1, 1), groups, radius)
+    mine = np.arange(len(fps))
+    mine[member] = root
+    for g in range(3):
+        at = np.flatnonzero(groups == g)
+        alone = brute_components([int(fps[i]) for i in at], radius)
+        assert [list(at).index(mine[i]) for i in at] == [min(k for k in range(len(at)) if alone[k] == alone[j]) for j in range(len(at))]
+
+
+def test_hot_bucket_is_cut_into_parts(spark):
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 1 << 62))
+    fps = {base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (150, 2))}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    from quadrille.llm.components import components
+
+    got = components(simhash.links(df, 3, chunk=16)).collect()
+    want = brute_components(sorted(fps), 3)
+    assert len({r["root"] for r in got}) == len({w for w in want if want.count(w) > 1})
+
+
+def test_near_duplicates_at_similarity(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(2000)]
+    rows = []
+    for i in range(20):
+        text = list(rng.choice(words, 300))
+        rows.append((10 * i, " ".join(text), "", "", 0))
+        text[40] = text[200] = "other"
+        rows.append((10 * i + 1, " ".join(text), "", "", 0))
+        half = text[:150] + list(rng.choice(words, 150))
+        rows.append((10 * i + 2, " ".join(half), "", "", 0))
+    left = {r["doc_id"] for r in simhash.without_near_duplicates(make(spark, rows)).collect()}
+    assert left == {10 * i + k for i in range(20) for k in (0, 2)}
+
+
+# op7 ---------------------------------------------------------------------------------------------------
+
+
+def test_packing_round_trip(docs):
+    got = packing.pack(docs, BPE, capacity=256).toPandas()
+    tok = Tokenizer.from_file(BPE)
+    want = Counter()
+    total = 0
+    for r in docs.collect():
+        ids = np.array(tok.encode(r["text"] or "", add_special_tokens=False).ids + [1], "<u4")
+        total += len(ids)
+        for n, at in enumerate(range(0, len(ids), 256)):
+            part = ids[at : at + 256]
+            want[(r["doc_id"] if r["doc_id"] is not None else -1, n, at, len(part), zlib.crc32(part.tobytes()))] += 1
+    got["doc_id"] = got["doc_id"].fillna(-1).astype(int)
+    assert Counter(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
+    for _, seq in got.sort_values("offset").groupby("sequence_id"):
+        ends = (seq.offset + seq.length).tolist()
+        assert [0, *ends[:-1]] == seq.offset.tolist() and ends[-1] <= 256
+    assert got.sequence_id.nunique() <= -(-total // 256) + 1
+
+
+def test_word_tokenizer_equals_whole_texts():
+    tok, mine = Tokenizer.from_file(BPE), packing.WordTokenizer(BPE)
+    texts = ["Don't stop, it's <|endoftext|> AB", "ΑΣ. İstanbul, ǅ. KK. é. ábc,  x y.", "ﬁn. 日本語, ª. ʰ. ᾼ, Å. ||| foo,, bar.. 12.5, x1, \x1cq\x1d. \x85z", "<|ENDOFTEXT|> A.", "가. ก็, ไ.", "", "a" * 3000]
+    for t in texts:
+        assert np.frombuffer(mine.ids(t.encode()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_plan_holds_every_length():
+    rng = np.random.default_rng(0)
+    for _ in range(5):
+        histogram = {int(k): int(v) for k, v in zip(rng.integers(1, 100, 30), rng.integers(1, 50, 30), strict=True)}
+        sequences = packing.plan(histogram, 100, steps=40)
+        have = Counter()
+        for counts, times in sequences:
+            assert sum(k * v for k, v in counts.items()) <= 100
+            for k, v in counts.items():
+                have[k] += v * times
+        assert have == histogram
+        bins = []
+        for size in sorted((k for k, v in histogram.items() for _ in range(v)), reverse=True):
+            at = next((i for i, room in enumerate(bins) if room >= size), None)
+            if at is None:
+                bins.append(100 - size)
+            else:
+                bins[at] -= size
+        assert sum(t for _, t in sequences) <= len(bins)
+
+
+def test_price_is_the_best_configuration():
+    lengths, value = np.array([3, 5, 7]), np.array([0.31, 0.5, 0.73])
+    best = max((a * 0.31 + b * 0.5 + c * 0.73) for a in range(7) for b in range(5) for c in range(3) if 3 * a + 5 * b + 7 * c <= 20)
+    assert packing.price(lengths, value, 20) @ value == pytest.approx(best)
+
+
+# op8 ---------------------------------------------------------------------------------------------------
+
+
+def brute_exact(rows, largest):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["text"] or "", []).append(r["doc_id"])
+    order = lambda x: (x is not None, x or 0)
+    out = []
+    for text, ids in groups.items():
+        best = max(ids, key=order) if largest else min(ids, key=order)
+        seen = False
+        for i in ids:
+            kept = i == best and not seen
+            seen |= kept
+            out.append((i, best, len(ids), kept, hashlib.sha256(text.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup_by_brute_force(docs, keep, weak):
+    hash_of = (lambda h: F.unhex(F.substring(h, 1, 2))) if weak else exact_dedup.content_hash
+    got = collect(exact_dedup.exact_dedup(docs, keep, hash_of))
+    assert key(got) == key(brute_exact(docs.collect(), keep == "largest"))
+
+
+def test_distinct_documents(docs):
+    got = exact_dedup.distinct_documents(docs)
+    assert got.columns == docs.columns
+    want = {t: i for i, _, _, k, t in brute_exact(docs.collect(), True) if k}
+    assert {hashlib.sha256(r["text"].encode()).hexdigest(): r["doc_id"] for r in got.collect()} == want
+
+
+# op9 ---------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("head", [0, 20, 10_000])
+def test_lm_base_by_brute_force(docs, head):
+    rows = docs.collect()
+    tokens = lambda t: [w for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())] + [b""]
+    left_out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter(w for r in rows if not left_out(r["doc_id"]) for w in tokens(r["text"]))
+    n, v = sum(counts.values()), len(counts)
+    want = key((r["doc_id"], left_out(r["doc_id"]), len(tokens(r["text"])), sum(counts[w] > 0 for w in tokens(r["text"])), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(r["text"])), 6)) for r in rows)
+    got = lm.score_documents(docs, PIECES, head).collect()
+    assert key((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert all(r["score"] < 0 for r in got)
+
+
+def test_lattice_sums_all_segmentations():
+    rng = np.random.default_rng(5)
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "aba", "</s>", "<unk>", *(f"<0x{i:02X}>" for i in range(256))]
+    p = rng.random(len(pieces))
+    scores = np.log10(p / p.sum())
+    lattice = lm.Lattice(pieces, scores.tolist())
+    prob = dict(zip(pieces, 10**scores, strict=True))
+
+    def total(text):
+        if not text:
+            return 1.0
+        s = sum(prob[x] * total(text[len(x) :]) for x in ("▁", "a", "b", "ab", "▁a", "ba", "aba") if text.startswith(x))
+        if text[0] not in prob:
+            s += math.prod(prob[f"<0x{b:02X}>"] for b in text[0].encode()) * total(text[1:])
+        return s
+
+    for word in ("a", "abab", "bbabaa", "aéb", "abc"):
+        assert lattice.word(word.encode()) == pytest.approx(math.log10(total("▁" + word)))
+
+
+# op10 --------------------------------------------------------------------------------------------------
+
+
+def test_quality_held_out_accuracy(spark):
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(200)]
+    rows, lab = [], []
+    for i in range(500):
+        good = i % 4 != 0
+        text = [w if good else w + "$$" for w in rng.choice(words, 60)]
+        rows.append((i, " ".join(text), "", "", 0))
+        lab.append((i, int(good), 0))
+    docs, labels = make(spark, rows), spark.createDataFrame(lab, "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 4 != 0) for r in held]) > 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+
+
+def test_context_vectors_by_brute_force(spark):
+    docs = make(spark, [(1, "a b c\nd a", "", "", 0), (2, "c a b", "", "", 0)])
+    place, sign = quality.index_vectors()
+    want = np.zeros((quality.SLOTS, quality.DIM))
+    for r in docs.collect():
+        s = quality.token_slots(r["text"].encode())
+        for i, x in enumerate(s):
+            for j in range(max(0, i - quality.WINDOW), min(len(s), i + quality.WINDOW + 1)):
+                if i != j:
+                    np.add.at(want[x], place[s[j]], sign[s[j]])
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1)
+    assert np.allclose(quality.word_vectors(docs)[:, : quality.DIM], want, atol=1e-6)
+
+
+# Odd rows through the ones that have no brute force above ------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op3", "op10"])
+def test_scores_every_row(docs, labels, name):
+    assert ALL[name](docs, labels).count() == docs.count()
+
+
+def test_schema_is_stable(spark, labels):
+    assert make(spark, []).schema.simpleString().startswith("struct<doc_id:bigint") and SCHEMA
