@@ -10,10 +10,12 @@ ranges of its own, broadcast only if there are few of them.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.boxes import Box
 from ..functions.vec import V, all_of, num
+from ..sources.tables import saved
 
 #: Cells that a box is dealt to at most.
 MAX_CELLS = 512
@@ -95,8 +97,6 @@ def nearest(points: DataFrame, targets: DataFrame, p: V, box: Box, distance: Col
     widest = max(max(bounds[f"hi{i}"], own[f"hi{i}"] or 0.0) - min(bounds[f"lo{i}"], own[f"lo{i}"] or 0.0) for i in range(dim))
     n = max(targets.count(), 1)
     reach = reach or max(widest * (2 * k / n) ** (1 / dim), widest * 1e-6, 1e-9)
-    from pyspark.sql import Window as W
-
     w = W.partitionBy(key).orderBy("distance", target_key)
     out, left = None, points
     while True:
@@ -107,13 +107,15 @@ def nearest(points: DataFrame, targets: DataFrame, p: V, box: Box, distance: Col
             probe = probe.withColumn(f"__plo{i}", a).withColumn(f"__phi{i}", b)
         pbox = Box(V(*(f"__plo{i}" for i in range(dim))), V(*(f"__phi{i}" for i in range(dim))))
         near = box_join(probe, targets, pbox, box, size=max(reach * 2, 1e-9)).withColumn("distance", distance).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        near = near.select(*points.columns, *targets.columns, "distance", "rank")
+        near = saved(near.select(*points.columns, *targets.columns, "distance", "rank"), "near")
         if last:
             return near if out is None else out.unionByName(near)
         settled = near.groupBy(key).agg(F.count("*").alias("__n"), F.max("distance").alias("__d")).where((F.col("__n") == k) & (F.col("__d") <= reach)).select(key)
         done = near.join(settled, key, "left_semi")
         out = done if out is None else out.unionByName(done)
-        left = left.join(settled, key, "left_anti")
+        left = saved(left.join(settled, key, "left_anti"), "left")
+        if left.isEmpty():
+            return out
         reach *= 4
 
 

@@ -56,14 +56,14 @@ def aabb_contains_pairs(spark, sf):
   UNION ALL SELECT a_id, b_id, (cx1-cx0)*(y1-cy1)*(z1-z0) FROM p WHERE cx0<cx1 AND cy0<cy1 AND cz0<cz1 AND cy1<y1
   UNION ALL SELECT a_id, b_id, (cx1-cx0)*(cy1-cy0)*(cz0-z0) FROM p WHERE cx0<cx1 AND cy0<cy1 AND cz0<cz1 AND cz0>z0
   UNION ALL SELECT a_id, b_id, (cx1-cx0)*(cy1-cy0)*(z1-cz1) FROM p WHERE cx0<cx1 AND cy0<cy1 AND cz0<cz1 AND cz1<z1)
-  SELECT a_id, b_id, round(v,6)+0 AS volume FROM f""")
+  SELECT a_id, b_id, round(v,9)+0 AS volume FROM f""")
 def aabb_difference_fragments(spark, sf):
     """What is left of each box when another (of every tenth id) is cut out: the fragments' volumes."""
     a, b = boxes_of(spark, sf, "a_"), boxes_of(spark, sf, "b_").where("b_id % 10 = 0")
     ba, bb = B.Box.columns("a_"), B.Box.columns("b_")
     met = joins.box_join(a, b, ba, bb, F.col("a_id") != F.col("b_id"))
     parts = F.array(*[F.when(ok, f.volume()) for ok, f in ba.difference(bb)])
-    return met.select("a_id", "b_id", F.explode(F.array_compact(parts)).alias("v")).select("a_id", "b_id", r6(F.col("v"), "volume"))
+    return met.select("a_id", "b_id", F.explode(F.array_compact(parts)).alias("v")).select("a_id", "b_id", (F.round("v", 9) + 0.0).alias("volume"))
 
 
 @query(f"""WITH b AS ({BOXSQL}), k AS (SELECT unnest(range(8)) AS n)

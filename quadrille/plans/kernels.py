@@ -75,17 +75,18 @@ def epa_contact(spark, sf):
     return _map(found, run, "a_id long, b_id long, dist double").select("a_id", "b_id", (F.round("dist", 5) + 0.0).alias("dist"))
 
 
-@query("""WITH p AS (SELECT a.id AS a_id, a.x-b.x AS mx, a.y-b.y AS my, a.z-b.z AS mz, a.r+b.r AS r, CAST(b.id%5-a.id%5 AS DOUBLE) AS vx, CAST(b.id%7-a.id%7 AS DOUBLE) AS vy, CAST(b.id%3-a.id%3 AS DOUBLE) AS vz FROM g_balls a JOIN g_balls b ON b.id=a.id+1),
+@query("""WITH p AS (SELECT a.id AS a_id, a.x-b.x AS mx, a.y-b.y AS my, a.z-b.z AS mz, a.r+b.r AS r, (a.x-b.x)/20+CAST(a.id%3-1 AS DOUBLE)/10 AS vx, (a.y-b.y)/20 AS vy, (a.z-b.z)/20+CAST(a.id%5 AS DOUBLE)/50 AS vz FROM g_balls a JOIN g_balls b ON b.id=a.id+1),
   q AS (SELECT *, vx*vx+vy*vy+vz*vz AS a, -(mx*vx+my*vy+mz*vz) AS b, mx*mx+my*my+mz*mz-r*r AS c FROM p),
   t AS (SELECT a_id, CASE WHEN c<=0 THEN CAST(0 AS DOUBLE) WHEN a>0 AND b*b-a*c>=0 AND b<=0 THEN (-b-sqrt(greatest(b*b-a*c,CAST(0 AS DOUBLE))))/nullif(a,0) END AS t FROM q) SELECT a_id, round(t,3)+0 AS toi FROM t WHERE t<=90""")
 def gjk_toi(spark, sf):
     """Conservative advancement on balls, as points with a radius; the oracle is the closed form."""
-    balls = view(spark, sf, "g_balls").withColumns({k: (F.col("id") % m).cast("double") for k, m in (("vx", 5), ("vy", 7), ("vz", 3))})
+    balls = view(spark, sf, "g_balls")
     pairs = renamed(balls, "a_").join(renamed(balls, "b_"), F.col("b_id") == F.col("a_id") + 1)
 
     def run(rows):
-        at = lambda p, ks: rows[[f"{p}{k}" for k in ks]].to_numpy(float)
-        t = gjk.time_of_impact(at("a_", "xyz")[:, None], rows.a_r.to_numpy(), at("b_", "xyz")[:, None], rows.b_r.to_numpy(), at("b_", ("vx", "vy", "vz")) - at("a_", ("vx", "vy", "vz")), 90.0)
+        a, b = (rows[[f"{p}{k}" for k in "xyz"]].to_numpy(float) for p in ("a_", "b_"))
+        drift = np.stack([(rows.a_id % 3 - 1) / 10, 0.0 * rows.a_id, rows.a_id % 5 / 50], axis=1)
+        t = gjk.time_of_impact(a[:, None], rows.a_r.to_numpy(), b[:, None], rows.b_r.to_numpy(), (a - b) / 20 + drift, 90.0)
         return pd.DataFrame({"a_id": rows.a_id, "toi": t})
 
     return _map(pairs, run, "a_id long, toi double").where("toi IS NOT NULL AND NOT isnan(toi)").select("a_id", (F.round("toi", 3) + 0.0).alias("toi"))
@@ -126,12 +127,12 @@ def hull2_by(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT a.grp, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, a.id AS i, b.id AS j FROM g_points a JOIN g_points b ON a.grp=b.grp AND a.id<>b.id),
   h AS (SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM g_points c WHERE c.grp=e.grp AND c.id<>e.i AND c.id<>e.j AND (bx-ax)*(c.y-ay)-(by_-ay)*(c.x-ax)<0))
-  SELECT CAST(grp AS BIGINT) AS grp, CAST(count(*) AS BIGINT) AS n, round(sum(ax*by_-bx*ay)/2,4)+0 AS area FROM h GROUP BY grp""")
+  SELECT CAST(grp AS BIGINT) AS grp, CAST(count(*) AS BIGINT) AS n, round(sum(ax*by_-bx*ay)/2,7)+0 AS area FROM h GROUP BY grp""")
 def convex_hull2(spark, sf):
     from ..operators.aggregates import polygon_area
 
     h = hull2_by(view(spark, sf, "g_points"), "grp", "x", "y")
-    area = polygon_area(h, "x", "y", "n", "grp").select("grp", (F.round("area", 4) + 0.0).alias("area"))
+    area = polygon_area(h, "x", "y", "n", "grp").select("grp", (F.round("area", 7) + 0.0).alias("area"))
     return h.groupBy("grp").agg(F.count("*").alias("n")).join(area, "grp")
 
 
@@ -182,7 +183,7 @@ def ear_clipping(spark, sf):
     return _map(view(spark, sf, "g_balls").select("id", "r"), run, "id long, triangles int, area double").select("id", "triangles", (F.round("area", 4) + 0.0).alias("area"))
 
 
-@query("""WITH p AS (SELECT a.id AS a_id, b.id AS b_id, least(a.x+a.r,b.x+b.r)-greatest(a.x-a.r,b.x-b.r) AS w, least(a.y+a.r,b.y+b.r)-greatest(a.y-a.r,b.y-b.r) AS h FROM g_balls a JOIN g_balls b ON a.id<b.id) SELECT a_id, b_id, round(w*h,4)+0 AS area FROM p WHERE w>CAST(0.001 AS DOUBLE) AND h>CAST(0.001 AS DOUBLE)""")
+@query("""WITH p AS (SELECT a.id AS a_id, b.id AS b_id, least(a.x+a.r,b.x+b.r)-greatest(a.x-a.r,b.x-b.r) AS w, least(a.y+a.r,b.y+b.r)-greatest(a.y-a.r,b.y-b.r) AS h FROM g_balls a JOIN g_balls b ON a.id<b.id) SELECT a_id, b_id, round(w*h,6)+0 AS area FROM p WHERE w>CAST(0.001 AS DOUBLE) AND h>CAST(0.001 AS DOUBLE)""")
 def polygon_intersection(spark, sf):
     """What squares around the balls share, as general polygons; the oracle is the closed form."""
     balls = view(spark, sf, "g_balls").select("id", "x", "y", "r")
@@ -195,7 +196,7 @@ def polygon_intersection(spark, sf):
         area = [sum(abs(hulls.area2(k)) / 2 for k in hulls.intersect_polygons(at("a_", i), at("b_", i))) for i in range(len(rows))]
         return pd.DataFrame({"a_id": rows.a_id, "b_id": rows.b_id, "area": area})
 
-    return _map(found, run, "a_id long, b_id long, area double").where("area > 0.000001").select("a_id", "b_id", (F.round("area", 4) + 0.0).alias("area"))
+    return _map(found, run, "a_id long, b_id long, area double").where("area > 0.000001").select("a_id", "b_id", r6(F.col("area"), "area"))
 
 
 @query()
