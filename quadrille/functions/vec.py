@@ -106,6 +106,19 @@ class V(tuple):
         return F.struct(*self.as_(*"xyz"[: len(self)]))
 
 
+class Names(V):
+    """A vector of columns by name, which become Columns when used: it can be made before there is a session."""
+
+    def __new__(cls, *names: str) -> Names:
+        return tuple.__new__(cls, names)
+
+    def __iter__(self):
+        return map(num, tuple.__iter__(self))
+
+    def __getitem__(self, i: int) -> Column:
+        return num(tuple.__getitem__(self, i))
+
+
 def choose(condition: Column, a: V, b: V) -> V:
     return V(*(F.when(condition, x).otherwise(y) for x, y in zip(a, b, strict=True)))
 

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 from ..functions import clips, motion, pairs, points, rays
-from ..functions.vec import V, num
+from ..functions.vec import Names, V, num
 from ..operators import joins
 from ..sources.tables import view
 from .registry import BOXSQL, P, ball, boxes_of, query, r6, renamed, rv, seg, tri
 
-O, D = V("ox", "oy", "oz"), V("dx", "dy", "dz")
+O, D = Names("ox", "oy", "oz"), Names("dx", "dy", "dz")
 _SLAB = """SELECT *, greatest(coalesce(least((lox-ox)/nullif(dx,0),(hix-ox)/nullif(dx,0)),CAST(-1e300 AS DOUBLE)),coalesce(least((loy-oy)/nullif(dy,0),(hiy-oy)/nullif(dy,0)),CAST(-1e300 AS DOUBLE)),coalesce(least((loz-oz)/nullif(dz,0),(hiz-oz)/nullif(dz,0)),CAST(-1e300 AS DOUBLE))) AS t0,
   least(coalesce(greatest((lox-ox)/nullif(dx,0),(hix-ox)/nullif(dx,0)),CAST(1e300 AS DOUBLE)),coalesce(greatest((loy-oy)/nullif(dy,0),(hiy-oy)/nullif(dy,0)),CAST(1e300 AS DOUBLE)),coalesce(greatest((loz-oz)/nullif(dz,0),(hiz-oz)/nullif(dz,0)),CAST(1e300 AS DOUBLE))) AS t1,
   (dx<>0 OR ox BETWEEN lox AND hix) AND (dy<>0 OR oy BETWEEN loy AND hiy) AND (dz<>0 OR oz BETWEEN loz AND hiz) AS par"""

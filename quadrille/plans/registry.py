@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
-from ..functions.vec import V
+from ..functions.vec import Names, V
 from ..sources.tables import VIEWS, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,7 +51,7 @@ def rv(v: V, *names: str) -> list:
     return [r6(c, n) for c, n in zip(v, names, strict=True)]
 
 
-P = V("x", "y", "z")
+P = Names("x", "y", "z")
 
 
 def ball(prefix: str = "") -> tuple[V, object]:

@@ -89,7 +89,7 @@ def test_culling(spark):
 @pytest.mark.parametrize("solid", [True, False])
 def test_ray_hits_lie_on_the_boundary(spark, shape, solid):
     rng = np.random.default_rng(1)
-    df = spark.createDataFrame([tuple(map(float, r)) for r in np.concatenate([rng.uniform(-3, 3, (300, 3)), rng.normal(size=(300, 3))], axis=1)], "x double, y double, z double, dx double, dy double, dz double")
+    df = spark.createDataFrame([tuple(map(float, r)) for r in np.concatenate([rng.uniform(-2, 2, (900, 3)), rng.normal(size=(900, 3))], axis=1)], "x double, y double, z double, dx double, dy double, dz double")
     o, d, h, r = V("x", "y", "z"), V("dx", "dy", "dz"), num(1.5), num(1.0)
     a, b, box = V(0.0, -1.5, 0.0), V(0.0, 1.5, 0.0), B.Box(V(-1.0, -1.5, -1.0), V(1.0, 1.5, 1.0))
     toi, proj = {
