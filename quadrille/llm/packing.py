@@ -28,34 +28,68 @@ from ._common import materialize, rows_of, whole_texts, worker_cache
 
 CAPACITY = 4096
 #: Words of which a worker remembers the ids; then it starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 
 
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer whose pieces never cross white space, word by word through a cache.
+    """Ids of whole texts by a tokenizer that lower-cases and whose pieces never cross white space, word by word through a cache.
 
-    Words are what stands between ASCII white space; any other space inside them is left to the tokenizer.
+    Words are what stands between ASCII white space; any other space inside them is left to the tokenizer. Letters and
+    the full stop or comma behind them are pieces of their own, so a word's ids follow from those of its parts.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode_batch = Tokenizer.from_file(path).encode_batch_fast
+        loaded = Tokenizer.from_file(path)
+        self.encode_batch = loaded.encode_batch_fast
+        # The pieces that end a run of letters.
+        self.ends = np.zeros(loaded.get_vocab_size(), bool)
+        self.ends[[i for piece, i in loaded.get_vocab().items() if piece.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
     def ids(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        words = text.split()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
+        # Special tokens are spelled in lower case only; a text that may hold one in capitals keeps them.
+        words = (text if b"<|" in text else text.lower()).split()
+        found = list(map(self.known.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
         if new:
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(set(words))
-            for word, found in zip(new, self.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+            if len(self.known) + len(new) > CACHED_WORDS:
+                self.known.clear()
+            self._learn({words[i] for i in new})
+            known = self.known
+            for i in new:
+                found[i] = known[words[i]]
+        return b"".join(found)
+
+    def _learn(self, words: set[bytes]) -> None:
+        known, stems, other, marked = self.known, {}, [], []
+        for w in words:
+            stem = w[:-1] if w.endswith((b".", b",")) else w
+            text = stem.decode("utf-8", "replace")
+            if text.isalpha():
+                if stem not in known:
+                    stems[stem] = text
+                if stem is not w:
+                    marked.append(w)
+            else:
+                other.append(w)
+        if stems:
+            (got,) = self.encode_batch([" ".join(stems.values())], add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            cut, flat = [0, *(np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()], ids.tobytes()
+            if len(cut) == len(stems) + 1:
+                known.update({w: flat[a:b] for w, a, b in zip(stems, cut, cut[1:], strict=False)})
+            else:  # letters that the tokenizer cuts or drops
+                other += stems
+        other += [m for m in (b".", b",") if m not in known]
+        if other:
+            for w, got in zip(other, self.encode_batch([w.decode("utf-8", "replace") for w in other], add_special_tokens=False), strict=True):
+                known[w] = np.array(got.ids, "<u4").tobytes()
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1:]]
 
 
 def tokenizer(path: str) -> WordTokenizer:
