@@ -35,3 +35,32 @@ def height_at(cells_df: DataFrame, points: DataFrame, x: str, z: str) -> DataFra
     low = F.col("h00") + (F.col("h10") - F.col("h00")) * u + (F.col("h11") - F.col("h10")) * v
     high = F.col("h00") + (F.col("h11") - F.col("h01")) * u + (F.col("h01") - F.col("h00")) * v
     return got.select(*points.columns, F.when(u >= v, low).otherwise(high).alias("height"))
+
+
+def cast_rays(samples: DataFrame, rays: DataFrame, key: str) -> DataFrame:
+    """The first triangle that each ray (key, ox.. dz) meets: key, toi, i, j.
+
+    A ray is clipped to the field's box and dealt to the cells below the clipped part, which it is joined to by equality.
+    """
+    from ..functions import rays as R
+    from ..functions.boxes import Box
+    from ..functions.vec import V, num
+
+    ends = samples.agg(F.min("i"), F.max("i"), F.min("h"), F.max("h"), F.min("j"), F.max("j")).first()
+    if ends[0] is None:
+        return rays.select(key).where("false").selectExpr(key, "CAST(NULL AS DOUBLE) AS toi", "CAST(NULL AS BIGINT) AS i", "CAST(NULL AS BIGINT) AS j")
+    field = Box(V(*map(float, ends[0::2])), V(*map(float, ends[1::2])))
+    o, d = V("ox", "oy", "oz"), V("dx", "dy", "dz")
+    enter, leave, meets = R.slab(o, d, field)
+    a = F.greatest(enter, num(0))
+    clipped = rays.withColumns({"t0": a, "t1": leave, "ok": meets & (leave >= 0)}).where("ok")
+    out = clipped
+    for k, at, v in (("i", o[0], d[0]), ("j", o[2], d[2])):
+        p, q = at + v * F.col("t0"), at + v * F.col("t1")
+        lo, hi = (F.floor(f(p, q) + e).cast("long") for f, e in ((F.least, -1e-9), (F.greatest, 1e-9)))
+        out = out.withColumn(k, F.explode(F.sequence(lo, hi)))
+    cell = Box(V(F.col("i").cast("double"), num(float(ends[2])), F.col("j").cast("double")), V(F.col("i") + 1.0, num(float(ends[3])), F.col("j") + 1.0)).loosened(1e-9)
+    out = out.where(R.slab(o, d, cell)[2]).select(key, "ox", "oy", "oz", "dx", "dy", "dz", "i", "j")
+    corner = [V(*(f"{n}{k}" for k in "xyz")) for n in "abc"]
+    hits = out.join(triangles(samples), ["i", "j"]).withColumn("toi", R.on_triangle(o, d, *corner)).where("toi IS NOT NULL")
+    return hits.groupBy(key).agg(F.min(F.struct("toi", "i", "j")).alias("m")).select(key, "m.toi", "m.i", "m.j")

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
-from ..kernels import gjk, hulls, solids
-from ..operators import generators, joins, meshes
+from ..kernels import gjk, hulls, manifolds, solids
+from ..functions import measures
+from ..operators import generators, heightfields, joins, meshes
 from ..sources.tables import view
 from .registry import BOXSQL, MEET, boxes_of, query, r6, renamed
 
@@ -241,6 +242,49 @@ def triangle_triangle(spark, sf):
     return _map(found, run, "a_id long, b_id long, length double").where("length IS NOT NULL AND NOT isnan(length)").select("a_id", "b_id", r6(F.col("length"), "length"))
 
 
+@query(f"WITH b AS ({BOXSQL}) SELECT a.id AS a_id, b.id AS b_id, CAST(4 AS INTEGER) AS contacts, round(-least(a.hix-b.lox,b.hix-a.lox,a.hiy-b.loy,b.hiy-a.loy,a.hiz-b.loz,b.hiz-a.loz),6)+0 AS dist FROM b a JOIN b b ON a.id<b.id AND a.id%3=0 AND b.id%3=0 AND {MEET}")
+def box_manifolds(spark, sf):
+    """Contact manifolds of overlapping boxes: four corners of the faces' common part, and the deepest distance."""
+    found = joins.self_pairs(boxes_of(spark, sf).where("id % 3 = 0"), B.Box.columns, "id")
+    unit = np.eye(3)
+
+    def run(rows):
+        out = []
+        ends = [rows[[f"{p}{e}{k}" for k in "xyz"]].to_numpy(float) for p in ("a_", "b_") for e in ("lo", "hi")]
+        for lo1, hi1, lo2, hi2 in zip(*ends, strict=True):
+            m = manifolds.cuboids((lo1 + hi1) / 2, unit, (hi1 - lo1) / 2, (lo2 + hi2) / 2, unit, (hi2 - lo2) / 2)
+            out.append((0, np.nan) if m is None else (len(m.dist), m.dist[m.deepest()]))
+        return pd.DataFrame({"a_id": rows.a_id, "b_id": rows.b_id, "contacts": [c for c, _ in out], "dist": [d for _, d in out]})
+
+    got = _map(found, run, "a_id long, b_id long, contacts int, dist double")
+    return got.select("a_id", "b_id", "contacts", r6(F.col("dist"), "dist"))
+
+
+@query("""WITH t AS (SELECT a.i, a.j, CAST(a.i AS DOUBLE) AS ax, a.h AS ay, CAST(a.j AS DOUBLE) AS az, unnest([[CAST(a.i AS DOUBLE),b.h,CAST(a.j+1 AS DOUBLE)],[CAST(a.i+1 AS DOUBLE),d.h,CAST(a.j+1 AS DOUBLE)]]) AS b, unnest([[CAST(a.i+1 AS DOUBLE),d.h,CAST(a.j+1 AS DOUBLE)],[CAST(a.i+1 AS DOUBLE),c.h,CAST(a.j AS DOUBLE)]]) AS c FROM g_height a JOIN g_height b ON b.i=a.i AND b.j=a.j+1 JOIN g_height c ON c.i=a.i+1 AND c.j=a.j JOIN g_height d ON d.i=a.i+1 AND d.j=a.j+1),
+  r AS (SELECT id, ox/7 AS ox, CAST(12 AS DOUBLE) AS oy, oz/7 AS oz, dx/3 AS dx, CAST(-1 AS DOUBLE) AS dy, dz/7 AS dz FROM g_rays),
+  n AS (SELECT r.*, t.*, (b[2]-ay)*(c[3]-az)-(b[3]-az)*(c[2]-ay) AS nx, (b[3]-az)*(c[1]-ax)-(b[1]-ax)*(c[3]-az) AS ny, (b[1]-ax)*(c[2]-ay)-(b[2]-ay)*(c[1]-ax) AS nz FROM r CROSS JOIN t),
+  k AS (SELECT *, ((ax-ox)*nx+(ay-oy)*ny+(az-oz)*nz)/nullif(nx*dx+ny*dy+nz*dz,0) AS t FROM n), q AS (SELECT *, ox+dx*t AS qx, oz+dz*t AS qz FROM k WHERE t>=0),
+  h AS (SELECT id, t FROM q WHERE greatest((b[1]-ax)*(qz-az)-(b[3]-az)*(qx-ax), (c[1]-b[1])*(qz-b[3])-(c[3]-b[3])*(qx-b[1]), (ax-c[1])*(qz-c[3])-(az-c[3])*(qx-c[1]))<=CAST(1e-12 AS DOUBLE))
+  SELECT id, round(min(t),8)+0 AS toi FROM h GROUP BY id""")
+def ray_heightfield(spark, sf):
+    """First hits of rays on the height field, by a join on the cells below them; the oracle tries every triangle."""
+    rays = view(spark, sf, "g_rays").select("id", (F.col("ox") / 7).alias("ox"), F.lit(12.0).alias("oy"), (F.col("oz") / 7).alias("oz"), (F.col("dx") / 3).alias("dx"), F.lit(-1.0).alias("dy"), (F.col("dz") / 7).alias("dz"))
+    return heightfields.cast_rays(view(spark, sf, "g_height"), rays, "id").select("id", (F.round("toi", 8) + 0.0).alias("toi"))
+
+
+@query(f"""WITH b AS ({BOXSQL}), l AS (SELECT unnest(range(4)) AS level), c AS (SELECT level, CAST(floor((lox+hix)/2/CAST(100.003 AS DOUBLE)*(1<<level)) AS BIGINT) AS i, CAST(floor((loy+hiy)/2/CAST(100.003 AS DOUBLE)*(1<<level)) AS BIGINT) AS j, CAST(floor((loz+hiz)/2/CAST(100.003 AS DOUBLE)*(1<<level)) AS BIGINT) AS k, b.* FROM b, l)
+  SELECT CAST(level AS INTEGER) AS level, count(*) AS n, min(lox) AS lox, min(loy) AS loy, max(hiz) AS hiz FROM c GROUP BY level, i, j, k""")
+def octree_rollup(spark, sf):
+    """Boxes of the nodes of an octree, level by level, by prefixes of the Morton codes of the boxes' centres."""
+    b = B.Box.columns()
+    code = measures.morton(b.center(), B.V(0.0, 0.0, 0.0), B.V(100.003, 100.003, 100.003))
+    coded = boxes_of(spark, sf).withColumn("code", code).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    node = F.expr("shiftright(code, 3 * (21 - level))")
+    got = coded.groupBy("level", node.alias("node")).agg(F.count("*").alias("n"), F.min("lox").alias("lox"), F.min("loy").alias("loy"), F.max("hiz").alias("hiz"))
+    return got.drop("node")
+
+
 register_kernel("cuboid", "cuboid", "distance", gjk_distance)
 register_kernel("cuboid", "cuboid", "contact", epa_contact)
 register_kernel("ball", "ball", "toi", gjk_toi)
+register_kernel("cuboid", "cuboid", "manifold", box_manifolds)

@@ -271,3 +271,24 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_pairs_of_segments(spark):
     s = pairs.segments_distance(V(0.0, 0.0, 0.0), V(1.0, 0.0, 0.0), V(0.5, 1.0, -1.0), V(0.5, 1.0, 1.0))
     assert value(spark, s) == pytest.approx(1.0)
+
+
+def test_manifolds():
+    from quadrille.kernels import manifolds
+
+    one, half = np.eye(3), np.array([1.0, 1, 1])
+    s = math.sqrt(0.5)
+    turned = np.array([(s, -s, 0), (s, s, 0), (0, 0, 1)])
+    m = manifolds.cuboids(np.zeros(3), one, half, np.array([0, 0, 1.9]), turned, half)
+    assert np.allclose(m.normal, (0, 0, 1)) and len(m.dist) == 8 and np.allclose(m.dist, -0.1)
+    assert (np.abs(m.points1[:, :2]) <= 1 + 1e-9).all() and np.allclose(m.points1[:, 2], 1)
+    assert manifolds.cuboids(np.zeros(3), one, half, np.array([0, 0, 2.5]), one, half) is None
+    near = manifolds.cuboids(np.zeros(3), one, half, np.array([0, 0, 2.05]), one, half, prediction=0.1)
+    assert np.allclose(near.dist, 0.05) and len(near.dist) == 4
+    m.data[m.features[0]] = "kept"
+    moved = manifolds.update(m, np.array([0, 0, 1e-4]), np.eye(3))
+    assert np.allclose(moved.dist, -0.1 + 1e-4)
+    assert manifolds.update(m, np.array([0.01, 0, 0]), np.eye(3)) is None
+    assert manifolds.match(m, manifolds.cuboids(np.zeros(3), one, half, np.array([0, 0, 1.9]), turned, half)).data == {m.features[0]: "kept"}
+    b = manifolds.balls(np.zeros(3), 1.0, np.array([1.5, 0, 0]), 1.0)
+    assert b.dist[0] == -0.5 and b.deepest() == 0
