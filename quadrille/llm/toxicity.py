@@ -1,17 +1,18 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
-Features are the lower-cased letter runs of a text and their first ``PREFIXES`` bytes, hashed, and the text's length; a
-feature's value is 1 + log of its count. Only those whose share among toxic training texts differs from that among
-the others by ``LEAST_Z`` standard errors get a weight. P(grade > k) is the logistic of one weighted sum less the k-th of ascending thresholds: the weights are shared,
+Features are the lower-cased letter runs of a text and their first ``PREFIXES`` bytes, hashed; a
+feature's value is 1 + log of its count. Only those far more common among toxic training texts than among others get a
+weight: common words tell languages and lengths apart, and would drown what is toxic. P(grade > k) is the logistic of one weighted sum less the k-th of ascending thresholds: the weights are shared,
 and only the thresholds differ. The severity is the expected grade, the sum of these probabilities.
 
-Labels are toxic or not. Grades split the toxic ones at the quantiles of how often a text uses the
+Labels are toxic or not. Grades split the toxic ones at the quantiles of how many uses a text has of the
 features that tell toxic from other training texts. Training takes a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -24,14 +25,19 @@ from pyspark.sql import functions as F
 from ._common import labelled_sample, rows_of, whole_texts
 from .quality import sample_features
 
-BUCKETS = 1 << 18
 #: At most so many labelled rows train the regression.
 SAMPLE = 12_000
 GRADES = 4
 PREFIXES = (5, 7, 8, 9)
-#: Texts of the sample that must have a feature for it to get a weight, and how far it must tell them apart.
+#: Texts of the sample that must have a feature for it to get a weight, by how many standard errors its share among toxic
+#: ones must exceed that among others, and how many times.
 LEAST_TEXTS = 5
 LEAST_Z = 4.0
+LEAST_RATIO = 3.0
+#: The share of toxic training texts that must have it: what only copies of a few texts share isn't toxic for that.
+LEAST_SHARE = 0.02
+#: How much more the loss of the first threshold, toxic or not, counts than those between grades.
+FIRST_THRESHOLD = 4.0
 #: Words whose features a task remembers.
 CACHED_WORDS = 300_000
 #: A document is rejected if it is toxic (grade 1 or more) with at least this probability.
@@ -41,27 +47,27 @@ _LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 
 
 def word_features(word: bytes) -> list[int]:
-    """The buckets of a word and of its prefixes; the last bucket is the length's."""
+    """The 32-bit hashes of a word and of its prefixes."""
     parts = [b"=" + word, *(b"%d" % k + word[:k] for k in PREFIXES if len(word) > k)]
-    return [crc32(p) % (BUCKETS - 1) for p in parts]
+    return [crc32(p) for p in parts]
 
 
 def words_of(text: bytes) -> list[bytes]:
     return _LETTERS.findall(text.lower())
 
 
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """The distinct features of a text, their values, and the number of its words."""
+def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features of a text and their values."""
     found = words_of(text)
     at, n = np.unique(np.array([b for w in found for b in word_features(w)], np.int64), return_counts=True)
-    return np.append(at, BUCKETS - 1), np.append(1 + np.log(n), np.log1p(len(found))), len(found)
+    return at, 1 + np.log(n)
 
 
 @dataclass
 class OrdinalModel:
-    """``slot`` is the weight's place of a feature, or -1; ``thresholds`` ascend."""
+    """``ids`` are the sorted features that have weights; ``thresholds`` ascend."""
 
-    slot: np.ndarray
+    ids: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
@@ -73,10 +79,9 @@ class OrdinalModel:
             known.clear()
             new = set(found)
         for w in new:
-            known[w] = [int(k) for k in self.slot[word_features(w)] if k >= 0]
+            known[w] = [k for f in word_features(w) if (k := bisect_left(self.ids, f)) < len(self.ids) and self.ids[k] == f]
         at, n = np.unique(np.array([k for places in map(known.__getitem__, found) if places for k in places], np.int64), return_counts=True)
-        length = self.slot[BUCKETS - 1]
-        return float(self.weights[at] @ (1 + np.log(n))) + (float(self.weights[length]) * float(np.log1p(len(found))) if length >= 0 else 0.0)
+        return float(self.weights[at] @ (1 + np.log(n)))
 
     def beyond(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > k) of each score and threshold."""
@@ -87,57 +92,57 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def grades(rows: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray, levels: int = GRADES) -> np.ndarray:
-    """0 for texts that aren't toxic; the toxic ones 1 to ``levels`` - 1, by how often they use what tells them apart."""
-    has = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
-    for (at, _, _), y in zip(rows, toxic, strict=True):
-        has[int(y)][at] += 1
-    odds = np.log((has[1] + 0.5) / (toxic.sum() + 1)) - np.log((has[0] + 0.5) / ((toxic == 0).sum() + 1))
-    odds[has[0] + has[1] < LEAST_TEXTS] = 0
-    telling = odds > 1
-    rate = np.array([float(np.expm1(v[telling[at]]).sum() + telling[at].sum()) / max(n, 1) for at, v, n in rows])
+def grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, levels: int = GRADES) -> np.ndarray:
+    """0 for texts that aren't toxic; the toxic ones 1 to ``levels`` - 1, by how many uses of telling features they have."""
+    sizes = np.array([len(at) for at, _ in rows], np.int64)
+    feature = np.concatenate([at for at, _ in rows]) if rows else np.zeros(0, np.int64)
+    telling = _telling(feature, np.repeat(np.arange(len(rows)), sizes), toxic > 0)
+    uses = np.array([float(np.exp(v[np.isin(at, telling)] - 1).sum()) for at, v in rows])
     out = np.zeros(len(rows), np.int64)
     if toxic.any():
-        cuts = np.quantile(rate[toxic == 1], np.arange(1, levels - 1) / (levels - 1))
-        out[toxic == 1] = 1 + np.searchsorted(cuts, rate[toxic == 1], "left")
+        cuts = np.quantile(uses[toxic == 1], np.arange(1, levels - 1) / (levels - 1))
+        out[toxic == 1] = 1 + np.searchsorted(cuts, uses[toxic == 1], "left")
     return out
 
 
 def _telling(feature: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """The features that enough texts have, and that are more common in toxic texts or in the others than chance makes them."""
+    """The sorted features that enough texts have, and that toxic texts have far more often than others."""
     yes, no = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    a, n = np.bincount(feature, toxic[doc], BUCKETS), np.bincount(feature, minlength=BUCKETS)
+    ids, place, n = np.unique(feature, return_inverse=True, return_counts=True)
+    a = np.bincount(place, toxic[doc], len(ids))
     share = n / (yes + no)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / yes + 1 / no))
-    return (n >= LEAST_TEXTS) & (np.abs(a / yes - (n - a) / no) >= LEAST_Z * error)
+    clean = (n - a) / no
+    return ids[(n >= LEAST_TEXTS) & (a >= LEAST_SHARE * yes) & (a / yes - clean >= LEAST_Z * error) & (a / yes >= LEAST_RATIO * clean)]
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grade: np.ndarray, levels: int = GRADES, steps: int = 600, rate: float = 0.05, decay: float = 1e-3) -> OrdinalModel:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, levels: int = GRADES, steps: int = 600, rate: float = 0.05, decay: float = 1e-3) -> OrdinalModel:
     """Adam on the mean binary losses of all thresholds. The thresholds are the first and positive steps from it, so they stay in order.
 
     Without rows, or with one grade only, there are no weights and the thresholds are the shares' log odds.
     """
-    sizes = np.array([len(at) for at, _, _ in rows], np.int64)
-    feature = np.concatenate([at for at, _, _ in rows]) if rows else np.zeros(0, np.int64)
-    value = np.concatenate([v for _, v, _ in rows]) if rows else np.zeros(0)
+    sizes = np.array([len(at) for at, _ in rows], np.int64)
+    feature = np.concatenate([at for at, _ in rows]) if rows else np.zeros(0, np.int64)
+    value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0)
     doc = np.repeat(np.arange(len(rows)), sizes)
-    common = _telling(feature, doc, grade > 0)
-    common[BUCKETS - 1] = True
-    slot = np.where(common, np.cumsum(common) - 1, -1)
-    keep = common[feature]
-    feature, value, doc = slot[feature[keep]], value[keep], doc[keep]
+    ids = _telling(feature, doc, grade > 0)
+    place = np.searchsorted(ids, feature)
+    keep = place < len(ids)
+    keep[keep] = ids[place[keep]] == feature[keep]
+    feature, value, doc = place[keep], value[keep], doc[keep]
     beyond = (grade[:, None] > np.arange(levels - 1)[None, :]).astype(float)
     share = (beyond.sum(axis=0) + 0.5) / (len(rows) + 1)
     start = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(levels - 1))
-    weights = np.zeros(int(common.sum()))
+    weights = np.zeros(len(ids))
     if len(np.unique(grade)) < 2:
-        return OrdinalModel(slot, weights, start)
+        return OrdinalModel(ids, weights, start)
     params = [weights, start[:1].copy(), np.log(np.maximum(np.diff(start), 1e-3))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    stress = np.array([FIRST_THRESHOLD, *[1.0] * (levels - 2)])
     for t in range(1, steps + 1):
         thresholds = params[1][0] + np.concatenate(([0], np.cumsum(np.exp(params[2]))))
         score = np.bincount(doc, value * params[0][feature], len(rows))
-        e = (_logistic(score[:, None] - thresholds) - beyond) / len(rows)
+        e = (_logistic(score[:, None] - thresholds) - beyond) / len(rows) * stress
         g_threshold = -e.sum(axis=0)
         tail = np.cumsum(g_threshold[::-1])[::-1]
         each = e.sum(axis=1)
@@ -146,23 +151,63 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], grade: np.ndarray, level
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
             params[i] = params[i] - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-    return OrdinalModel(slot, params[0], params[1][0] + np.concatenate(([0], np.cumsum(np.exp(params[2])))))
+    return OrdinalModel(ids, params[0], params[1][0] + np.concatenate(([0], np.cumsum(np.exp(params[2])))))
+
+
+def telling_features(docs: DataFrame, sample: list[tuple[int, int]]) -> np.ndarray:
+    """The sorted features that tell toxic texts of the sample from others, counted on the executors; only these come to the driver."""
+    yes, no = max(sum(y for _, y in sample), 1), max(sum(1 - y for _, y in sample), 1)
+    marks = docs.sparkSession.createDataFrame(sample, "doc_id long, y int")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id").select("y", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        marked: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            ids, place, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+            a = np.bincount(place, np.concatenate(marked), len(ids)).astype(np.int64)
+            found.clear()
+            marked.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(a), pa.array(n)], names=["feature", "a", "n"])
+
+        held = 0
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), rows_of(batch), strict=True):
+                found.append(features(text)[0])
+                marked.append(np.full(len(found[-1]), y))
+                held += len(found[-1])
+                if held > 1_000_000:
+                    yield out()
+                    held = 0
+        if found:
+            yield out()
+
+    counted = whole_texts(picked, "y").mapInArrow(run, "feature long, a long, n long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    share = F.col("n") / (yes + no)
+    error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / yes + 1 / no))
+    clean = (F.col("n") - F.col("a")) / no
+    differs = (F.col("a") / yes - clean >= LEAST_Z * error) & (F.col("a") / yes >= LEAST_RATIO * clean)
+    found = counted.where((F.col("n") >= LEAST_TEXTS) & (F.col("a") >= LEAST_SHARE * yes) & differs).select("feature").toArrow()
+    return np.sort(found.column("feature").to_numpy())
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> OrdinalModel:
     """The model fitted on at most ``limit`` labelled rows whose documents are in ``docs``, the first by hash of the id."""
     sample = labelled_sample(labels, "toxic", limit)
     label = dict(sample)
+    telling = telling_features(docs, sample) if sample else np.zeros(0, np.int64)
 
     def row(text: bytes) -> dict:
-        at, value, n = features(text)
-        return {"at": at.tolist(), "value": value.tolist(), "n": n}
+        at, value = features(text)
+        keep = np.isin(at, telling)
+        return {"at": at[keep].tolist(), "value": value[keep].tolist()}
 
-    got = sample_features(docs, sample, row, "at array<long>, value array<double>, n long")
+    got = sample_features(docs, sample, row, "at array<long>, value array<double>")
     ids = got.column("doc_id").to_pylist()
-    at, value, n = (got.column(c).combine_chunks() for c in ("at", "value", "n"))
+    at, value = (got.column(c).combine_chunks() for c in ("at", "value"))
     order = sorted(range(len(ids)), key=lambda i: ids[i])
-    rows = [(np.array(at[i].values), np.array(value[i].values), n[i].as_py()) for i in order]
+    rows = [(np.array(at[i].values), np.array(value[i].values)) for i in order]
     toxic = np.array([label[ids[i]] for i in order], np.int64)
     return fit(rows, grades(rows, toxic))
 
