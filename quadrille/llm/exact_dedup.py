@@ -42,7 +42,9 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", hash_of: Callable[[Colum
         .withColumns({"h": hash_of(F.col("text_sha256")), "rid": F.monotonically_increasing_id()}),
         "digests",
     )
+    # A table of its own: a join of two tables is what Spark can split where a hash is hot.
     groups = rows.groupBy("h").agg(F.count("*").alias("group_size"), best(F.struct("doc_id", "rid")).alias("best"))
+    groups = materialize(groups, "groups")
     repeated = groups.where("group_size > 1").select("h")
     texts = docs.select("doc_id", text.alias("text")).withColumn("h", hash_of(F.sha2(F.col("text").cast("binary"), 256)))
     few = repeated.count() <= BROADCAST_GROUPS

@@ -249,7 +249,7 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     roots = materialize(components(links(distinct, radius)), "components").withColumnRenamed("node", "fp")
     least = roots.join(distinct, "fp").groupBy("root").agg(F.min("first").alias("least"))
     linked = roots.join(least, "root").select("fp", "least")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    named = materialize(distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "named")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
