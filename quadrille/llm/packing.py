@@ -28,7 +28,7 @@ from ._common import materialize, rows_of, whole_texts, worker_cache
 
 CAPACITY = 4096
 #: Words of which a worker remembers the ids; then it starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 
 
 class WordTokenizer:

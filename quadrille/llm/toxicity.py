@@ -39,7 +39,7 @@ LEAST_SHARE = 0.02
 #: How much more the loss of the first threshold, toxic or not, counts than those between grades.
 FIRST_THRESHOLD = 4.0
 #: Words whose features a task remembers.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 #: A document is rejected if it is toxic (grade 1 or more) with at least this probability.
 REJECT = 0.5
 
@@ -71,7 +71,7 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def score(self, text: bytes, known: dict[bytes, list[int]]) -> float:
+    def score(self, text: bytes, known: dict[bytes, tuple[int, ...]]) -> float:
         """The weighted sum of a text's features. ``known`` remembers the weights' places of words."""
         found = words_of(text)
         new = set(found).difference(known)
@@ -79,7 +79,7 @@ class OrdinalModel:
             known.clear()
             new = set(found)
         for w in new:
-            known[w] = [k for f in word_features(w) if (k := bisect_left(self.ids, f)) < len(self.ids) and self.ids[k] == f]
+            known[w] = tuple(k for f in word_features(w) if (k := bisect_left(self.ids, f)) < len(self.ids) and self.ids[k] == f)
         at, n = np.unique(np.array([k for places in map(known.__getitem__, found) if places for k in places], np.int64), return_counts=True)
         return float(self.weights[at] @ (1 + np.log(n)))
 
