@@ -9,6 +9,8 @@ ranges of its own, broadcast only if there are few of them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,10 +23,11 @@ from ..sources.tables import saved
 MAX_CELLS = 512
 
 
-def cell_size(df: DataFrame, box: Box, scale: float = 2.0) -> float:
-    """Twice the 90th percentile of the boxes' largest extents; 1 without boxes."""
-    got = df.agg(F.percentile_approx(F.greatest(*box.extents()), 0.9, 1000).alias("e")).first()["e"]
-    return max(float(got or 0.0) * scale, 1e-9) if got else 1.0
+def extents_of(df: DataFrame, box: Box) -> tuple[float, list[float]]:
+    """The 90th percentile of the boxes' largest extents, and the largest extent along each axis; zeros without boxes."""
+    e = box.extents()
+    got = df.agg(F.percentile_approx(F.greatest(*e), 0.9, 1000), *[F.max(x) for x in e]).first()
+    return float(got[0] or 0.0), [float(x or 0.0) for x in got[1:]]
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -54,7 +57,8 @@ def box_join(left: DataFrame, right: DataFrame, lbox: Box, rbox: Box, on: Column
 
     ``on`` is a further condition, applied after the box test. Null boxes meet nothing.
     """
-    size = size or max(cell_size(left, lbox), cell_size(right, rbox))
+    (l90, l_most), (r90, r_most) = extents_of(left, lbox), extents_of(right, rbox)
+    size = size or max(2 * max(l90, r90), 1e-9)
     dim = lbox.dim
     meets = lbox.intersects(rbox) if on is None else lbox.intersects(rbox) & on
     lbig, rbig = _volume(lbox, size) > MAX_CELLS, _volume(rbox, size) > MAX_CELLS
@@ -64,13 +68,15 @@ def box_join(left: DataFrame, right: DataFrame, lbox: Box, rbox: Box, on: Column
     owner = all_of(F.col(f"__l{i}") == F.greatest(f"__l_first{i}", f"__r_first{i}") for i in range(dim))
     names = [*left.columns, *right.columns]
     pairs = a.join(b, same & owner & meets).select(*names)
-    # Large boxes: few, and compared by range.
-    for one, other in ((left.where(lbig), right), (l_small, right.where(rbig))):
-        pairs = pairs.unionByName(_large(one, other, lbox, rbox, meets).select(*names))
+    # Large boxes: few, and compared by range. A side whose largest extents span few cells has none.
+    if math.prod(x / size + 2 for x in l_most) > MAX_CELLS:
+        pairs = pairs.unionByName(_large(left.where(lbig), right, meets).select(*names))
+    if math.prod(x / size + 2 for x in r_most) > MAX_CELLS:
+        pairs = pairs.unionByName(_large(l_small, right.where(rbig), meets).select(*names))
     return pairs
 
 
-def _large(left: DataFrame, right: DataFrame, lbox: Box, rbox: Box, meets: Column) -> DataFrame:
+def _large(left: DataFrame, right: DataFrame, meets: Column) -> DataFrame:
     # A theta join: Spark broadcasts the smaller side if it is under the threshold, and streams the product by blocks otherwise.
     return left.join(right, meets)
 
@@ -80,7 +86,7 @@ def self_pairs(df: DataFrame, box_of, key: str, on: Column | None = None, size:
     a = df.select(*[F.col(c).alias(f"a_{c}") for c in df.columns])
     b = df.select(*[F.col(c).alias(f"b_{c}") for c in df.columns])
     ordered = F.col(f"a_{key}") < F.col(f"b_{key}")
-    return box_join(a, b, box_of("a_"), box_of("b_"), ordered if on is None else ordered & on, size or cell_size(a, box_of("a_")))
+    return box_join(a, b, box_of("a_"), box_of("b_"), ordered if on is None else ordered & on, size)
 
 
 def nearest(points: DataFrame, targets: DataFrame, p: V, box: Box, distance: Column, key: str, target_key: str, k: int = 1, reach: float | None = None) -> DataFrame:
