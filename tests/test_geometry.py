@@ -292,3 +292,13 @@ def test_manifolds():
     assert manifolds.match(m, manifolds.cuboids(np.zeros(3), one, half, np.array([0, 0, 1.9]), turned, half)).data == {m.features[0]: "kept"}
     b = manifolds.balls(np.zeros(3), 1.0, np.array([1.5, 0, 0]), 1.0)
     assert b.dist[0] == -0.5 and b.deepest() == 0
+
+
+def test_root_isolation():
+    from quadrille.kernels.intervals import Interval, point, roots
+
+    found = roots(lambda x: x * x - point(2.0), lambda x: point(2.0) * x, Interval(-3.0, 3.0))
+    assert len(found) == 2 and found[0].contains(-math.sqrt(2)) and found[1].contains(math.sqrt(2))
+    waves = roots(lambda x: x.sin(), lambda x: x.cos(), Interval(1.0, 10.0))
+    assert [round(r.middle() / math.pi) for r in waves] == [1, 2, 3] and all(r.width() < 1e-6 for r in waves)
+    assert roots(lambda x: x * x + point(1.0), lambda x: point(2.0) * x, Interval(-3.0, 3.0)) == []
