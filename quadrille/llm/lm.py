@@ -6,9 +6,9 @@ smoothed, are the unigram probabilities. A word's probability is then the sum ov
 by a forward recursion in log space; pieces never cross white space, so a text's log probability is the sum
 of its words' and that of its end. A character that is no piece is spelled in bytes.
 
-Word counts cover all training documents and their number isn't bounded, so they stay a distributed table.
-Only the ``HEAD`` most frequent words are broadcast (under 10 MB); a text's other words, a few in a hundred,
-are joined to the table and summed by document, exactly. The pieces, 32,000, are broadcast whole.
+Word counts cover all training documents and their number isn't bounded, so they stay a distributed table, with
+every distinct word's probability beside them. Only the ``HEAD`` most frequent words are broadcast (under 10 MB);
+a text's other words, a few in a hundred, are joined to the table and summed by document, exactly. The pieces, 32,000, are broadcast whole.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,7 @@ from ._common import id_crc32, materialize, rows_of, whole_texts, worker_cache
 
 #: Words whose counts are broadcast.
 HEAD = 150_000
-#: Words of which a worker remembers the probability, and distinct words that a task counts before it passes them on.
-CACHED_WORDS = 300_000
+#: Distinct words that a task counts before it passes them on.
 COUNTED_WORDS = 200_000
 #: Added to every piece's count.
 SMOOTHING = 0.5
@@ -41,27 +41,35 @@ def _words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_counts(training: DataFrame) -> DataFrame:
-    """(word, n) over whole texts, words as lower-cased bytes; the empty word counts the texts' ends."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) over whole texts, words as lower-cased bytes: ``n`` is the count in training documents, 0 for words seen in
+    others alone. The empty word counts the texts' ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
+        others: set[bytes] = set()
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            others.difference_update(seen)
+            batch = pa.RecordBatch.from_arrays([pa.array([*seen, *others], pa.binary()), pa.array([*seen.values(), *[0] * len(others)], pa.int64())], names=["word", "n"])
             seen.clear()
+            others.clear()
             return batch
 
         for batch in batches:
-            for text in rows_of(batch):
-                seen.update(_words(text))
-                seen[END] += 1
-                if len(seen) > COUNTED_WORDS:
+            for left_out, text in zip(batch.column(0).to_pylist(), rows_of(batch), strict=True):
+                if left_out:
+                    others.update(_words(text))
+                else:
+                    seen.update(_words(text))
+                    seen[END] += 1
+                if len(seen) + len(others) > COUNTED_WORDS:
                     yield out()
-        if seen:
+        if seen or others:
             yield out()
 
-    return whole_texts(training).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    marked = docs.select(held_out(F.col("doc_id")).alias("left_out"), "text")
+    return whole_texts(marked, "left_out").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _vocabulary(path: str):
@@ -128,34 +136,17 @@ class Lattice:
         return alpha[-1] / math.log(10)
 
 
-class _Scorer:
-    """What a task knows of words: lattice probability, log10(count + 1), and whether the count is at hand."""
-
-    def __init__(self, lattice: Lattice, head: dict[bytes, int]) -> None:
-        self.lattice, self.head = lattice, head
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.marginal, self.base, self.here = np.zeros(1 << 16), np.zeros(1 << 16), np.zeros(1 << 16, bool)
-
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        new = [w for w in set(words) if w not in self.at]
-        if len(self.at) + len(new) > CACHED_WORDS:
-            self.clear()
-            new = list(set(words))
-        n = len(self.at)
-        if n + len(new) > len(self.base):
-            more = max(len(self.base), n + len(new))
-            self.marginal, self.base, self.here = (np.concatenate((x, np.zeros(more, x.dtype))) for x in (self.marginal, self.base, self.here))
-        for w in new:
-            self.at[w] = n
-            self.marginal[n] = self.lattice.word(w)
-            count = self.head.get(w)
-            if count is not None:
-                self.base[n], self.here[n] = math.log10(count + 1), True
-            n += 1
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+def with_marginals(counts: DataFrame, pieces: list[str], scores: list[float]) -> DataFrame:
+    """(word, n, marginal): every distinct word's lattice probability, computed once."""
+    shared = counts.sparkSession.sparkContext.broadcast((pieces, scores))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = Lattice(*shared.value)
+        for batch in batches:
+            marginal = [lattice.end if w == END else lattice.word(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marginal, pa.float64())], names=["word", "n", "marginal"])
+
+    return counts.mapInArrow(run, "word binary, n long, marginal double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -172,47 +163,56 @@ def score_documents(docs: DataFrame, path: str, head_size: int = HEAD) -> DataFr
     Other columns are ignored; an empty table gives none.
     """
     spark = docs.sparkSession
-    counts = materialize(word_counts(docs.where(~held_out(F.col("doc_id")))), "words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(head_size).collect()}
-    least = min(head.values(), default=0)
+    counts = materialize(word_counts(docs), "words")
+    total = counts.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     scores = piece_scores(counts, path).tolist()
     vocabulary = _vocabulary(path)
     pieces = [vocabulary.id_to_piece(i) for i in range(vocabulary.get_piece_size())]
-    shared, token = spark.sparkContext.broadcast((pieces, scores, head)), uuid.uuid4().hex
+    words = materialize(with_marginals(counts, pieces, scores), "marginals")
+    top = words.orderBy(F.desc("n"), "word").limit(head_size).collect()
+    least = min((r["n"] for r in top), default=total["n"])
+    ends = counts.where(F.length("word") == 0).first()
+    end, seen_end = (math.log10(ends["n"] + 1), 1) if ends and ends["n"] else (0.0, 0)
+    last = scores[pieces.index("</s>")]
+    shared = spark.sparkContext.broadcast([(bytes(r["word"]), r["n"], r["marginal"]) for r in top])
+    token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, scores, head = shared.value
         cache = worker_cache()
-        if cache.get("scorer of") != token:
-            cache["scorer"], cache["scorer of"] = _Scorer(Lattice(pieces, scores), head), token
-        scorer, task, row = cache["scorer"], TaskContext.get().partitionId(), 0
-        end = math.log10(head[END] + 1) if END in head else 0.0
+        if cache.get("head of") != token:
+            head = shared.value
+            n = np.array([h[1] for h in head] + [0], float)
+            cache["head"] = {h[0]: i for i, h in enumerate(head)}, np.log10(n + 1), n > 0, np.array([h[2] for h in head] + [0.0])
+            cache["head of"] = token
+        (place, base_of, seen_of, marginal_of), task, row = cache["head"], TaskContext.get().partitionId(), 0
+        nowhere = len(place)
         for batch in batches:
             out = []
             for text in rows_of(batch):
-                words = _words(text)
-                at = scorer.look_up(words)
-                here = scorer.here[at]
-                far = [words[i] for i in np.flatnonzero(~here)]
-                out.append((len(words) + 1, int(here.sum()) + (END in head), float(scorer.base[at].sum()) + end, float(scorer.marginal[at].sum()) + scorer.lattice.end, far))
+                found = _words(text)
+                at = np.fromiter(map(place.get, found, repeat(nowhere)), np.int64, len(found))
+                far = [found[i] for i in np.flatnonzero(at == nowhere)]
+                out.append((len(found) + 1, int(seen_of[at].sum()) + seen_end, float(base_of[at].sum()) + end, float(marginal_of[at].sum()) + last, far))
             n, known, base, marginal, far = zip(*out, strict=True) if out else ((),) * 5
             ids = (np.arange(len(out), dtype=np.int64) + row) + (task << 40)
             row += len(out)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(marginal, pa.float64()), pa.array(far, pa.list_(pa.binary()))],
-                names=["doc_id", "row", "n_tokens", "known", "base", "score", "far"],
+                names=["doc_id", "row", "n_tokens", "known", "base", "marginal", "far"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = materialize(whole_texts(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, score double, far array<binary>"), "scored")
-    # Words beyond the head are at most as frequent as its last. Words that training hasn't seen find no partner and add log10(1).
-    rare = counts.where(F.col("n") <= least)
-    far = rows.select("row", F.explode("far").alias("word")).join(rare, "word").groupBy("row").agg(F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count("*").alias("seen"))
+    rows = materialize(whole_texts(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, marginal double, far array<binary>"), "scored")
+    # Words beyond the head are at most as frequent as its last.
+    rare = words.where(F.col("n") <= least)
+    far = rows.select("row", F.explode("far").alias("word")).join(rare, "word").groupBy("row").agg(
+        F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count_if(F.col("n") > 0).alias("seen"), F.sum("marginal").alias("rest")
+    )
     each = math.log10(total["n"] + total["v"] + 1)
     return rows.join(far, "row", "left").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens",
         (F.col("known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(total["n"]).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * each).alias("base_score"),
+        (F.col("marginal") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )
