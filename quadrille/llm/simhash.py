@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ from ._common import materialize, rows_of, whole_texts
 from .components import components
 
 CHUNK = 1024
+#: Bytes of shingle sets in a part, where links are verified.
+CHUNK_BYTES = 16 << 20
 #: (query, block) pairs that are compared at once: 16,384 take about 1 MB of counters.
 TASKS = 16_384
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -137,8 +139,33 @@ def _unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
-def near_links(fps: np.ndarray, groups: np.ndarray, radius: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (member, root) of the links within each group of fingerprints (n, words). ``groups`` is sorted; equal values are a group."""
+def _unite_if(parent: np.ndarray, a: np.ndarray, b: np.ndarray, linked: Callable[[int, int], bool]) -> np.ndarray:
+    """As ``_unite``, of the pairs that ``linked`` confirms; it is not asked about pairs that are joined already."""
+    apart = parent[a] != parent[b]
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while x in up:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    for x, y, rx, ry in zip(*(v[apart].tolist() for v in (a, b, parent[a], parent[b])), strict=True):
+        rx, ry = root(rx), root(ry)
+        if rx != ry and linked(x, y):
+            up[max(rx, ry)] = min(rx, ry)
+    if up:
+        old = np.fromiter(up, np.int64, len(up))
+        parent[old] = [root(x) for x in up]
+        parent = _find(parent)
+    return parent
+
+
+def near_links(fps: np.ndarray, groups: np.ndarray, radius: int = 3, linked: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (member, root) of the links within each group of fingerprints (n, words). ``groups`` is sorted; equal values are a group.
+
+    With ``linked``, fingerprints within the radius are candidates, and those positions link that it confirms.
+    """
     n = len(fps)
     first = np.flatnonzero(np.diff(groups, prepend=groups[0] - 1 if n else 0))
     size = np.diff(np.append(first, n))
@@ -164,13 +191,24 @@ def near_links(fps: np.ndarray, groups: np.ndarray, radius: int = 3) -> tuple[np
         while len(query):
             low = hits & (~hits + np.uint64(1))
             lane = np.bitwise_count(low - np.uint64(1)).astype(np.int64)
-            parent = _unite(parent, query, word_first[word] + lane)
+            other = word_first[word] + lane
+            parent = _unite(parent, query, other) if linked is None else _unite_if(parent, query, other, linked)
             hits = hits & ~low
             more = hits != 0
             query, word, hits = query[more], word[more], hits[more]
         at = to
-    linked = np.flatnonzero(parent != np.arange(n))
-    return linked, parent[linked]
+    members = np.flatnonzero(parent != np.arange(n))
+    return members, parent[members]
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted arrays without repeats) have at least this Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-6:
+        return False
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / max(1, len(both) - shared) >= similarity
 
 
 def _buckets(fp: Column, radius: int) -> Column:
@@ -182,12 +220,15 @@ def _buckets(fp: Column, radius: int) -> Column:
     return F.array(*[F.lit(t << 58) + F.shiftleft(part[i], edges[j + 1] - edges[j]) + part[j] for t, (i, j) in enumerate(pairs)])
 
 
-def bucket_links(rows: DataFrame, radius: int, chunk: int = CHUNK, signatures: DataFrame | None = None) -> DataFrame:
+def bucket_links(rows: DataFrame, radius: int, chunk: int = CHUNK, signatures: DataFrame | None = None, similarity: float | None = None) -> DataFrame:
     """(a, b): links between nodes that join all that chains of links within buckets join.
 
     ``rows`` has (node, bucket). A node is its own fingerprint (a long), or has a longer one, of bytes, in ``signatures`` (node, sig).
+    With ``similarity``, ``signatures`` has ``shingles`` too, the sorted hashes as bytes, and ``rows`` their ``size`` in
+    bytes: nodes within the radius link if their sets have this Jaccard similarity.
     """
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
+    parts = F.ceil(F.count("*") / chunk) if similarity is None else F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("size") / CHUNK_BYTES))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), parts.cast("int").alias("parts")).where("n > 1").select("bucket", "parts")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != F.col("part")))
     groups = rows.join(sizes, "bucket").withColumn("part", part).withColumn("other", F.explode(others))
@@ -208,7 +249,12 @@ def bucket_links(rows: DataFrame, radius: int, chunk: int = CHUNK, signatures: D
             new = np.zeros(len(fps), bool)
             for c in ("bucket", "lo", "hi"):
                 new |= np.diff(table.column(c).to_numpy(), prepend=table.column(c)[0].as_py()) != 0
-            member, root = near_links(fps, np.cumsum(new), radius)
+            linked = None
+            if similarity is not None:
+                sets = table.column("shingles").combine_chunks()
+                members = lambda i: np.frombuffer(sets[i].as_buffer(), np.uint64)
+                linked = lambda i, j: similar(members(i), members(j), similarity)
+            member, root = near_links(fps, np.cumsum(new), radius, linked)
             return pa.RecordBatch.from_arrays([node.take(pa.array(member)), node.take(pa.array(root))], names=["a", "b"])
 
         for batch in batches:
@@ -259,12 +305,12 @@ def hex_fingerprint(fp: Column) -> Column:
 
 #: For near-duplicates by similarity: words of 64 bits in a fingerprint, bands of minima, and minima in each band.
 WIDE = 8
-BANDS, BAND_ROWS = 16, 5
+BANDS, BAND_ROWS = 24, 5
 _MIX = np.random.default_rng(20).integers(1, 1 << 63, BANDS * BAND_ROWS + WIDE, np.uint64) | np.uint64(1)
 
 
-def sketch(text: bytes, width: int) -> tuple[bytes, bytes, list[int]]:
-    """A text's set of shingles as a 128-bit digest, a SimHash of 512 bits, and its bands of minimum hashes."""
+def sketch(text: bytes, width: int) -> tuple[bytes, bytes, list[int], bytes]:
+    """A text's set of shingles as a 128-bit digest, a SimHash of 512 bits, its bands of minimum hashes, and its sorted hashes."""
     shingles = np.unique(shingle_hashes(text, width))
     sig = np.zeros(WIDE, np.uint64)
     low = np.full(BANDS * BAND_ROWS, _ALL, np.uint64)
@@ -278,35 +324,54 @@ def sketch(text: bytes, width: int) -> tuple[bytes, bytes, list[int]]:
         part = shingles[at : at + 1024, None] * _MIX[None, WIDE:]
         low = np.minimum(low, (part ^ part >> np.uint64(32)).min(axis=0))
     bands = [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(low.reshape(BANDS, BAND_ROWS))]
-    return xxhash.xxh3_128_digest(shingles.tobytes()), sig.tobytes(), np.array(bands, np.uint64).view(np.int64).tolist()
+    return xxhash.xxh3_128_digest(shingles.tobytes()), sig.tobytes(), np.array(bands, np.uint64).view(np.int64).tolist(), shingles.tobytes()
 
 
 def radius_of(similarity: float) -> int:
-    """The bits of a wide fingerprint that two sets of this Jaccard similarity, of equal size, differ in, and three quarters of a standard deviation more."""
+    """The bits of a wide fingerprint within which two sets of this Jaccard similarity are candidates.
+
+    Sets of equal size differ in most bits, an angle's share of them. Six standard deviations more leave room for sets of a
+    few shingles, whose majorities tie: 4 of 5 shingles differ in 96 bits rather than 78.
+    """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * WIDE * share + 0.75 * (64 * WIDE * share * (1 - share)) ** 0.5)
+    return round(64 * WIDE * share + 6 * (64 * WIDE * share * (1 - share)) ** 0.5)
 
 
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of documents whose sets of ``width``-word shingles are this similar, in chains; the id is the smallest.
 
     Fingerprints of 64 bits can't tell 0.8 from 0.6, and bit blocks don't find pairs that far apart, so this takes
-    512 bits, and bands of minimum hashes of the same shingles deal the buckets (a pair at 0.8 meets in one of 16 with
-    99.8 %); the comparison inside a bucket is the same. Texts without words are alike. Null ids are passed over.
+    512 bits, and bands of minimum hashes of the same shingles deal the buckets (a pair at 0.8 meets in one of 24 with
+    99.99 %); the comparison inside a bucket is the same. What chains of these candidates join is compared once more, and
+    a candidate links by the exact similarity of its sets. Texts without words are alike. Null ids are passed over.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, sig, bands = zip(*(sketch(t, width) for t in rows_of(batch)), strict=True) if batch.num_rows else ((), (), ())
+            node, sig, bands = zip(*(sketch(t, width)[:3] for t in rows_of(batch)), strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "sig", "bands"])
 
+    def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = rows_of(batch)
+            while rows := [sketch(t, width) for t in itertools.islice(texts, 256)]:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1, 3)], names=["node", "sig", "shingles"])
+
     kind = dict(docs.dtypes)["doc_id"]
     sketches = materialize(whole_texts(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, node binary, sig binary, bands array<long>"), "sketches")
     # Of equal sets one row: all have the same signature and bands.
     distinct = materialize(sketches.groupBy("node").agg(F.min("doc_id").alias("first")), "distinct")
     once = sketches.dropDuplicates(["node"])
     rows = once.select("node", F.explode("bands").alias("bucket"))
-    roots = materialize(components(bucket_links(rows, radius_of(similarity), signatures=once.select("node", "sig"))), "components")
+    radius = radius_of(similarity)
+    chains = materialize(components(bucket_links(rows, radius, signatures=once.select("node", "sig"))), "chains").withColumn("bucket", F.xxhash64("root"))
+    # Shingle sets are made for the texts of chains alone, and travel once for each node, not for each band.
+    ids = sketches.join(chains, "node", "left_semi").select(F.col("doc_id").alias("__id")).distinct()
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+    sets = whole_texts(texts, "doc_id").drop("doc_id").mapInArrow(run_sets, "node binary, sig binary, shingles binary")
+    chained = materialize(sets.join(chains, "node").dropDuplicates(["node"]).select("node", "bucket", "sig", "shingles"), "chained")
+    rows = chained.select("node", "bucket", F.octet_length("shingles").cast("long").alias("size"))
+    roots = materialize(components(bucket_links(rows, radius, signatures=chained.select("node", "sig", "shingles"), similarity=similarity)), "components")
     least = roots.join(distinct, "node").groupBy("root").agg(F.min("first").alias("least"))
     linked = roots.join(least, "root").select("node", "least")
     named = materialize(distinct.join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("component_id")), "named")

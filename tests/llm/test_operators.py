@@ -325,6 +325,36 @@ def test_near_duplicates_at_similarity(spark):
     assert left == {10 * i + k for i in range(20) for k in (0, 2)}
 
 
+def test_near_duplicates_are_exact_about_the_threshold(spark):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(5000)]
+    rows, want, similarities = [], set(), []
+    for i in range(150):
+        n = (9, 60, 400)[i % 3]
+        a = list(rng.choice(words, n))
+        b = list(a)
+        for k in range({9: i // 3 % 2, 60: 1, 400: 6 + i // 3 % 5}[n]):
+            b[10 + 30 * k if n > 9 else 8] = f"other{k}"
+        b = b[: n - i % 4]
+        sets = [{tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in (a, b)]
+        similarities.append(len(sets[0] & sets[1]) / len(sets[0] | sets[1]))
+        rows += [(2 * i, " ".join(a), "", "", 0), (2 * i + 1, " ".join(b), "", "", 0)]
+        want |= {2 * i} if similarities[-1] >= 0.8 else {2 * i, 2 * i + 1}
+    assert sum(0.78 <= s < 0.8 for s in similarities) > 5 and sum(0.8 <= s < 0.84 for s in similarities) > 20
+    assert {r["doc_id"] for r in simhash.without_near_duplicates(make(spark, rows)).collect()} == want
+    # Templated texts that the filter chains, of which only some neighbours are similar.
+    base = list(rng.choice(words, 200))
+    chain = [(k, " ".join(base[: 200 - 7 * k] + [f"end{k}x{j}" for j in range(7 * k)]), "", "", 0) for k in range(12)]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(196)} for _, t, *_ in chain]
+    roots = list(range(12))
+    for i in range(12):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                roots = [min(roots[i], roots[j]) if r in (roots[i], roots[j]) else r for r in roots]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(make(spark, chain)).collect()}
+    assert got == dict(enumerate(roots)) and len(set(roots)) > 1
+
+
 # op7 ---------------------------------------------------------------------------------------------------
 
 
