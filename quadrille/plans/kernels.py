@@ -96,7 +96,7 @@ def gjk_toi(spark, sf):
 @query()
 def nonlinear_toi(spark, sf):
     """Turning boxes that move towards the next one: when they first touch it."""
-    pairs = boxes_of(spark, sf, "a_").where("a_id % 4 = 0").join(boxes_of(spark, sf, "b_"), F.col("b_id") == F.col("a_id") + 1)
+    pairs = boxes_of(spark, sf, "a_").join(boxes_of(spark, sf, "b_"), F.col("b_id") == F.col("a_id") + 1)
 
     def run(rows):
         a, b = _cloud(rows, "a_"), _cloud(rows, "b_")
@@ -203,7 +203,7 @@ def polygon_intersection(spark, sf):
 @query()
 def voxelized_meshes(spark, sf):
     """Box meshes as solids of unit voxels: cells on the surface, and with the inside filled."""
-    solid = boxes_of(spark, sf).where("id % 20 = 0").withColumnRenamed("id", "mesh_id")
+    solid = boxes_of(spark, sf).withColumnRenamed("id", "mesh_id")
     v, f = generators.box_mesh(solid, "mesh_id", B.Box.columns())
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -223,7 +223,7 @@ def convex_decomposition(spark, sf):
         parts = solids.decompose(cells, 0.2, 8)
         return pd.DataFrame([(int(rows.iz.iloc[0]), len(parts), sum(map(len, parts)))], columns=["iz", "parts", "voxels"])
 
-    return view(spark, sf, "g_voxels").where("iz <= 3").groupBy("iz").applyInPandas(run, "iz long, parts int, voxels long")
+    return view(spark, sf, "g_voxels").groupBy("iz").applyInPandas(run, "iz long, parts int, voxels long")
 
 
 @query()

@@ -256,6 +256,17 @@ def test_solids():
     assert solids.triangles_intersect(t1, t2) is not None and solids.triangles_intersect(t1, t2 + [0, 0, 5]) is None
 
 
+def test_queries_without_sql_take_whole_tables(spark):
+    from quadrille.plans.registry import QUERIES, boxes_of, view
+
+    sf = "/root/testdata/sf0.001"
+    ids = {r["id"] for r in boxes_of(spark, sf).select("id").collect()}
+    assert {r["mesh_id"] for r in QUERIES["voxelized_meshes"](spark, sf).collect()} == ids
+    assert {r["a_id"] for r in QUERIES["nonlinear_toi"](spark, sf).collect()} == {i for i in ids if i + 1 in ids}
+    voxels = {r["iz"]: r["count"] for r in view(spark, sf, "g_voxels").groupBy("iz").count().collect()}
+    assert {r["iz"]: r["voxels"] for r in QUERIES["convex_decomposition"](spark, sf).collect()} == voxels
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(i, i % 3, i, float(i % 7), float(i % 5), 0.5) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, entity long, ts long, x double, y double, h double")
