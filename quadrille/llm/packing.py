@@ -2,20 +2,22 @@
 
 The plan needs only the histogram of piece lengths, at most ``capacity`` numbers however large the corpus:
 a configuration linear program over it (how many sequences hold which multiset of lengths) is solved by
-multiplicative weights, each step pricing configurations by a knapsack dynamic program over the capacity,
-then rounded down; what is left over is packed largest first, each sequence filled with the largest
-lengths that fit. Pieces as long as a sequence are sequences of their own.
+multiplicative weights, each round pricing configurations by a knapsack dynamic program over the capacity,
+then rounded to whole sequences; lengths that no well-priced configuration is left for are packed largest first, each
+sequence filled with the largest that fit. Pieces as long as a sequence are sequences of their own.
 
 Pieces are cut, counted and ranked (within their length and task) in one pass over the texts. A table of
 counts by (task, length) turns ranks into global ones, and a rank within its length selects the sequence
-and the offset from the plan, which is bounded by the number of distinct lengths and travels with the code.
+and the offset from the plan, which is bounded by the rounds and the number of distinct lengths, and broadcast once.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import zlib
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,12 @@ from pyspark.sql import Window as W
 from ._common import materialize, rows_of, whole_texts, worker_cache
 
 CAPACITY = 4096
-#: Words of which a worker remembers the ids; then it starts anew.
-CACHED_WORDS = 400_000
+#: Bytes of words and their ids that a worker remembers, Python's own bytes for each included; then it starts anew.
+CACHED_BYTES = 24 << 20
+#: What Python takes for a remembered word besides its bytes: two objects and a place in the dict.
+_ENTRY = 170
+#: Rounds of the configuration program, each a knapsack of at most capacity squared steps.
+ROUNDS = 12
 
 
 class WordTokenizer:
@@ -48,6 +54,7 @@ class WordTokenizer:
         self.ends = np.zeros(loaded.get_vocab_size(), bool)
         self.ends[[i for piece, i in loaded.get_vocab().items() if piece.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def ids(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -56,12 +63,14 @@ class WordTokenizer:
         found = list(map(self.known.get, words))
         new = [i for i, ids in enumerate(found) if ids is None]
         if new:
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known.clear()
-            self._learn({words[i] for i in new})
+            self._learn(fresh := {words[i] for i in new})
             known = self.known
             for i in new:
                 found[i] = known[words[i]]
+            self.held += sum(len(w) + len(known[w]) + _ENTRY for w in fresh)
+            if self.held > CACHED_BYTES:
+                known.clear()
+                self.held = 0
         return b"".join(found)
 
     def _learn(self, words: set[bytes]) -> None:
@@ -69,7 +78,8 @@ class WordTokenizer:
         for w in words:
             stem = w[:-1] if w.endswith((b".", b",")) else w
             text = stem.decode("utf-8", "replace")
-            if text.isalpha():
+            # As the tokenizer reads it: some letters become a letter and a mark, which joins the full stop or comma.
+            if text.isalpha() and (text.isascii() or normalize("NFC", text).lower().isalpha()):
                 if stem not in known:
                     stems[stem] = text
                 if stem is not w:
@@ -128,46 +138,79 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
     return whole_texts(docs, "doc_id").mapInArrow(run, schema)
 
 
-def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> np.ndarray:
-    """The knapsack: counts of each length, of the largest total value within the capacity. Lengths may repeat."""
-    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    sizes, worth = lengths[order], value[order]
-    upto = np.searchsorted(sizes, np.arange(capacity + 1), "right")
-    for c in range(int(sizes[0]), capacity + 1):
-        k = upto[c]
-        total = best[c - sizes[:k]] + worth[:k]
+def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The knapsack over ascending lengths that may repeat: the largest value within each room, and the length it takes there.
+
+    The second array has positions in ``lengths``, the longest of equal worth; -1 leaves a unit of the room empty.
+    """
+    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+    sizes, worth, n = lengths[::-1], value[::-1], len(lengths)
+    first = n - np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    for c in range(int(lengths[0]), capacity + 1):
+        total = best[c - sizes[first[c] :]] + worth[first[c] :]
         j = int(total.argmax())
         if total[j] > best[c - 1]:
-            best[c], choice[c] = total[j], j
+            best[c], choice[c] = total[j], n - 1 - first[c] - j
         else:
             best[c] = best[c - 1]
-    counts, c = np.zeros(len(lengths), np.int64), capacity
-    while c >= sizes[0]:
-        if choice[c] < 0:
-            c -= 1
-        else:
-            counts[order[choice[c]]] += 1
-            c -= sizes[choice[c]]
-    return counts
+    return best, choice
+
+
+def _configurations(lengths: np.ndarray, weight: np.ndarray, need: np.ndarray, capacity: int, slack: float) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], np.ndarray, float]:
+    """Whole sequences of configurations priced within ``slack`` of the best, what they leave, and the best one's price.
+
+    The longest lengths begin configurations, the knapsack fills them, and each is used as often as its scarcest length allows.
+    """
+    best, choice = price(lengths, weight, capacity)
+    least, stock, out = (1 - slack) * best[capacity], need.copy(), []
+    for i in range(len(lengths) - 1, -1, -1):
+        while stock[i]:
+            room, config, value = capacity - int(lengths[i]), {i: 1}, weight[i]
+            if value + best[room] < least:
+                break
+            while room >= lengths[0]:
+                j = int(choice[room])
+                if j < 0:
+                    room -= 1
+                elif config.get(j, 0) < stock[j]:
+                    config[j] = config.get(j, 0) + 1
+                    value += weight[j]
+                    room -= int(lengths[j])
+                else:
+                    break
+            if value < least:
+                break
+            where, counts = (np.fromiter(x, np.int64, len(config)) for x in (config, config.values()))
+            times = int((stock[where] // counts).min())
+            stock[where] -= counts * times
+            out.append((where, counts, times))
+    return out, stock, float(best[capacity])
 
 
-def solve(lengths: np.ndarray, need: np.ndarray, capacity: int, steps: int, rate: float = 1.0) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often they are used, by multiplicative weights on the covering program.
+def solve(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = 0.5, slack: float = 0.05) -> tuple[list[tuple[np.ndarray, np.ndarray, int]], float]:
+    """Sequences (positions in ``lengths``, counts, how many such) for all of ``need``, and a bound that no packing beats.
 
-    The dual starts at the volume bound, a length's share of the capacity. Each step takes the configuration
-    of the largest dual value as often as its scarcest length allows and discounts the lengths it covers.
+    Multiplicative weights on the dual of the covering program, which starts at the volume bound, a length's share of
+    the capacity. Each round rounds the program at its weights to whole sequences and packs what these leave largest
+    first; lengths then gain weight by the share of their need that no well-priced configuration held. Weights over the
+    best configuration's price are a dual solution, hence the bound. The round of the fewest sequences is returned, and
+    the first that meets the bound is the last.
     """
-    weight = lengths / capacity
-    used: dict[bytes, tuple[np.ndarray, float]] = {}
-    for _ in range(steps):
-        counts = np.minimum(price(lengths, weight, capacity), need)
-        at = counts > 0
-        step = float((need[at] / counts[at]).min())
-        weight[at] *= np.exp(-rate * counts[at] * step / need[at])
-        key = counts.tobytes()
-        used[key] = (counts, used[key][1] + step if key in used else step)
-    return list(used.values())
+    weight, found, fewest, low = lengths / capacity, [], None, 0.0
+    for _ in range(rounds):
+        program, left, top = _configurations(lengths, weight, need, capacity, slack)
+        low = max(low, float(need @ weight) / top)
+        for counts, times in _largest_first(lengths, left, capacity):
+            where = np.flatnonzero(counts)
+            program.append((where, counts[where], times))
+        total = sum(times for _, _, times in program)
+        if fewest is None or total < fewest:
+            found, fewest = program, total
+        if fewest <= math.ceil(low - 1e-6):
+            break
+        weight = weight * np.exp(rate * left / need)
+        weight /= weight.max()
+    return found, low
 
 
 def _largest_first(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
@@ -193,27 +236,13 @@ def _largest_first(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 160) -> list[tuple[dict[int, int], int]]:
-    """Sequences as (lengths with their counts, number of such sequences) that hold each length as often as ``histogram`` says.
-
-    The rounded program is completed largest first; where packing all of it largest first takes fewer sequences, that is returned.
-    """
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+    """Sequences as (lengths with their counts, number of such sequences) that hold each length as often as ``histogram`` says."""
     lengths = np.array(sorted(k for k, v in histogram.items() if v > 0), np.int64)
     if not len(lengths):
         return []
-    need = np.array([histogram[int(k)] for k in lengths], np.int64)
-    plain = _largest_first(lengths, need, capacity)
-    left, rounded = need.copy(), []
-    # The fullest configurations first: what rounding leaves over is then easiest to place.
-    for counts, times in sorted(solve(lengths, need, capacity, steps), key=lambda x: -int(x[0] @ lengths)):
-        used = counts > 0
-        times = min(int(times), int((left[used] // counts[used]).min()))
-        if times:
-            left[used] -= counts[used] * times
-            rounded.append((counts, times))
-    rounded += _largest_first(lengths, left, capacity)
-    best = min((rounded, plain), key=lambda p: sum(t for _, t in p))
-    return [({int(lengths[i]): int(c[i]) for i in np.flatnonzero(c)}, t) for c, t in best]
+    sequences, _ = solve(lengths, np.array([histogram[int(k)] for k in lengths], np.int64), capacity, rounds)
+    return [({int(lengths[i]): int(n) for i, n in zip(where, counts, strict=True)}, times) for where, counts, times in sequences]
 
 
 def _places(sequences: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,9 +275,10 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY)
     counts = part.groupBy("task", "length").agg((F.max("rank") + 1).alias("n"))
     counts = materialize(counts, "lengths")
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    key, base, offset = _places(plan(histogram, capacity))
+    shared = docs.sparkSession.sparkContext.broadcast(_places(plan(histogram, capacity)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, base, offset = shared.value
         for batch in batches:
             length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
             at = np.searchsorted(key, (length << 44) + rank, "right") - 1
@@ -257,11 +287,12 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY)
             yield pa.RecordBatch.from_arrays([*keep, pa.array(seq), pa.array(offset[at])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     before = F.sum("n").over(W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1))
-    ranked = part.join(counts.withColumn("before", F.coalesce(before, F.lit(0))), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
+    # A merge join: the counts grow with the tasks, and what is a small file may be a large broadcast.
+    ranked = part.join(counts.withColumn("before", F.coalesce(before, F.lit(0))).hint("merge"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    shared = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, schema)
+    together = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, schema)
     alone = cut.where(F.col("length") == capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (-(F.shiftleft(F.col("task").cast("long"), 32) + F.col("rank") + 1)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
-    return shared.unionByName(alone)
+    return together.unionByName(alone)

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -384,11 +385,30 @@ def test_word_tokenizer_equals_whole_texts():
         assert np.frombuffer(mine.ids(t.encode()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_word_tokenizer_by_random_strings():
+    tok, mine = Tokenizer.from_file(BPE), packing.WordTokenizer(BPE)
+    mine_small, packing_limit = packing.WordTokenizer(BPE), packing.CACHED_BYTES
+    rng = random.Random(8)
+    signs = "abcZİıßẞåÅÉ\u0301ΣςǅK\u0958क\u093c ग\u093e한日、。.,!?'’ \t\n0٣²_-ﬁ😀ŉ"
+    try:
+        for i in range(30_000):
+            text = "".join(rng.choices(signs, k=rng.randint(0, 12)))
+            want = tok.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(mine.ids(text.encode()), "<u4").tolist() == want, repr(text)
+            if i % 10 == 0:
+                packing.CACHED_BYTES = 2000
+                assert np.frombuffer(mine_small.ids(text.encode()), "<u4").tolist() == want
+                assert mine_small.held <= 2000
+                packing.CACHED_BYTES = packing_limit
+    finally:
+        packing.CACHED_BYTES = packing_limit
+
+
 def test_plan_holds_every_length():
     rng = np.random.default_rng(0)
     for _ in range(5):
         histogram = {int(k): int(v) for k, v in zip(rng.integers(1, 100, 30), rng.integers(1, 50, 30), strict=True)}
-        sequences = packing.plan(histogram, 100, steps=40)
+        sequences = packing.plan(histogram, 100)
         have = Counter()
         for counts, times in sequences:
             assert sum(k * v for k, v in counts.items()) <= 100
@@ -407,8 +427,23 @@ def test_plan_holds_every_length():
 
 def test_price_is_the_best_configuration():
     lengths, value = np.array([3, 5, 7]), np.array([0.31, 0.5, 0.73])
-    best = max((a * 0.31 + b * 0.5 + c * 0.73) for a in range(7) for b in range(5) for c in range(3) if 3 * a + 5 * b + 7 * c <= 20)
-    assert packing.price(lengths, value, 20) @ value == pytest.approx(best)
+    got, choice = packing.price(lengths, value, 20)
+    for room in range(21):
+        best = max((a * 0.31 + b * 0.5 + c * 0.73) for a in range(7) for b in range(5) for c in range(3) if 3 * a + 5 * b + 7 * c <= room)
+        assert got[room] == pytest.approx(best)
+        spent, c = 0.0, room
+        while c >= 3:
+            spent, c = (spent + value[choice[c]], c - lengths[choice[c]]) if choice[c] >= 0 else (spent, c - 1)
+        assert spent == pytest.approx(best)
+
+
+def test_program_fills_sequences():
+    """Lengths that pair only one way: the program must find the pairs, and leaves next to nothing over."""
+    histogram = {600: 40, 424: 40, 700: 30, 324: 30, 512: 20}
+    assert sum(t for _, t in packing.plan(histogram, 1024)) == 80
+    lengths = np.array(sorted(histogram))
+    sequences, low = packing.solve(lengths, np.array([histogram[k] for k in sorted(histogram)]), 1024)
+    assert all(int(counts @ lengths[where]) == 1024 for where, counts, _ in sequences) and low == pytest.approx(80)
 
 
 # op8 ---------------------------------------------------------------------------------------------------
