@@ -29,8 +29,8 @@ from pyspark.sql import Window as W
 from ._common import materialize, rows_of, whole_texts, worker_cache
 
 CAPACITY = 4096
-#: Bytes of words and their ids that a worker remembers, Python's own bytes for each included; then it starts anew.
-CACHED_BYTES = 24 << 20
+#: Bytes of words and their ids that a worker remembers, Python's own bytes for each included; those longest unseen go first.
+CACHED_BYTES = 96 << 20
 #: What Python takes for a remembered word besides its bytes: two objects and a place in the dict.
 _ENTRY = 170
 #: Rounds of the configuration program, each a knapsack of at most capacity squared steps.
@@ -53,7 +53,9 @@ class WordTokenizer:
         # The pieces that end a run of letters.
         self.ends = np.zeros(loaded.get_vocab_size(), bool)
         self.ends[[i for piece, i in loaded.get_vocab().items() if piece.endswith("</w>")]] = True
+        #: The words met since the cache was last half full, and those met before that.
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.held = 0
 
     def ids(self, text: bytes) -> bytes:
@@ -63,14 +65,16 @@ class WordTokenizer:
         found = list(map(self.known.get, words))
         new = [i for i, ids in enumerate(found) if ids is None]
         if new:
-            self._learn(fresh := {words[i] for i in new})
-            known = self.known
+            known, before = self.known, self.before
+            fresh = {words[i] for i in new}
+            again = [w for w in fresh if w in before] if before else []
+            known.update((w, before[w]) for w in again)
+            self._learn(fresh.difference(again))
             for i in new:
                 found[i] = known[words[i]]
             self.held += sum(len(w) + len(known[w]) + _ENTRY for w in fresh)
-            if self.held > CACHED_BYTES:
-                known.clear()
-                self.held = 0
+            if self.held > CACHED_BYTES // 2:
+                self.before, self.known, self.held = known, {}, 0
         return b"".join(found)
 
     def _learn(self, words: set[bytes]) -> None:
