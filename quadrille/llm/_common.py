@@ -37,6 +37,24 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Buckets of ``may_match``'s filter: at most so many longs are broadcast, some 24 MB, however many keys there are.
+FILTER_BUCKETS = 1 << 20
+
+
+def may_match(df: DataFrame, key: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose ``key`` may be among ``keys[column]``, and those whose key surely isn't.
+
+    A filter on a hash of fixed range, so that a scan leaves most rows where they are and only candidates are shuffled.
+    It is broadcast; its size is bounded by the number of buckets. Where there are so many keys that every bucket is taken,
+    all rows are candidates: what follows must be exact by itself. Null keys are hashed like others.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS))
+    taken = materialize(keys.select(bucket(F.col(column)).alias("__bucket")).distinct(), "filter").withColumn("__may", F.lit(True))
+    marked = df.withColumn("__bucket", bucket(key)).join(F.broadcast(taken), "__bucket", "left")
+    columns = [f"`{c}`" for c in df.columns]
+    return marked.where(F.col("__may").isNotNull()).select(columns), marked.where(F.col("__may").isNull()).select(columns)
+
+
 def id_crc32(doc_id: Column) -> Column:
     """crc32 of the id written as text; a null id has none (null)."""
     return F.crc32(doc_id.cast("string").cast("binary"))

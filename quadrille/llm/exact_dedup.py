@@ -3,7 +3,8 @@
 Native: DataFrame functions only. Documents are reduced to (id, SHA-256) once; the first 128 bits of
 that digest are the content hash that groups them. Groups are counted from the narrow table with map-side
 partial aggregates, so a group of any size moves one row per map task. The bytes of groups with two rows
-or more are compared by grouping on (hash, text), which also collapses copies before the shuffle.
+or more are compared by grouping on (hash, text), which also collapses copies before the shuffle; texts whose
+hash isn't repeated stay where they are, but for those that share a bucket of the filter with one that is.
 """
 
 from __future__ import annotations
@@ -14,10 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import materialize
-
-#: Up to so many hashes of groups (16 bytes each) are broadcast to pick the rows to compare; beyond it all texts are grouped.
-BROADCAST_GROUPS = 500_000
+from ._common import may_match, materialize
 
 
 def content_hash(sha256_hex: Column) -> Column:
@@ -47,8 +45,7 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", hash_of: Callable[[Colum
     groups = materialize(groups, "groups")
     repeated = groups.where("group_size > 1").select("h")
     texts = docs.select("doc_id", text.alias("text")).withColumn("h", hash_of(F.sha2(F.col("text").cast("binary"), 256)))
-    few = repeated.count() <= BROADCAST_GROUPS
-    compared = texts.join(F.broadcast(repeated), "h", "left_semi") if few else texts
+    compared, _ = may_match(texts, F.col("h"), repeated, "h")
     collided = compared.groupBy("h", "text").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     collided = materialize(collided, "collisions")
     plain = rows.join(groups, "h").select(
@@ -78,16 +75,20 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", hash_of: Callable[[Colum
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with one row for each distinct text, that of the largest doc_id, under the same columns.
 
-    One shuffle: grouped by (content hash, text), so that equal hashes of unequal bytes stay apart and
-    copies collapse before they move. A null text is returned as an empty one; of rows repeated under
-    one id any one stays; an empty table stays empty.
+    Hashes are counted first, in a narrow table. Rows whose hash occurs once stay where they are; the others are
+    grouped by (content hash, text), so that equal hashes of unequal bytes stay apart and copies collapse before they
+    move. A null text is returned as an empty one; of rows repeated under one id any one stays; an empty table stays empty.
     """
     rest = [c for c in docs.columns if c != "text"]
     packed = docs.select(
         F.coalesce(F.col("text"), F.lit("")).alias("__text"),
         F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"), F.col("doc_id").alias("__id"),
     )
-    packed = packed.withColumn("__h", content_hash(F.sha2(F.col("__text").cast("binary"), 256)))
+    hashed = lambda df: df.withColumn("__h", content_hash(F.sha2(F.col("__text").cast("binary"), 256)))
+    repeated = hashed(packed.select("__text")).groupBy("__h").agg(F.count("*").alias("n")).where("n > 1").select("__h")
+    packed = hashed(packed)
+    copied, alone = may_match(packed, F.col("__h"), repeated, "__h")
     # A plain max_by ignores rows whose ordering value is null; the struct is never null.
-    kept = packed.groupBy("__h", "__text").agg(F.max_by("__row", F.struct("__id")).alias("__row"))
+    kept = copied.groupBy("__h", "__text").agg(F.max_by("__row", F.struct("__id")).alias("__row")).select("__text", "__row")
+    kept = kept.unionByName(alone.select("__text", "__row"))
     return kept.select(*[F.col("__text").alias("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])
