@@ -1,8 +1,8 @@
 """Quality rules: surface counts, then the log-likelihood ratio of hashed n-grams between a trusted target and the raw corpus.
 
 N-grams are of bytes (``N`` in a row, white space runs as they stand), hashed to ``BUCKETS``. Two multinomials
-are counted in one pass: over all documents, add-one smoothed, and over the trusted ones, a bounded sample of rows
-labelled good, smoothed towards the former. A document's ratio is the sum of its n-grams' log ratios over their number, so long
+are counted: over all documents, add-one smoothed, and over all trusted ones, those labelled good, smoothed
+towards the former. A document's ratio is the sum of its n-grams' log ratios over their number, so long
 and short texts meet one threshold. Integer counts in, one fixed order of summation: the verdict is repeatable.
 """
 
@@ -15,12 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import labelled_sample, rows_of, whole_texts
+from ._common import materialize, may_match, rows_of, whole_texts
 
 N = 4
 BUCKETS = 1 << 16
-#: At most so many labelled rows are the trusted target.
-TRUSTED = 20_000
 #: Kept are documents whose mean log ratio, in nats an n-gram, is at least this.
 THRESHOLD = -0.3
 
@@ -74,44 +72,57 @@ def surface(text: bytes) -> tuple[int, int, int, int, int]:
     )
 
 
-def target_log_ratio(docs: DataFrame, trusted: list[int]) -> np.ndarray:
-    """The log ratio of each bucket, trusted over raw, from counts over every document."""
-    good = frozenset(trusted)
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The ``text`` of every row whose id has a label of quality 1; ids are compared as text, a null id has none."""
+    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").cast("string").alias("__id")).where("__id IS NOT NULL").distinct()
+    good = materialize(good, "trusted")
+    rows = docs.select(F.col("doc_id").cast("string").alias("__id"), "text")
+    candidates, _ = may_match(rows, F.col("__id"), good, "__id")
+    return candidates.join(good, "__id", "left_semi").select("text")
+
+
+def ngram_counts(texts: DataFrame) -> np.ndarray:
+    """How often each bucket occurs in the whole texts of all rows. A task passes its buckets' sums on, at most ``BUCKETS`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), rows_of(batch), strict=True):
+            for text in rows_of(batch):
                 h = ngram_buckets(text)
                 # Counting a short text must not cost a pass over all buckets.
-                for counts in (raw, target) if doc_id in good else (raw,):
-                    if len(h) < 20_000:
-                        np.add.at(counts, h, 1)
-                    else:
-                        counts += np.bincount(h, minlength=BUCKETS)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
-
-    got = whole_texts(docs, "doc_id").mapInArrow(run, "bucket int, raw long, target long")
-    raw, target = np.ones(BUCKETS), np.zeros(BUCKETS)
-    for r in got.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
-        raw[r["bucket"]] += r["raw"]
-        target[r["bucket"]] += r["target"]
-    share = raw / raw.sum()
-    # A prior of as many n-grams as there are buckets, spread as the raw corpus spreads them: little evidence, little verdict.
+                if len(h) < 20_000:
+                    np.add.at(counts, h, 1)
+                else:
+                    counts += np.bincount(h, minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bucket", "n"])
+
+    total = np.zeros(BUCKETS, np.int64)
+    for r in whole_texts(texts).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        total[r["bucket"]] = r["n"]
+    return total
+
+
+def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log ratio of each bucket, target over raw, of counts; without a target it is 0.
+
+    The raw counts are add-one smoothed. The target's prior has as many n-grams as there are buckets, spread as the raw
+    corpus spreads them: little evidence, little verdict.
+    """
+    share = (raw + 1) / (raw + 1).sum()
     return np.log((target + BUCKETS * share) / (target.sum() + BUCKETS)) - np.log(share)
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_ratio.
 
-    Trusted are up to ``trusted`` documents whose label quality is 1, the first by hash of the id; without any the
+    Trusted are all rows whose id has a label of quality 1, whatever other labels it has; without any the
     ratio is 0 everywhere. A null text is an empty one: no words, which fails the base rules. A text of fewer
-    than ``N`` bytes has ratio 0. A null id is scored like any other. Repeated rows count as often as they
-    occur and each get the result. Other columns are ignored; an empty table gives none.
+    than ``N`` bytes has ratio 0. A null id is scored like any other, and never trusted. Repeated rows count as often
+    as they occur and each get the result. Other columns are ignored; an empty table gives none.
     """
-    sample = [i for i, y in labelled_sample(labels.where(F.col("quality") == 1), "quality", trusted) if y == 1]
-    ratio = target_log_ratio(docs, sample) if sample else np.zeros(BUCKETS)
+    target = ngram_counts(trusted_texts(docs, labels))
+    ratio = log_ratio(ngram_counts(docs), target) if target.any() else np.zeros(BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

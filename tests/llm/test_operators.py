@@ -117,6 +117,25 @@ def test_quality_rules_by_brute_force(docs, labels):
         assert want in got[r["doc_id"]]
 
 
+def test_quality_verdicts_by_brute_force(docs, labels):
+    buckets = lambda t: [(int.from_bytes(t[i : i + 4], "big") * 0x9E3779B1 % 2**32) >> 16 for i in range(len(t) - 3)]
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and r["doc_id"] is not None}
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(buckets(t))
+        if i in good:
+            target.update(buckets(t))
+    n_raw, n_target = sum(raw.values()) + 65536, sum(target.values())
+    share = lambda b: (raw[b] + 1) / n_raw
+    ratio = lambda b: math.log((target[b] + 65536 * share(b)) / (n_target + 65536)) - math.log(share(b))
+    want = [(i, sum(map(ratio, buckets(t))) / max(1, len(t) - 3)) for i, t in rows]
+    got = quality_rules.apply_rules(docs, labels).collect()
+    near = lambda x: key((i, round(v, 6) + 0.0) for i, v in x)
+    assert near((r["doc_id"], r["log_ratio"]) for r in got) == near(want)
+    assert all(r["kept"] == (not r["base_failed"] and r["log_ratio"] >= quality_rules.THRESHOLD) for r in got)
+
+
 def test_quality_rules_ratio(spark):
     clean, junk = "the cat sat on the mat and ran away " * 8, "$$ %% && ## zz qq " * 12
     docs = make(spark, [(i, f"{clean}{'the mat ' * (i % 3)}", "", "", 0) for i in range(30)] + [(100 + i, f"{junk} {'abcdefghij'[i]} x", "", "", 0) for i in range(10)])
