@@ -215,7 +215,7 @@ def test_shards(docs):
 # op5 ---------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("plan", [mixing.MixPlan(), mixing.MixPlan(max_epochs=2.5), mixing.MixPlan(max_epochs=None, entropy=0.97), mixing.MixPlan(token_budget=6000)])
+@pytest.mark.parametrize("plan", [mixing.MixPlan(), mixing.MixPlan(max_epochs=2.5), mixing.MixPlan(max_epochs=None, entropy=0.97), mixing.MixPlan(max_epochs=None, entropy=0.3), mixing.MixPlan(token_budget=6000), mixing.MixPlan(max_epochs=1.5, token_budget=13_000), mixing.MixPlan(blocks=5)])
 def test_mixing_by_brute_force(docs, plan):
     rows = [(r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in docs.collect()]
     tokens = Counter()
@@ -229,13 +229,16 @@ def test_mixing_by_brute_force(docs, plan):
             w = [p**a for p in share.values()]
             return -sum(x / sum(w) * math.log(x / sum(w)) for x in w) / math.log(len(w))
         f = [p ** (a - 1) for p in share.values()]
+        if plan.token_budget:
+            return max(f) / sum(p**a for p in share.values()) * plan.token_budget / total
         return max(f) / min(f)
 
     target = plan.entropy if plan.entropy is not None else plan.max_epochs
-    lo, hi = 0.0, 1.0
+    lo, hi = 0.0, 64.0 if plan.entropy else 1.0
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if figure(mid) > target else (lo, mid)
+    hi = 0.0 if figure(0.0) <= target else hi
     w = {s: p**hi for s, p in share.items()}
     z = sum(w.values())
     budget = plan.token_budget or max(tokens[s] / (x / z) for s, x in w.items())
@@ -258,10 +261,35 @@ def test_mixing_by_brute_force(docs, plan):
         if whole:
             out = [n for p, d, n in order if (d, whole) not in {(r["doc_id"], r["epoch"]) for r in mine}]
             assert not out or left - taken < max(n for _, _, n in order)
+        # Blocks have the source's tokens evenly, but for a document at either end.
+        held = Counter()
+        for r in mine:
+            held[r["block"]] += r["n_tokens"]
+        most = max(n for _, s2, n in rows if s2 == s)
+        assert all(abs(held[b] - sum(held.values()) / plan.blocks) <= most for b in range(plan.blocks))
+        if plan.max_epochs and plan.token_budget:
+            assert mine[0]["epochs"] <= plan.max_epochs + 1e-6
     if plan.token_budget is None:
         assert {r["doc_id"] for r in got} == {r[0] for r in rows}
 
 
+def test_mixing_targets(spark):
+    rows = [(i, "a b c d", "", f"s{0 if i < 20 else 1 if i < 27 else 2}", 0) for i in range(30)]
+    docs, one = make(spark, rows), make(spark, rows[:5])
+    assert mixing.mix_sources(one, mixing.MixPlan(max_epochs=None, entropy=0.5)).count() == 5
+    with pytest.raises(ValueError, match="repeats"):
+        mixing.mix_sources(docs, mixing.MixPlan(max_epochs=1.25, token_budget=1200))
+    with pytest.raises(ValueError, match="entropy"):
+        mixing.mix_sources(docs, mixing.MixPlan(max_epochs=None, entropy=1.5))
+    with pytest.raises(ValueError, match="largest"):
+        mixing.mix_sources(make(spark, [(i, "a b", "", f"s{i % 2}", 0) for i in range(4)]), mixing.MixPlan(max_epochs=None, entropy=0.5))
+    with pytest.raises(ValueError, match="either"):
+        mixing.mix_sources(docs, mixing.MixPlan(max_epochs=None))
+    weights = {r["source"]: r["weight"] for r in mixing.mix_sources(docs, mixing.MixPlan(max_epochs=None, entropy=0.2)).collect()}
+    assert -sum(w * math.log(w) for w in weights.values()) / math.log(3) == pytest.approx(0.2, abs=1e-6)
+    assert mixing.mix_sources(make(spark, [(i, None, "", "s", 0) for i in range(4)])).count() == 4
+
+
 # op6 ---------------------------------------------------------------------------------------------------
 
 
