@@ -1,7 +1,7 @@
 """Connected components of a graph of links, by alternating large-star and small-star rounds.
 
 Every round is a grouped minimum (pre-aggregated before its shuffle) and an equi-join, whose hot keys
-(hubs) Spark splits at run time. Rounds end with a table in the shared folder. The number of rounds grows
+(hubs) Spark splits at run time, as both sides are tables: it can't where one comes straight from an aggregate. Rounds end with a table in the shared folder. The number of rounds grows
 with the logarithm of the longest chain; nothing is collected but two counts a round.
 """
 
@@ -15,12 +15,12 @@ from ._common import materialize
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
+    least = materialize(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -41,6 +41,6 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "edges")
     while not _is_stars(edges):
-        edges = materialize(_small_star(_large_star(edges)), "edges")
+        edges = materialize(_small_star(materialize(_large_star(edges), "edges")), "edges")
     tips = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return tips.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, rows_of, whole_texts
+from ._common import materialize, may_match, rows_of, whole_texts
 from .components import components
 
 CHUNK = 1024
@@ -337,19 +337,28 @@ def radius_of(similarity: float) -> int:
     return round(64 * WIDE * share + 6 * (64 * WIDE * share * (1 - share)) ** 0.5)
 
 
+def _text_digest(text: Column) -> Column:
+    """128 bits of a text's SHA-256: with its id, what a row is told apart by."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of documents whose sets of ``width``-word shingles are this similar, in chains; the id is the smallest.
+    """One row per row of ``docs``: doc_id, digest (of its text), component_id, kept.
+
+    Documents whose sets of ``width``-word shingles are this similar, in chains, have one component; its id is the smallest
+    of theirs, and the row of that id is kept. Of rows that share the smallest id that of the smallest digest is kept;
+    rows of one id and one text stay or go together. Null ids come last.
 
     Fingerprints of 64 bits can't tell 0.8 from 0.6, and bit blocks don't find pairs that far apart, so this takes
     512 bits, and bands of minimum hashes of the same shingles deal the buckets (a pair at 0.8 meets in one of 24 with
     99.99 %); the comparison inside a bucket is the same. What chains of these candidates join is compared once more, and
-    a candidate links by the exact similarity of its sets. Texts without words are alike. Null ids are passed over.
+    a candidate links by the exact similarity of its sets. Texts without words are alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, sig, bands = zip(*(sketch(t, width)[:3] for t in rows_of(batch)), strict=True) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "node", "sig", "bands"])
 
     def run_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,32 +367,43 @@ def similar_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) ->
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1, 3)], names=["node", "sig", "shingles"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    sketches = materialize(whole_texts(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, node binary, sig binary, bands array<long>"), "sketches")
-    # Of equal sets one row: all have the same signature and bands.
-    distinct = materialize(sketches.groupBy("node").agg(F.min("doc_id").alias("first")), "distinct")
-    once = sketches.dropDuplicates(["node"])
+    marked = docs.select("doc_id", _text_digest(F.col("text")).alias("digest"), "text")
+    sketches = materialize(whole_texts(marked, "doc_id", "digest").mapInArrow(run, f"doc_id {kind}, digest binary, node binary, sig binary, bands array<long>"), "sketches")
+    # Of equal sets one row: all have the same signature and bands. The first is that of the smallest id, nulls last.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    distinct = materialize(sketches.groupBy("node").agg(F.min(order).alias("first"), F.min("digest").alias("digest")), "distinct")
+    once = materialize(sketches.dropDuplicates(["node"]).select("node", "sig", "bands"), "once")
     rows = once.select("node", F.explode("bands").alias("bucket"))
     radius = radius_of(similarity)
     chains = materialize(components(bucket_links(rows, radius, signatures=once.select("node", "sig"))), "chains").withColumn("bucket", F.xxhash64("root"))
-    # Shingle sets are made for the texts of chains alone, and travel once for each node, not for each band.
-    ids = sketches.join(chains, "node", "left_semi").select(F.col("doc_id").alias("__id")).distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
-    sets = whole_texts(texts, "doc_id").drop("doc_id").mapInArrow(run_sets, "node binary, sig binary, shingles binary")
+    # Shingle sets are made for one text of each node in chains alone, and travel once for each node, not for each band.
+    chosen = materialize(distinct.join(chains, "node", "left_semi").select("digest"), "chosen")
+    texts = docs.select(_text_digest(F.col("text")).alias("digest"), "text")
+    candidates, _ = may_match(texts, F.col("digest"), chosen, "digest")
+    sets = whole_texts(candidates.join(chosen, "digest", "left_semi")).mapInArrow(run_sets, "node binary, sig binary, shingles binary")
     chained = materialize(sets.join(chains, "node").dropDuplicates(["node"]).select("node", "bucket", "sig", "shingles"), "chained")
     rows = chained.select("node", "bucket", F.octet_length("shingles").cast("long").alias("size"))
     roots = materialize(components(bucket_links(rows, radius, signatures=chained.select("node", "sig", "shingles"), similarity=similarity)), "components")
-    least = roots.join(distinct, "node").groupBy("root").agg(F.min("first").alias("least"))
-    linked = roots.join(least, "root").select("node", "least")
-    named = materialize(distinct.join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("component_id")), "named")
-    return sketches.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    least = materialize(roots.join(distinct, "node").groupBy("root").agg(F.min("first").alias("least")), "least")
+    linked = materialize(roots.join(least, "root").select("node", "least"), "linked")
+    named = materialize(distinct.join(linked, "node", "left").select("node", F.coalesce("least", "first").alias("least")), "named")
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("digest") == F.col("least.digest"))
+    return sketches.select("doc_id", "digest", "node").join(named, "node").select("doc_id", "digest", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` under the same columns; of each group of similar documents only that of the smallest id stays.
+    """The rows of ``docs`` under the same columns; of each group of similar documents one row stays, as ``similar_groups`` says.
 
-    Rows that share an id are one document. Rows without an id stay. An empty table stays empty.
+    Rows are told apart by id and text, so unlike texts under one id are documents of their own; rows of one id and one text
+    stay or go together. A row without an id stays if its group has no other. An empty table stays empty. Only rows
+    that may go are shuffled.
     """
     found = similar_groups(docs, width, similarity)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    gone = materialize(gone, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    name = lambda doc_id, digest: F.xxhash64(doc_id, digest)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).distinct()
+    gone = materialize(gone.withColumn("__name", name("__id", "__digest")), "gone")
+    columns = [f"`{c}`" for c in docs.columns]
+    marked = docs.withColumn("__of", _text_digest(docs["text"]))
+    suspects, rest = may_match(marked, name(docs["doc_id"], F.col("__of")), gone, "__name")
+    same = suspects["doc_id"].eqNullSafe(gone["__id"]) & (suspects["__of"] == gone["__digest"])
+    return suspects.join(gone, same, "left_anti").select(columns).unionByName(rest.select(columns))

@@ -373,6 +373,14 @@ def test_near_duplicates_at_similarity(spark):
     assert left == {10 * i + k for i in range(20) for k in (0, 2)}
 
 
+def test_near_duplicates_go_by_rows_not_ids(spark):
+    """Unlike texts may share an id, and rows may have none: no text is lost."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a, "", "", 0), (300, a + " more", "", "", 0), (300, b, "", "", 0), (None, c, "", "", 0), (None, c + " end", "", "", 0), (7, None, "", "", 0), (8, "", "", "", 0), (9, a, "", "", 0), (5, b + " x", "", "", 0)]
+    got = key((r["doc_id"], r["text"]) for r in simhash.without_near_duplicates(make(spark, rows)).collect())
+    assert got in (key([(5, a), (5, b + " x"), (None, t), (7, None)]) for t in (c, c + " end"))
+
+
 def test_near_duplicates_are_exact_about_the_threshold(spark):
     rng = np.random.default_rng(9)
     words = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(5000)]
