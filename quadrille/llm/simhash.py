@@ -9,8 +9,9 @@ Inside a bucket the fingerprints are stored as bit planes: word p holds bit p of
 bit p, spread over a word, flips the plane to 64 differences at once, which carry-save counters of two bits
 and a sticky overflow add up; a (query, block of 64) whose lanes have all gone beyond the radius is
 abandoned and takes no part in later planes. Buckets of more than ``CHUNK`` fingerprints are cut into parts
-by hash and every two parts are a group of their own, so the work of a hot bucket spreads over tasks and no
-group is larger than two parts. A group returns a spanning forest of its links, never all pairs.
+by hash, compared within each part first; then every two parts that aren't of one component already are a group
+of their own, so the work of a hot bucket spreads over tasks and no group is larger than two parts. A group returns a
+spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -220,22 +221,54 @@ def _buckets(fp: Column, radius: int) -> Column:
     return F.array(*[F.lit(t << 58) + F.shiftleft(part[i], edges[j + 1] - edges[j]) + part[j] for t, (i, j) in enumerate(pairs)])
 
 
-def bucket_links(rows: DataFrame, radius: int, chunk: int = CHUNK, signatures: DataFrame | None = None, similarity: float | None = None) -> DataFrame:
+def bucket_links(rows: DataFrame, radius: int, chunk: int | None = None, signatures: DataFrame | None = None, similarity: float | None = None) -> DataFrame:
     """(a, b): links between nodes that join all that chains of links within buckets join.
 
     ``rows`` has (node, bucket). A node is its own fingerprint (a long), or has a longer one, of bytes, in ``signatures`` (node, sig).
     With ``similarity``, ``signatures`` has ``shingles`` too, the sorted hashes as bytes, and ``rows`` their ``size`` in
     bytes: nodes within the radius link if their sets have this Jaccard similarity.
+
+    A bucket of more than ``chunk`` nodes is cut into parts by hash and each is compared within itself. Where parts
+    are left, nodes that chains have joined by then needn't meet again: a component of more than a part gets parts of its
+    own, the rest of the bucket shares some, and two parts meet unless they are of one component. So a hot bucket of
+    near copies of one text ends as one component and is copied no further.
     """
-    parts = F.ceil(F.count("*") / chunk) if similarity is None else F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("size") / CHUNK_BYTES))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), parts.cast("int").alias("parts")).where("n > 1").select("bucket", "parts")
+    chunk = chunk or CHUNK
+    parts = F.ceil(F.count("*") / chunk)
+    if similarity is not None:
+        parts = F.greatest(parts, F.ceil(F.sum("size") / CHUNK_BYTES))
+    parts = parts.cast("int").alias("parts")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != F.col("part")))
-    groups = rows.join(sizes, "bucket").withColumn("part", part).withColumn("other", F.explode(others))
-    groups = groups.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "node")
+    sizes = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n"), parts).where("n > 1").select("bucket", "parts"), "sizes")
+    alone = rows.join(sizes, "bucket").select("bucket", part.alias("lo"), part.alias("hi"), "node")
+    found = materialize(_compared(alone, radius, signatures, similarity), "links")
+    hot = sizes.where("parts > 1").select("bucket")
+    if hot.isEmpty():
+        return found
+    inside = rows.join(hot, "bucket", "left_semi").join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    inside = materialize(inside, "hot")
+    large = materialize(inside.groupBy("bucket", "root").agg(parts).where("parts > 1"), "large")
+    owned = inside.join(large.withColumnRenamed("parts", "own"), ["bucket", "root"], "left")
+    owned = materialize(owned.withColumn("owner", F.when(F.col("own").isNotNull(), F.col("root"))), "owned")
+    shared = owned.where("owner IS NULL").groupBy("bucket").agg(parts).select("bucket", F.lit(None).cast(dict(rows.dtypes)["node"]).alias("owner"), "parts")
+    each = large.select("bucket", F.col("root").alias("owner"), "parts").unionByName(shared)
+    each = each.select("bucket", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct("owner", i.alias("i"))))).select("bucket", "col.*")
+    # The parts of a bucket, one for each ``chunk`` of its nodes, numbered.
+    numbered = each.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("owner", "i"))).alias("all"), F.count_if(F.col("owner").isNull()).cast("int").alias("shared"))
+    numbered = materialize(numbered.where("size(all) > 1"), "parts")
+    met = owned.join(numbered, "bucket").withColumn("parts", F.coalesce("own", "shared"))
+    met = met.withColumn("at", F.array_position("all", F.struct("owner", part.alias("i"))).cast("int"))
+    others = F.filter(F.transform("all", lambda q, k: F.struct(q["owner"].alias("owner"), (k + 1).alias("at"))), lambda q: F.col("owner").isNull() | ~q["owner"].eqNullSafe(F.col("owner")))
+    met = met.withColumn("other", F.explode(F.transform(others, lambda q: q["at"])))
+    met = met.select("bucket", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"), "node")
+    return found.unionByName(_compared(met, radius, signatures, similarity))
+
+
+def _compared(groups: DataFrame, radius: int, signatures: DataFrame | None, similarity: float | None) -> DataFrame:
+    """(a, b): a spanning forest of the links within each group (bucket, lo, hi) of nodes."""
     if signatures is not None:
         groups = groups.join(signatures, "node")
-    kind = dict(rows.dtypes)["node"]
+    kind = dict(groups.dtypes)["node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -277,7 +310,7 @@ def bucket_links(rows: DataFrame, radius: int, chunk: int = CHUNK, signatures: D
     return sorted_rows.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def links(distinct: DataFrame, radius: int = 3, chunk: int = CHUNK) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 3, chunk: int | None = None) -> DataFrame:
     """Links between distinct fingerprints ``fp`` of ``radius`` or fewer differing bits, as ``bucket_links`` gives them."""
     rows = distinct.select(F.col("fp").alias("node"), F.explode(_buckets(F.col("fp"), radius)).alias("bucket"))
     return bucket_links(rows, radius, chunk)

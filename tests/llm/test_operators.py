@@ -356,6 +356,14 @@ def test_hot_bucket_is_cut_into_parts(spark):
     got = components(simhash.links(df, 3, chunk=16)).collect()
     want = brute_components(sorted(fps), 3)
     assert len({r["root"] for r in got}) == len({w for w in want if want.count(w) > 1})
+    # Two clusters and stray fingerprints in one bucket, some of which join what lies in different parts.
+    rows = [int(rng.integers(0, 1 << 20)) if i % 3 else (1 << 40) - 1 - (1 << i % 20) for i in range(400)]
+    distinct = sorted(set(rows))
+    df = spark.createDataFrame([(f, 1) for f in distinct], "node long, bucket long")
+    got = {r["node"]: r["root"] for r in components(simhash.bucket_links(df, 2, chunk=24)).collect()}
+    want = brute_components(distinct, 2)
+    least = {w: min(f for f, x in zip(distinct, want, strict=True) if x == w) for w in set(want)}
+    assert {f: got.get(f, f) for f in distinct} == {f: least[w] for f, w in zip(distinct, want, strict=True)}
 
 
 def test_near_duplicates_at_similarity(spark):
@@ -381,7 +389,9 @@ def test_near_duplicates_go_by_rows_not_ids(spark):
     assert got in (key([(5, a), (5, b + " x"), (None, t), (7, None)]) for t in (c, c + " end"))
 
 
-def test_near_duplicates_are_exact_about_the_threshold(spark):
+@pytest.mark.parametrize("chunk", [1024, 8])
+def test_near_duplicates_are_exact_about_the_threshold(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
     rng = np.random.default_rng(9)
     words = ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(5000)]
     rows, want, similarities = [], set(), []
