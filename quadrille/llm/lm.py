@@ -1,10 +1,11 @@
 """Language-model scoring: marginal likelihood over the subword lattice, beside an add-one word model.
 
-The lattice's units are the pieces of an existing public vocabulary. Its own scores are the ranks of
-merges; they segment every distinct training word, and the pieces' frequencies over the training words,
-smoothed, are the unigram probabilities. A word's probability is then the sum over all of its segmentations,
-by a forward recursion in log space; pieces never cross white space, so a text's log probability is the sum
-of its words' and that of its end. A character that is no piece is spelled in bytes.
+The lattice's units are the pieces of an existing public vocabulary. Its own scores are the ranks of merges: a
+piece of rank r weighs (r + 2) ** -s, a unigram distribution with one exponent, the likeliest for the training words
+as the vocabulary segments them. That is the prior; it counts as ``PRIOR`` pieces beside those of the training words.
+A word's probability is then the sum over all of its segmentations, by a forward recursion in log space; pieces never
+cross white space, so a text's log probability is the sum of its words' and that of its end. A character that is no
+piece is spelled in bytes.
 
 Word counts cover all training documents and their number isn't bounded, so they stay a distributed table, with
 every distinct word's probability beside them. Only the ``HEAD`` most frequent words are broadcast (under 10 MB);
@@ -31,8 +32,8 @@ from ._common import id_crc32, materialize, rows_of, whole_texts, worker_cache
 HEAD = 150_000
 #: Distinct words that a task counts before it passes them on.
 COUNTED_WORDS = 200_000
-#: Added to every piece's count.
-SMOOTHING = 0.5
+#: The pieces that the vocabulary's own distribution counts as.
+PRIOR = 16_000.0
 #: The end of a text in the table of counts: no word is empty.
 END = b""
 
@@ -98,12 +99,35 @@ def piece_scores(counts: DataFrame, path: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["piece", "n"])
 
     got = counts.mapInArrow(run, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    total = np.full(_vocabulary(path).get_piece_size(), SMOOTHING)
+    vocabulary = _vocabulary(path)
+    n = np.zeros(vocabulary.get_piece_size())
     for r in got:
-        total[r["piece"]] += r["n"]
+        n[r["piece"]] = r["n"]
+    total = n + PRIOR * rank_law(merge_ranks(vocabulary), n)
     return np.log10(total / total.sum())
 
 
+def merge_ranks(vocabulary) -> np.ndarray:
+    """A piece's rank among merges, which the file has as its negative score; control pieces and bytes, which aren't merged, come last."""
+    size = vocabulary.get_piece_size()
+    merged = np.array([not (vocabulary.is_control(i) or vocabulary.is_byte(i) or vocabulary.is_unknown(i)) for i in range(size)])
+    return np.where(merged, -np.array([vocabulary.get_score(i) for i in range(size)]), float(size))
+
+
+def rank_law(ranks: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The distribution (rank + 2) ** -s, normalised, under which counts ``n`` are likeliest, s in 0..4; without counts s is 1."""
+    at = np.log(ranks + 2)
+    low, high = (0.0, 4.0) if n.any() else (1.0, 1.0)
+    mean = float(n @ at / n.sum()) if n.any() else 0.0
+    for _ in range(50):
+        s = (low + high) / 2
+        p = np.exp(-s * at)
+        # The likelihood rises while the law's mean log rank is above that of the counts.
+        low, high = (s, high) if p @ at / p.sum() > mean else (low, s)
+    p = np.exp(-(low + high) / 2 * at)
+    return p / p.sum()
+
+
 class Lattice:
     """Log10 probabilities of words, summed over all segmentations into pieces."""
 
@@ -191,23 +215,25 @@ def score_documents(docs: DataFrame, path: str, head_size: int = HEAD) -> DataFr
             for text in rows_of(batch):
                 found = _words(text)
                 at = np.fromiter(map(place.get, found, repeat(nowhere)), np.int64, len(found))
-                far = [found[i] for i in np.flatnonzero(at == nowhere)]
+                far = Counter(found[i] for i in np.flatnonzero(at == nowhere))
                 out.append((len(found) + 1, int(seen_of[at].sum()) + seen_end, float(base_of[at].sum()) + end, float(marginal_of[at].sum()) + last, far))
             n, known, base, marginal, far = zip(*out, strict=True) if out else ((),) * 5
             ids = (np.arange(len(out), dtype=np.int64) + row) + (task << 40)
             row += len(out)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(marginal, pa.float64()), pa.array(far, pa.list_(pa.binary()))],
-                names=["doc_id", "row", "n_tokens", "known", "base", "marginal", "far"],
+                [batch.column(0), pa.array(ids), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(marginal, pa.float64()), pa.array([list(f) for f in far], pa.list_(pa.binary())), pa.array([list(f.values()) for f in far], pa.list_(pa.int32()))],
+                names=["doc_id", "row", "n_tokens", "known", "base", "marginal", "far", "times"],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = materialize(whole_texts(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, marginal double, far array<binary>"), "scored")
+    rows = materialize(whole_texts(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, known long, base double, marginal double, far array<binary>, times array<int>"), "scored")
     # Words beyond the head are at most as frequent as its last.
     rare = words.where(F.col("n") <= least)
-    far = rows.select("row", F.explode("far").alias("word")).join(rare, "word").groupBy("row").agg(
-        F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count_if(F.col("n") > 0).alias("seen"), F.sum("marginal").alias("rest")
-    )
+    far = rows.select("row", F.explode(F.arrays_zip(F.col("far").alias("word"), F.col("times").alias("times"))).alias("f")).select("row", "f.*")
+    far = far.join(rare, "word").groupBy("row").agg(
+        F.sum(F.log10(F.col("n") + 1) * F.col("times")).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("seen"),
+        F.sum(F.col("marginal") * F.col("times")).alias("rest"),
+    )
     each = math.log10(total["n"] + total["v"] + 1)
     return rows.join(far, "row", "left").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens",

@@ -558,7 +558,23 @@ def test_lm_base_by_brute_force(docs, head):
     want = key((r["doc_id"], left_out(r["doc_id"]), len(tokens(r["text"])), sum(counts[w] > 0 for w in tokens(r["text"])), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(r["text"])), 6)) for r in rows)
     got = lm.score_documents(docs, PIECES, head).collect()
     assert key((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-    assert all(r["score"] < 0 for r in got)
+    # The lattice's scores: the vocabulary's own distribution by ranks, beside the pieces of the training words.
+    sp = lm._vocabulary(PIECES)
+    size = sp.get_piece_size()
+    n = np.zeros(size)
+    for w, c in counts.items():
+        for i in sp.encode(w.decode()) if w else [sp.eos_id()]:
+            n[i] += c
+    ranks = np.array([size if sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) else -sp.get_score(i) for i in range(size)])
+    grid = np.linspace(0, 4, 4001)
+    law = lambda s: (ranks + 2) ** -s / ((ranks + 2) ** -s).sum()
+    best = max(grid, key=lambda s: n @ np.log(law(s)))
+    prior = lm.rank_law(ranks, n)
+    assert np.allclose(np.log(prior), np.log(law(best)), rtol=1e-2)
+    p = n + lm.PRIOR * prior
+    lattice = lm.Lattice([sp.id_to_piece(i) for i in range(size)], np.log10(p / p.sum()).tolist())
+    score = lambda t: sum(lattice.word(w) if w else lattice.end for w in tokens(t))
+    assert key((r["doc_id"], round(r["score"], 4)) for r in got) == key((r["doc_id"], round(score(r["text"]), 4)) for r in rows)
 
 
 def test_lattice_sums_all_segmentations():
