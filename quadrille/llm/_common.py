@@ -74,8 +74,8 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[bytes]:
 
 def labelled_sample(
     labels: DataFrame, label: str, limit: int, held_out: Column | None = None
-) -> list[tuple[int, int]]:
-    """At most ``limit`` (doc_id, label) rows, the first by hash of the id: a bounded, repeatable sample.
+) -> list[tuple[str, int]]:
+    """At most ``limit`` (doc_id as text, label) rows, the first by hash of the id: a bounded, repeatable sample.
 
     Rows with a null id or a null label, and those that ``held_out`` marks, are left out. Of an id
     labelled more than once the larger label counts.
@@ -83,9 +83,15 @@ def labelled_sample(
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if held_out is not None:
         rows = rows.where(~held_out)
-    rows = rows.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
-    picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
-    return [(int(r["doc_id"]), int(r["y"])) for r in picked]
+    rows = rows.groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    return [(r["id"], r["y"]) for r in rows.orderBy(F.xxhash64("id"), "id").limit(limit).collect()]
+
+
+def sampled_texts(docs: DataFrame, sample: list[tuple[str, int]]) -> DataFrame:
+    """(id, y, text) of a bounded sample's documents: one row an id, of its texts the smallest; a null text is an empty one."""
+    marks = docs.sparkSession.createDataFrame(sample, "id string, y int")
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.join(F.broadcast(marks), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
 
 
 def worker_cache() -> dict:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_crc32, labelled_sample, rows_of, whole_texts
+from ._common import id_crc32, labelled_sample, rows_of, sampled_texts, whole_texts
 
 SLOTS = 1 << 14
 DIM = 32
@@ -176,26 +176,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(id_crc32(doc_id) % 5 == 0, F.lit(False))
 
 
-def sample_features(docs: DataFrame, sample: list[tuple[int, int]], features, schema: str) -> pa.Table:
-    """What ``features`` (text -> dict of a row) gives for the documents of a bounded labelled sample, with doc_id."""
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(i,) for i, _ in sample], "doc_id long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [features(t) for t in rows_of(batch)]
-            names = schema.replace(",", " ").split()[::2]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[n] for r in rows]) for n in names)], names=["doc_id", *names])
-
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    return whole_texts(picked, "doc_id").mapInArrow(run, f"doc_id long, {schema}").toArrow()
-
-
 def classify(docs: DataFrame, labels: DataFrame, sample_limit: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
     """One row per row: doc_id, held_out, score, predicted. The score is the probability of label quality 1.
 
     Trained on at most ``sample_limit`` rows of ``labels`` that aren't held out, the first by hash of the id. Nothing but
     the text enters a score. A null text is an empty one and scored by the network's answer to a zero vector.
+    Of rows that share a labelled id the smallest text is learnt from.
     Repeated rows each get the result; without labels of both classes scores are the smoothed share of label 1.
     Other columns are ignored; an empty table gives none.
     """
@@ -203,11 +189,15 @@ def classify(docs: DataFrame, labels: DataFrame, sample_limit: int = SAMPLE, thr
     vectors = word_vectors(docs)
     shared = spark.sparkContext.broadcast(vectors)
     sample = labelled_sample(labels, "quality", sample_limit, held_out(F.col("doc_id")))
-    label = dict(sample)
-    got = sample_features(docs, sample, lambda text: {"x": pooled(text, shared.value).tolist()}, "x array<double>")
-    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable") if got.num_rows else []
-    x = np.array([got.column("x")[int(i)].as_py() for i in order]).reshape(-1, 2 * DIM)
-    y = np.array([label[got.column("doc_id")[int(i)].as_py()] for i in order], float)
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [pooled(t, shared.value).tolist() for t in rows_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["id", "y", "x"])
+
+    got = whole_texts(sampled_texts(docs, sample), "id", "y").mapInArrow(pool, "id string, y int, x array<double>").toArrow().sort_by("id")
+    x = np.array(got.column("x").to_pylist(), float).reshape(-1, 2 * DIM)
+    y = got.column("y").to_numpy().astype(float)
     net = fit(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

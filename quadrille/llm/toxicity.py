@@ -2,11 +2,12 @@
 
 Features are the lower-cased letter runs of a text and their first ``PREFIXES`` bytes, hashed; a
 feature's value is 1 + log of its count. Only those far more common among toxic training texts than among others get a
-weight: common words tell languages and lengths apart, and would drown what is toxic. P(grade > k) is the logistic of one weighted sum less the k-th of ascending thresholds: the weights are shared,
-and only the thresholds differ. The severity is the expected grade, the sum of these probabilities.
+weight: common words tell languages and lengths apart, and would drown what is toxic. P(grade > k) is the logistic of
+one weighted sum less the k-th of ascending thresholds: the weights are shared, and only the thresholds differ. The
+severity is the expected grade, the sum of these probabilities.
 
-Labels are toxic or not. Grades split the toxic ones at the quantiles of how many uses a text has of the
-features that tell toxic from other training texts. Training takes a bounded sample of labelled rows.
+Labels are toxic or not. The toxic training texts are graded by how toxic a model finds them that was fitted on the
+other half of the training texts, at the quantiles of its scores. Training takes a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -22,20 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import labelled_sample, rows_of, whole_texts
-from .quality import sample_features
+from ._common import labelled_sample, materialize, rows_of, sampled_texts, whole_texts
 
 #: At most so many labelled rows train the regression.
 SAMPLE = 12_000
 GRADES = 4
-PREFIXES = (5, 7, 8, 9)
-#: Texts of the sample that must have a feature for it to get a weight, by how many standard errors its share among toxic
-#: ones must exceed that among others, and how many times.
+PREFIXES = (4, 6, 8)
+#: Distinct toxic texts of the sample that must have a feature for it to get a weight, by how many standard errors its share
+#: among toxic ones must exceed that among others, and how many times. No share of all toxic texts: a rare language has its words too.
 LEAST_TEXTS = 5
 LEAST_Z = 4.0
 LEAST_RATIO = 3.0
-#: The share of toxic training texts that must have it: what only copies of a few texts share isn't toxic for that.
-LEAST_SHARE = 0.02
 #: How much more the loss of the first threshold, toxic or not, counts than those between grades.
 FIRST_THRESHOLD = 4.0
 #: Words whose features a task remembers.
@@ -83,6 +81,12 @@ class OrdinalModel:
         at, n = np.unique(np.array([k for places in map(known.__getitem__, found) if places for k in places], np.int64), return_counts=True)
         return float(self.weights[at] @ (1 + np.log(n)))
 
+    def weighted(self, ids: np.ndarray, values: np.ndarray) -> float:
+        """The weighted sum of features (distinct, with their values)."""
+        place = np.minimum(np.searchsorted(self.ids, ids), max(len(self.ids) - 1, 0))
+        known = self.ids[place] == ids if len(self.ids) else np.zeros(len(ids), bool)
+        return float(self.weights[place[known]] @ values[known])
+
     def beyond(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > k) of each score and threshold."""
         return _logistic(scores[:, None] - self.thresholds[None, :])
@@ -93,15 +97,16 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def grades(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, levels: int = GRADES) -> np.ndarray:
-    """0 for texts that aren't toxic; the toxic ones 1 to ``levels`` - 1, by how many uses of telling features they have."""
-    sizes = np.array([len(at) for at, _ in rows], np.int64)
-    feature = np.concatenate([at for at, _ in rows]) if rows else np.zeros(0, np.int64)
-    telling = _telling(feature, np.repeat(np.arange(len(rows)), sizes), toxic > 0)
-    uses = np.array([float(np.exp(v[np.isin(at, telling)] - 1).sum()) for at, v in rows])
+    """0 for texts that aren't toxic; the toxic ones 1 to ``levels`` - 1, at the quantiles of what the model of the other half of the texts makes of them."""
+    half, score = np.arange(len(rows)) % 2, np.zeros(len(rows))
+    for k in (0, 1):
+        model = fit([r for r, h in zip(rows, half, strict=True) if h != k], toxic[half != k], 2, steps=200)
+        for i in np.flatnonzero(half == k):
+            score[i] = model.weighted(*rows[i])
     out = np.zeros(len(rows), np.int64)
     if toxic.any():
-        cuts = np.quantile(uses[toxic == 1], np.arange(1, levels - 1) / (levels - 1))
-        out[toxic == 1] = 1 + np.searchsorted(cuts, uses[toxic == 1], "left")
+        cuts = np.quantile(score[toxic == 1], np.arange(1, levels - 1) / (levels - 1))
+        out[toxic == 1] = 1 + np.searchsorted(cuts, score[toxic == 1], "left")
     return out
 
 
@@ -113,7 +118,7 @@ def _telling(feature: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndar
     share = n / (yes + no)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / yes + 1 / no))
     clean = (n - a) / no
-    return ids[(n >= LEAST_TEXTS) & (a >= LEAST_SHARE * yes) & (a / yes - clean >= LEAST_Z * error) & (a / yes >= LEAST_RATIO * clean)]
+    return ids[(a >= LEAST_TEXTS) & (a / yes - clean >= LEAST_Z * error) & (a / yes >= LEAST_RATIO * clean)]
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, levels: int = GRADES, steps: int = 600, rate: float = 0.05, decay: float = 1e-3) -> OrdinalModel:
@@ -138,27 +143,34 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grade: np.ndarray, levels: in
         return OrdinalModel(ids, weights, start)
     params = [weights, start[:1].copy(), np.log(np.maximum(np.diff(start), 1e-3))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    stress = np.array([FIRST_THRESHOLD, *[1.0] * (levels - 2)])
     for t in range(1, steps + 1):
-        thresholds = params[1][0] + np.concatenate(([0], np.cumsum(np.exp(params[2]))))
-        score = np.bincount(doc, value * params[0][feature], len(rows))
-        e = (_logistic(score[:, None] - thresholds) - beyond) / len(rows) * stress
-        g_threshold = -e.sum(axis=0)
-        tail = np.cumsum(g_threshold[::-1])[::-1]
-        each = e.sum(axis=1)
-        grads = [np.bincount(feature, value * each[doc], len(weights)) + decay * params[0] / max(len(weights), 1), tail[:1], tail[1:] * np.exp(params[2])]
+        _, grads = loss(params, feature, value, doc, beyond, decay)
         for i, g in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
             params[i] = params[i] - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-    return OrdinalModel(ids, params[0], params[1][0] + np.concatenate(([0], np.cumsum(np.exp(params[2])))))
+    return OrdinalModel(ids, params[0], _thresholds(params))
+
+
+def _thresholds(params: list[np.ndarray]) -> np.ndarray:
+    return params[1][0] + np.concatenate(([0], np.cumsum(np.exp(params[2]))))
 
 
-def telling_features(docs: DataFrame, sample: list[tuple[int, int]]) -> np.ndarray:
-    """The sorted features that tell toxic texts of the sample from others, counted on the executors; only these come to the driver."""
-    yes, no = max(sum(y for _, y in sample), 1), max(sum(1 - y for _, y in sample), 1)
-    marks = docs.sparkSession.createDataFrame(sample, "doc_id long, y int")
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id").select("y", "text")
+def loss(params: list[np.ndarray], feature: np.ndarray, value: np.ndarray, doc: np.ndarray, beyond: np.ndarray, decay: float) -> tuple[float, list[np.ndarray]]:
+    """The mean binary loss of all thresholds with the weights' decay, and its gradient by weights, first threshold and logs of the steps."""
+    weights, stress, n = params[0], np.array([FIRST_THRESHOLD, *[1.0] * (beyond.shape[1] - 1)]), len(beyond)
+    score = np.bincount(doc, value * weights[feature], n)
+    p = _logistic(score[:, None] - _thresholds(params))
+    total = -float((stress * np.where(beyond == 1, np.log(p), np.log1p(-p))).sum()) / n + decay * float(weights @ weights) / 2 / max(len(weights), 1)
+    e = (p - beyond) / n * stress
+    tail = np.cumsum(-e.sum(axis=0)[::-1])[::-1]
+    by_weight = np.bincount(feature, value * e.sum(axis=1)[doc], len(weights)) + decay * weights / max(len(weights), 1)
+    return total, [by_weight, tail[:1], tail[1:] * np.exp(params[2])]
+
+
+def telling_features(texts: DataFrame) -> np.ndarray:
+    """The sorted features that tell toxic texts (y, text) from others, counted on the executors; only these come to the driver."""
+    yes, no = (max(x or 0, 1) for x in texts.agg(F.sum("y"), F.sum(1 - F.col("y"))).first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -183,32 +195,32 @@ def telling_features(docs: DataFrame, sample: list[tuple[int, int]]) -> np.ndarr
         if found:
             yield out()
 
-    counted = whole_texts(picked, "y").mapInArrow(run, "feature long, a long, n long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    counted = whole_texts(texts, "y").mapInArrow(run, "feature long, a long, n long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
     share = F.col("n") / (yes + no)
     error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / yes + 1 / no))
     clean = (F.col("n") - F.col("a")) / no
     differs = (F.col("a") / yes - clean >= LEAST_Z * error) & (F.col("a") / yes >= LEAST_RATIO * clean)
-    found = counted.where((F.col("n") >= LEAST_TEXTS) & (F.col("a") >= LEAST_SHARE * yes) & differs).select("feature").toArrow()
+    found = counted.where((F.col("a") >= LEAST_TEXTS) & differs).select("feature").toArrow()
     return np.sort(found.column("feature").to_numpy())
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> OrdinalModel:
-    """The model fitted on at most ``limit`` labelled rows whose documents are in ``docs``, the first by hash of the id."""
-    sample = labelled_sample(labels, "toxic", limit)
-    label = dict(sample)
-    telling = telling_features(docs, sample) if sample else np.zeros(0, np.int64)
-
-    def row(text: bytes) -> dict:
-        at, value = features(text)
-        keep = np.isin(at, telling)
-        return {"at": at[keep].tolist(), "value": value[keep].tolist()}
-
-    got = sample_features(docs, sample, row, "at array<long>, value array<double>")
-    ids = got.column("doc_id").to_pylist()
-    at, value = (got.column(c).combine_chunks() for c in ("at", "value"))
-    order = sorted(range(len(ids)), key=lambda i: ids[i])
-    rows = [(np.array(at[i].values), np.array(value[i].values)) for i in order]
-    toxic = np.array([label[ids[i]] for i in order], np.int64)
+    """The model fitted on at most ``limit`` labelled rows whose documents are in ``docs``, the first by hash of the id. Equal texts count once, as toxic if any is."""
+    picked = sampled_texts(docs, labelled_sample(labels, "toxic", limit))
+    texts = materialize(picked.groupBy("text").agg(F.max("y").alias("y"), F.min("id").alias("id")), "labelled")
+    telling = telling_features(texts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [(at[keep], value[keep]) for at, value in map(features, rows_of(batch)) for keep in (np.isin(at, telling),)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([at for at, _ in kept], pa.list_(pa.int64())), pa.array([v for _, v in kept], pa.list_(pa.float64()))],
+                names=["id", "y", "at", "value"],
+            )
+
+    got = whole_texts(texts, "id", "y").mapInArrow(run, "id string, y int, at array<long>, value array<double>").toArrow().sort_by("id")
+    rows = [(np.array(at, np.int64), np.array(value, float)) for at, value in zip(got.column("at").to_pylist(), got.column("value").to_pylist(), strict=True)]
+    toxic = got.column("y").to_numpy().astype(np.int64)
     return fit(rows, grades(rows, toxic))
 
 

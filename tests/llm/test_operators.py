@@ -168,6 +168,65 @@ def test_toxicity_finds_marked_texts(spark):
     assert {r["doc_id"] for r in toxicity.without_toxic(docs, lab.where("doc_id < 200")).collect()} == {i for i, r in got.items() if not r["rejected"]}
 
 
+def test_toxicity_gradient_by_differences():
+    rng = np.random.default_rng(3)
+    feature, value, doc = rng.integers(0, 6, 80), 1 + rng.random(80), np.sort(rng.integers(0, 20, 80))
+    beyond = (rng.integers(0, 4, 20)[:, None] > np.arange(3)).astype(float)
+    params = [rng.normal(size=6), rng.normal(size=1), rng.normal(size=2)]
+    total, grads = toxicity.loss(params, feature, value, doc, beyond, 0.1)
+    want = 0.0
+    for d in range(20):
+        score = sum(v * params[0][f] for f, v, x in zip(feature, value, doc, strict=True) if x == d)
+        for k, threshold in enumerate([params[1][0], params[1][0] + np.exp(params[2][0]), params[1][0] + np.exp(params[2]).sum()]):
+            p = 1 / (1 + math.exp(threshold - score))
+            want -= (toxicity.FIRST_THRESHOLD if k == 0 else 1) * math.log(p if beyond[d, k] else 1 - p) / 20
+    assert total == pytest.approx(want + 0.1 * sum(params[0] ** 2) / 2 / 6)
+    for i, g in enumerate(grads):
+        for j in range(len(g)):
+            moved = [p.copy() for p in params]
+            moved[i][j] += 1e-6
+            assert (toxicity.loss(moved, feature, value, doc, beyond, 0.1)[0] - total) / 1e-6 == pytest.approx(g[j], abs=1e-4)
+
+
+def test_severity_by_brute_force(docs, spark):
+    words = {b"no": 0.7, b"here": -0.2, b"twice": 1.1}
+    model = toxicity.OrdinalModel(*(np.array(x) for x in zip(*sorted((zlib.crc32(b"=" + w), s) for w, s in words.items()), strict=True)), np.array([0.1, 0.9, 1.5]))
+    for r in toxicity._scored(docs, model, "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect():
+        n = Counter(re.findall(rb"[a-z\x80-\xff]+", (r["text"] or "").encode().lower()))
+        score = sum(s * (1 + math.log(n[w])) for w, s in words.items() if n[w])
+        p = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert (r["p_toxic"], r["severity"]) == (pytest.approx(p[0]), pytest.approx(sum(p)))
+        each = [1 - p[0], p[0] - p[1], p[1] - p[2], p[2]]
+        assert r["grade"] == each.index(max(each)) and r["rejected"] == (p[0] >= toxicity.REJECT)
+
+
+def test_toxicity_in_a_rare_language(spark):
+    """Words of a language that few toxic labels are in get weights too; copies of one text don't make its words toxic."""
+    rng = np.random.default_rng(4)
+    words = {x: ["".join(rng.choice(list("abcdefgh"), 6)) + x for _ in range(80)] for x in ("q", "z")}
+    rows, labels = [], []
+    for i in range(3000):
+        rare, toxic = i % 300 in (0, 3, 4), i % 5 == 0
+        text = list(rng.choice(words["z" if rare else "q"], 30))
+        if toxic:
+            text[5] = "schlimm" if rare else "vile"
+        rows.append((i, " ".join(text), "", "", 0))
+        labels.append((i, 1, int(toxic)))
+    copies = " ".join(rng.choice(words["q"], 25)) + " harmless"
+    rows += [(5000 + i, copies, "", "", 0) for i in range(40)] + [(4000, "harmless " + rows[1][1], "", "", 0)]
+    labels += [(5000 + i, 1, 1) for i in range(40)]
+    got = {r["doc_id"]: r["rejected"] for r in toxicity.score_severity(make(spark, rows), spark.createDataFrame([x for x in labels if x[0] % 7], "doc_id long, quality int, toxic int")).collect()}
+    wrong = [i for i in range(0, 3000, 7) if got[i] != (i % 5 == 0)]
+    assert not wrong and got[2100] and not got[4000]
+
+
+@pytest.mark.parametrize("name", ["op2", "op3", "op10"])
+def test_ids_may_be_text(spark, labels, name):
+    rows = [(f"doc-{i}", f"some words of text number {i} " * 20, "", "", 0) for i in range(6)]
+    lab = spark.createDataFrame([("doc-1", 1, 0), ("doc-2", 0, 1), ("doc-9", 1, 0)], "doc_id string, quality int, toxic int")
+    assert ALL[name](make(spark, rows, "doc_id string, text string, lang string, source string, n_chars long"), lab).count() == 6
+
+
 def test_thresholds_ascend():
     rng = np.random.default_rng(2)
     rows = [toxicity.features(" ".join(rng.choice(["aaaa", "bbbb", "cccc"], 5)).encode()) for _ in range(60)]
