@@ -27,10 +27,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def _is_stars(edges: DataFrame) -> bool:
     """Whether every node that hangs on another hangs on one, which hangs on none."""
-    ends = edges.groupBy("a").agg(F.count("*").alias("n"))
-    if not ends.where("n > 1").isEmpty():
-        return False
-    return ends.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    nodes = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return nodes.where((F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("holds") > 0))).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -41,6 +41,6 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "edges")
     while not _is_stars(edges):
-        edges = materialize(_small_star(materialize(_large_star(edges), "edges")), "edges")
+        edges = materialize(_small_star(_large_star(edges)), "edges")
     tips = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return tips.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

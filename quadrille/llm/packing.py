@@ -30,7 +30,7 @@ from ._common import materialize, rows_of, whole_texts, worker_cache
 
 CAPACITY = 4096
 #: Bytes of words and their ids that a worker remembers, Python's own bytes for each included; those longest unseen go first.
-CACHED_BYTES = 96 << 20
+CACHED_BYTES = 64 << 20
 #: What Python takes for a remembered word besides its bytes: two objects and a place in the dict.
 _ENTRY = 170
 #: Rounds of the configuration program, each a knapsack of at most capacity squared steps.

@@ -37,7 +37,7 @@ LEAST_RATIO = 3.0
 #: How much more the loss of the first threshold, toxic or not, counts than those between grades.
 FIRST_THRESHOLD = 4.0
 #: Words whose features a task remembers.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 75_000
 #: A document is rejected if it is toxic (grade 1 or more) with at least this probability.
 REJECT = 0.5
 
