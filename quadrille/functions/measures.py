@@ -44,19 +44,20 @@ def triangle_center(a: V, b: V, c: V) -> V:
 
 
 def triangle_circumcircle(a: V, b: V, c: V) -> tuple[V, Column]:
-    """Centre and radius. A degenerate triangle has that of its longest side."""
-    ac, bc = a - c, b - c
-    na, nb = ac.norm2(), bc.norm2()
-    dab = ac.dot(bc)
-    det = 2 * (na * nb - dab * dab)
-    k = ac * div(nb * (na - dab), det) + bc * div(na * (nb - dab), det)
-    sides = [(a, b), (b, c), (c, a)]
-    lengths = [(y - x).norm2() for x, y in sides]
-    longest = F.greatest(*lengths)
-    center = V(*(
-        F.when(det != 0, c[i] + k[i]).when(lengths[0] == longest, (a[i] + b[i]) / 2).when(lengths[1] == longest, (b[i] + c[i]) / 2).otherwise((c[i] + a[i]) / 2)
-        for i in range(len(a))
-    ))
+    """Centre and radius. A degenerate triangle has that of its longest side.
+
+    The centre in barycentric coordinates: a corner weighs its opposite side's square by what the squares of the other two exceed it.
+    """
+    corners = (a, b, c)
+    opposite = [(c - b).norm2(), (a - c).norm2(), (b - a).norm2()]
+    around = opposite[0] + opposite[1] + opposite[2]
+    weights = [side * (around - side * 2) for side in opposite]
+    total = weights[0] + weights[1] + weights[2]
+    longest = F.greatest(*opposite)
+    middles = [(c + b) * 0.5, (a + c) * 0.5, (b + a) * 0.5]
+    flat = [F.when(opposite[0] == longest, x).when(opposite[1] == longest, y).otherwise(z) for x, y, z in zip(*middles, strict=True)]
+    weighed = [sum((w * p[i] for w, p in zip(weights[1:], corners[1:], strict=True)), weights[0] * a[i]) for i in range(len(a))]
+    center = V(*(F.when(total > 0, div(x, total)).otherwise(y) for x, y in zip(weighed, flat, strict=True)))
     return center, (a - center).norm()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .boxes import Box
-from .points import Projection
+from .points import Projection, segment_parameter
 from .vec import V, all_of, choose, clamp, div, num, sum_of
 
 
@@ -124,15 +124,20 @@ def lines_closest(p: V, d: V, q: V, e: V) -> tuple[Column, Column]:
 
 
 def segments_closest(a: V, b: V, c: V, d: V) -> tuple[Column, Column]:
-    """Parameters, 0 to 1, of nearest points of two segments."""
-    u, v, r = b - a, d - c, a - c
-    aa, ee, f, cc, bb = u.norm2(), v.norm2(), v.dot(r), u.dot(r), u.dot(v)
-    det = aa * ee - bb * bb
-    s = F.coalesce(clamp(div(bb * f - cc * ee, det), 0, 1), num(0))
-    t = F.coalesce(div(bb * s + f, ee), num(0))
-    s = F.when(t < 0, F.coalesce(clamp(div(-cc, aa), 0, 1), num(0))).when(t > 1, F.coalesce(clamp(div(bb - cc, aa), 0, 1), num(0))).otherwise(s)
-    s = F.when(aa == 0, num(0)).when(ee == 0, F.coalesce(clamp(div(-cc, aa), 0, 1), num(0))).otherwise(s)
-    return s, clamp(t, 0, 1)
+    """Parameters, 0 to 1, of nearest points of two segments.
+
+    Nearest points are those of the lines, where both lie within the segments, or an end is one of them: the least of
+    these five, however near to parallel the segments are. Of equal distances the smaller parameters count.
+    """
+    s, t = lines_closest(a, b - a, c, d - c)
+    pairs = [
+        (clamp(s, 0, 1), clamp(t, 0, 1)),
+        (num(0), segment_parameter(a, c, d)), (num(1), segment_parameter(b, c, d)),
+        (segment_parameter(c, a, b), num(0)), (segment_parameter(d, a, b), num(1)),
+    ]
+    apart = lambda x, y: ((a + (b - a) * x) - (c + (d - c) * y)).norm2()
+    best = F.least(*[F.struct(apart(x, y).alias("d"), x.alias("s"), y.alias("t")) for x, y in pairs])
+    return best["s"], best["t"]
 
 
 def segments_distance(a: V, b: V, c: V, d: V) -> Column:

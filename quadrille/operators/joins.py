@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.boxes import Box
+from ..functions.rays import slab
 from ..functions.vec import V, all_of, num
 from ..sources.tables import saved
 
@@ -125,19 +126,77 @@ def nearest(points: DataFrame, targets: DataFrame, p: V, box: Box, distance: Col
         reach *= 4
 
 
-def first_hit(rays: DataFrame, targets: DataFrame, toi: Column, key: str, target_key: str, max_toi: float | None = None) -> DataFrame:
-    """For each ray the target of least time of impact (ties by target key): columns of the ray, toi and the target's key.
+#: Pieces that a ray is cut into at most.
+MAX_PIECES = 1024
 
-    The bound is strict, as for all composite shapes. Rays are unbounded, so the targets are broadcast if their table is
-    under Spark's threshold and streamed by blocks otherwise.
+
+def ray_join(rays: DataFrame, targets: DataFrame, o: V, d: V, box: Box, max_toi: float | None = None) -> DataFrame:
+    """Every pair of a ray and a target whose box the ray meets, once, under the columns of both, whose names must differ.
+
+    Rays are clipped to the bounds of all targets and cut into pieces of about a cell's length, whose boxes are joined
+    on cells; the piece in which the ray enters the target's box reports the pair. ``max_toi`` bounds the entry. A ray of no
+    direction meets the boxes around its origin.
     """
-    hits = rays.join(targets, toi.isNotNull()).withColumn("toi", toi)
+    (p90, _) = extents_of(targets, box)
+    got = targets.agg(*[F.min(x).alias(f"lo{i}") for i, x in enumerate(box.lo)], *[F.max(x).alias(f"hi{i}") for i, x in enumerate(box.hi)]).first()
+    if got["lo0"] is None:
+        return rays.join(targets, F.lit(False))
+    low, high = ([float(got[f"{side}{i}"]) for i in range(box.dim)] for side in ("lo", "hi"))
+    widest = max(y - x for x, y in zip(low, high, strict=True))
+    size = max(2 * p90, widest / MAX_PIECES * box.dim, 1e-9)
+    # Boxes of pieces are widened by more than rounding can move an entry.
+    rim = 1e-9 * max(widest, *(abs(x) for x in (*low, *high)), 1.0)
+    enter, leave, meets = slab(o, d, Box(V(*(x - rim for x in low)), V(*(x + rim for x in high))))
+    still = d.norm2() == 0
+    start, stop = F.greatest(F.when(still, num(0)).otherwise(enter), num(0)), F.when(still, num(0)).otherwise(leave if max_toi is None else F.least(leave, num(max_toi)))
+    cut = rays.withColumns({"__t0": start, "__t1": stop}).where(meets & (F.col("__t0") <= F.col("__t1")))
+    n = F.greatest(F.ceil((F.col("__t1") - F.col("__t0")) * d.norm() / F.lit(size)), F.lit(1)).cast("int")
+    cut = cut.withColumn("__n", n).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    step = (F.col("__t1") - F.col("__t0")) / F.col("__n")
+    ends = [o + d * (F.col("__t0") + step * k) for k in (F.col("__k"), F.col("__k") + 1)]
+    for i, (x, y) in enumerate(zip(*ends, strict=True)):
+        cut = cut.withColumns({f"__plo{i}": F.least(x, y) - rim, f"__phi{i}": F.greatest(x, y) + rim})
+    piece = Box(V(*(f"__plo{i}" for i in range(box.dim))), V(*(f"__phi{i}" for i in range(box.dim))))
+    own_enter, own_leave, met = slab(o, d, box)
+    entry = F.greatest(own_enter, F.col("__t0"))
+    at = F.when(step > 0, F.floor((entry - F.col("__t0")) / step)).otherwise(0)
+    owner = F.least(at, F.col("__n") - 1) == F.col("__k")
+    found = box_join(cut, targets, piece, box, met & (own_leave >= 0) & (own_enter <= F.col("__t1")) & owner, size)
+    return found.select(*rays.columns, *targets.columns)
+
+
+def first_hit(rays: DataFrame, targets: DataFrame, o: V, d: V, box: Box, toi: Column, key: str, target_key: str, max_toi: float | None = None) -> DataFrame:
+    """For each ray the target of least time of impact (ties by target key): columns of the ray's key, toi and the target's key.
+
+    The bound is strict, as for all composite shapes. ``box`` bounds a target; candidates come from ``ray_join``.
+    """
+    hits = ray_join(rays, targets, o, d, box, max_toi).withColumn("toi", toi).where("toi IS NOT NULL")
     if max_toi is not None:
         hits = hits.where(F.col("toi") < max_toi)
     best = hits.groupBy(key).agg(F.min(F.struct("toi", F.col(target_key))).alias("best"))
     return best.select(key, F.col("best.toi").alias("toi"), F.col(f"best.{target_key}").alias(target_key))
 
 
+def moving_join(left: DataFrame, right: DataFrame, lbox: Box, lv: V, rbox: Box, rv: V, toi: Column, until: float, on: Column, slices: int = 8) -> DataFrame:
+    """Every pair that meets by ``until``, once: ``toi`` is not null and ``on`` holds. Boxes move at the velocities ``lv`` and ``rv``.
+
+    Time is cut into slices, so that swept boxes stay small; a pair is found in the slice of its ``toi``, by the boxes swept in it.
+    """
+    step = until / slices
+    sides = []
+    for df, box, v, name in ((left, lbox, lv, "__l"), (right, rbox, rv, "__r")):
+        df = df.withColumn(f"{name}k", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        for i, (a, b, x) in enumerate(zip(box.lo, box.hi, v, strict=True)):
+            begin, end = (x * (F.col(f"{name}k") + j) * step for j in (0, 1))
+            rim = F.lit(1e-9) * (F.abs(a) + F.abs(b) + F.abs(end) + 1)
+            df = df.withColumns({f"{name}lo{i}": a + F.least(begin, end) - rim, f"{name}hi{i}": b + F.greatest(begin, end) + rim})
+        sides.append((df, Box(V(*(f"{name}lo{i}" for i in range(box.dim))), V(*(f"{name}hi{i}" for i in range(box.dim))))))
+    (a, abox), (b, bbox) = sides
+    own = F.least(F.floor(toi / F.lit(step)), F.lit(slices - 1)) == F.col("__lk")
+    met = box_join(a, b, abox, bbox, (F.col("__lk") == F.col("__rk")) & on & toi.isNotNull() & own)
+    return met.select(*left.columns, *right.columns)
+
+
 def exists(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
     """Rows of ``left`` that some row of ``right`` meets (composite intersection)."""
     return left.join(right, on, "left_semi")

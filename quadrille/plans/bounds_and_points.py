@@ -45,7 +45,7 @@ def aabb_contains_pairs(spark, sf):
     return joins.box_join(a, b, ba, bb, (F.col("a_id") != F.col("b_id")) & ba.contains(bb)).select("a_id", "b_id")
 
 
-@query(f"""WITH b AS ({BOXSQL}), c AS (SELECT * FROM b WHERE id % 10 = 0), p AS (
+@query(f"""WITH b AS ({BOXSQL}), c AS (SELECT * FROM b), p AS (
   SELECT a.id AS a_id, b.id AS b_id, a.lox AS x0, a.loy AS y0, a.loz AS z0, a.hix AS x1, a.hiy AS y1, a.hiz AS z1,
     greatest(a.lox,b.lox) AS cx0, greatest(a.loy,b.loy) AS cy0, greatest(a.loz,b.loz) AS cz0, least(a.hix,b.hix) AS cx1, least(a.hiy,b.hiy) AS cy1, least(a.hiz,b.hiz) AS cz1
   FROM b a JOIN c b ON a.id<>b.id AND {MEET}), f AS (
@@ -58,8 +58,8 @@ def aabb_contains_pairs(spark, sf):
   UNION ALL SELECT a_id, b_id, (cx1-cx0)*(cy1-cy0)*(z1-cz1) FROM p WHERE cx0<cx1 AND cy0<cy1 AND cz0<cz1 AND cz1<z1)
   SELECT a_id, b_id, round(v,9)+0 AS volume FROM f""")
 def aabb_difference_fragments(spark, sf):
-    """What is left of each box when another (of every tenth id) is cut out: the fragments' volumes."""
-    a, b = boxes_of(spark, sf, "a_"), boxes_of(spark, sf, "b_").where("b_id % 10 = 0")
+    """What is left of each box when another is cut out: the fragments' volumes."""
+    a, b = boxes_of(spark, sf, "a_"), boxes_of(spark, sf, "b_")
     ba, bb = B.Box.columns("a_"), B.Box.columns("b_")
     met = joins.box_join(a, b, ba, bb, F.col("a_id") != F.col("b_id"))
     parts = F.array(*[F.when(ok, f.volume()) for ok, f in ba.difference(bb)])
@@ -123,19 +123,19 @@ def point_cloud_sphere(spark, sf):
     return got.select("grp", *[r6(F.col(k), k) for k in ("cx", "cy", "cz", "radius")])
 
 
-@query(f"""WITH b AS ({BOXSQL}), m AS (SELECT id, dx, dy, dz, lox, loy, loz, hix, hiy, hiz FROM g_rays JOIN b USING (id)), q AS (SELECT * FROM b WHERE id % 20 = 3),
+@query(f"""WITH b AS ({BOXSQL}), m AS (SELECT id, dx, dy, dz, lox, loy, loz, hix, hiy, hiz FROM g_rays JOIN b USING (id)), q AS (SELECT * FROM b),
   h AS (SELECT m.id AS m_id, q.id AS b_id, dx, dy, dz, q.lox-m.hix AS x0, q.hix-m.lox AS x1, q.loy-m.hiy AS y0, q.hiy-m.loy AS y1, q.loz-m.hiz AS z0, q.hiz-m.loz AS z1 FROM m CROSS JOIN q)
   SELECT m_id, b_id FROM h WHERE
   greatest(CAST(0 AS DOUBLE), coalesce(least(x0/nullif(dx,0), x1/nullif(dx,0)),0), coalesce(least(y0/nullif(dy,0), y1/nullif(dy,0)),0), coalesce(least(z0/nullif(dz,0), z1/nullif(dz,0)),0))
   <= least(CAST(1 AS DOUBLE), coalesce(greatest(x0/nullif(dx,0), x1/nullif(dx,0)),1), coalesce(greatest(y0/nullif(dy,0), y1/nullif(dy,0)),1), coalesce(greatest(z0/nullif(dz,0), z1/nullif(dz,0)),1))
   AND NOT (dx=0 AND (x0>0 OR x1<0)) AND NOT (dy=0 AND (y0>0 OR y1<0)) AND NOT (dz=0 AND (z0>0 OR z1<0))""")
 def moving_aabb_hits(spark, sf):
-    """Boxes that move by the ray of their id and meet a standing box (every twentieth): swept boxes first, then the exact test."""
+    """Boxes that move by the ray of their id and meet a standing box: swept boxes first, then the exact test."""
     m = boxes_of(spark, sf, "m_").join(view(spark, sf, "g_rays").select(F.col("id").alias("m_id"), "dx", "dy", "dz"), "m_id")
     start, v = B.Box.columns("m_"), V("dx", "dy", "dz")
     swept = B.swept_box(start, start.translated(v))
     m = m.select("*", *swept.as_("w_"))
-    q = boxes_of(spark, sf, "b_").where("b_id % 20 = 3")
+    q = boxes_of(spark, sf, "b_")
     return joins.box_join(m, q, B.Box.columns("w_"), B.Box.columns("b_"), B.Box.columns("b_").intersects_moving(start, v)).select("m_id", "b_id")
 
 

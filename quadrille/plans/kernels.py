@@ -154,7 +154,7 @@ def convex_hull3(spark, sf):
 
 @query()
 def oriented_boxes(spark, sf):
-    """Boxes along the principal axes of point groups, from their covariance (one aggregate) and projections (another)."""
+    """Boxes along the principal axes of point groups; a group is read whole by one task."""
     pts = view(spark, sf, "g_points")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -84,10 +84,10 @@ def tetra_volume(spark, sf):
     return view(spark, sf, "g_triangles").select("id", r6(measures.tetrahedron_signed_volume(a, b, c, a + V(1.0, 2.0, 3.0)), "volume"))
 
 
-@query("SELECT id AS mesh_id, CAST(18 AS BIGINT) AS edges, CAST(18 AS BIGINT) AS paired, CAST(8 AS BIGINT) AS vertices, CAST(12 AS BIGINT) AS faces FROM g_boxes WHERE id%10=0")
+@query("SELECT id AS mesh_id, CAST(18 AS BIGINT) AS edges, CAST(18 AS BIGINT) AS paired, CAST(8 AS BIGINT) AS vertices, CAST(12 AS BIGINT) AS faces FROM g_boxes")
 def mesh_edges_topology(spark, sf):
     """Box meshes given as loose triangles, welded by coordinates: 18 edges, each on two faces that run it both ways."""
-    v, f = generators.box_mesh(boxes_of(spark, sf).where("id % 10 = 0").withColumnRenamed("id", "mesh_id"), "mesh_id", B.Box.columns())
+    v, f = generators.box_mesh(boxes_of(spark, sf).withColumnRenamed("id", "mesh_id"), "mesh_id", B.Box.columns())
     loose = f.select("mesh_id", "tid", F.posexplode(F.array("i0", "i1", "i2")).alias("k", "vid")).join(v, ["mesh_id", "vid"])
     vertices = loose.select("mesh_id", (F.col("tid") * 3 + F.col("k")).alias("vid"), "x", "y", "z")
     faces = f.select("mesh_id", "tid", *[(F.col("tid") * 3 + i).alias(f"i{i}") for i in range(3)])

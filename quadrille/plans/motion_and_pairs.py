@@ -17,14 +17,14 @@ _SLAB = """SELECT *, greatest(coalesce(least((lox-ox)/nullif(dx,0),(hix-ox)/null
   (dx<>0 OR ox BETWEEN lox AND hix) AND (dy<>0 OR oy BETWEEN loy AND hiy) AND (dz<>0 OR oz BETWEEN loz AND hiz) AS par"""
 
 
-@query(f"""WITH b AS ({BOXSQL}), s AS ({_SLAB} FROM (SELECT r.id AS ray, b.*, ox, oy, oz, dx, dy, dz FROM g_rays r CROSS JOIN b WHERE b.id%20=5))
+@query(f"""WITH b AS ({BOXSQL}), s AS ({_SLAB} FROM (SELECT r.id AS ray, b.*, ox, oy, oz, dx, dy, dz FROM g_rays r CROSS JOIN b))
   SELECT ray, id AS box, round(greatest(t0,CAST(0 AS DOUBLE)),6)+0 AS toi, round(CASE WHEN t0>0 THEN t0 ELSE t1 END,6)+0 AS hollow_toi FROM s WHERE par AND t0<=t1 AND t1>=0""")
 def ray_aabb(spark, sf):
-    """Hits of rays on every twentieth box, solid and hollow."""
-    targets = boxes_of(spark, sf, "").where("id % 20 = 5").withColumnRenamed("id", "box")
+    """Hits of rays on boxes, solid and hollow."""
+    targets = boxes_of(spark, sf, "").withColumnRenamed("id", "box")
     b = B.Box.columns()
     toi, hollow = rays.on_box(O, D, b), rays.on_box(O, D, b, solid=False)
-    hits = view(spark, sf, "g_rays").withColumnRenamed("id", "ray").join(targets, toi.isNotNull())
+    hits = joins.ray_join(view(spark, sf, "g_rays").withColumnRenamed("id", "ray"), targets, O, D, b).where(toi.isNotNull())
     return hits.select("ray", "box", r6(toi, "toi"), r6(hollow, "hollow_toi"))
 
 
@@ -35,7 +35,8 @@ _RAYBALL = """SELECT r.id AS ray, b.id AS ball, dx*dx+dy*dy+dz*dz AS a, (ox-x)*d
 def ray_ball(spark, sf):
     c, r = ball()
     toi, hollow = rays.on_ball(O, D, c, r), rays.on_ball(O, D, c, r, solid=False)
-    hits = view(spark, sf, "g_rays").withColumnRenamed("id", "ray").join(view(spark, sf, "g_balls").withColumnRenamed("id", "ball"), toi.isNotNull())
+    balls = view(spark, sf, "g_balls").withColumnRenamed("id", "ball")
+    hits = joins.ray_join(view(spark, sf, "g_rays").withColumnRenamed("id", "ray"), balls, O, D, B.ball_box(c, r)).where(toi.isNotNull())
     return hits.select("ray", "ball", r6(toi, "toi"), r6(hollow, "hollow_toi"))
 
 
@@ -44,7 +45,7 @@ def ray_ball(spark, sf):
 def ray_first_hit_balls(spark, sf):
     """The first ball each ray hits (a compound: the bound is strict)."""
     c, r = ball()
-    found = joins.first_hit(view(spark, sf, "g_rays"), view(spark, sf, "g_balls").withColumnRenamed("id", "ball").drop("grp"), rays.on_ball(O, D, c, r), "id", "ball", 40.0)
+    found = joins.first_hit(view(spark, sf, "g_rays"), view(spark, sf, "g_balls").withColumnRenamed("id", "ball").drop("grp"), O, D, B.ball_box(c, r), rays.on_ball(O, D, c, r), "id", "ball", 40.0)
     return found.select(F.col("id").alias("ray"), "ball", r6(F.col("toi"), "toi"))
 
 
@@ -54,7 +55,7 @@ def ray_halfspace(spark, sf):
     return view(spark, sf, "g_rays").select("id", r6(toi, "toi"))
 
 
-_RAYTRI = """WITH t AS (SELECT r.id AS ray, t.id AS tri, ox, oy, oz, dx, dy, dz, ax, ay, az, bx, by_, bz, cx, cy, cz FROM g_rays r JOIN g_triangles t ON t.id%40=r.id%40),
+_RAYTRI = """WITH t AS (SELECT r.id AS ray, t.id AS tri, ox, oy, oz, dx, dy, dz, ax, ay, az, bx, by_, bz, cx, cy, cz FROM g_rays r CROSS JOIN g_triangles t),
   n AS (SELECT *, (by_-ay)*(cz-az)-(bz-az)*(cy-ay) AS nx, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) AS ny, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS nz FROM t),
   k AS (SELECT *, nx*dx+ny*dy+nz*dz AS det, ((ax-ox)*nx+(ay-oy)*ny+(az-oz)*nz)/nullif(nx*dx+ny*dy+nz*dz,0) AS t FROM n),
   q AS (SELECT *, ox+dx*t AS qx, oy+dy*t AS qy, oz+dz*t AS qz FROM k WHERE t>=0),
@@ -66,7 +67,7 @@ _RAYTRI = """WITH t AS (SELECT r.id AS ray, t.id AS tri, ox, oy, oz, dx, dy, dz,
 
 def _ray_triangles(spark, sf):
     r, t = view(spark, sf, "g_rays").withColumnRenamed("id", "ray"), view(spark, sf, "g_triangles").withColumnRenamed("id", "tri")
-    return r.join(t, F.col("tri") % 40 == F.col("ray") % 40)
+    return joins.ray_join(r, t, O, D, B.triangle_box(*tri()))
 
 
 @query(f"""{_RAYTRI} SELECT ray, tri, round(t,6)+0 AS toi, CASE WHEN det<0 THEN 0 ELSE 1 END AS face FROM h""")
@@ -90,19 +91,19 @@ def ray_voxels_first(spark, sf):
     lo = V(*(F.col(k).cast("double") * 5 for k in ("ix", "iy", "iz")))
     b = B.Box(lo, lo + V(5.0, 5.0, 5.0))
     t = rays.on_box(O, D, b)
-    hits = view(spark, sf, "g_rays").join(view(spark, sf, "g_voxels"), t.isNotNull()).withColumn("t", t)
+    hits = joins.ray_join(view(spark, sf, "g_rays"), view(spark, sf, "g_voxels"), O, D, b).withColumn("t", t).where("t IS NOT NULL")
     best = hits.groupBy("id").agg(F.min(F.struct("t", "ix", "iy", "iz")).alias("m"))
     return best.select("id", r6(F.col("m.t"), "toi"), "m.ix", "m.iy", "m.iz")
 
 
-@query("""WITH s AS (SELECT r.id AS ray, s.id AS seg, dx*(by_-ay)-dy*(bx-ax) AS det, (ax-ox)*(by_-ay)-(ay-oy)*(bx-ax) AS nt, (ax-ox)*dy-(ay-oy)*dx AS nu FROM g_rays r JOIN g_segments s ON s.id%40=r.id%40 WHERE NOT (dx=0 AND dy=0))
+@query("""WITH s AS (SELECT r.id AS ray, s.id AS seg, dx*(by_-ay)-dy*(bx-ax) AS det, (ax-ox)*(by_-ay)-(ay-oy)*(bx-ax) AS nt, (ax-ox)*dy-(ay-oy)*dx AS nu FROM g_rays r CROSS JOIN g_segments s WHERE NOT (dx=0 AND dy=0))
   SELECT ray, seg, round(nt/det,6)+0 AS toi FROM s WHERE det<>0 AND nt/nullif(det,0)>=0 AND nu/nullif(det,0) BETWEEN 0 AND 1""")
 def ray_segment_2d(spark, sf):
     r, s = view(spark, sf, "g_rays").withColumnRenamed("id", "ray").where("NOT (dx = 0 AND dy = 0)"), view(spark, sf, "g_segments").withColumnRenamed("id", "seg")
     o, d, a, b = V("ox", "oy"), V("dx", "dy"), V("ax", "ay"), V("bx", "by_")
     t = rays.on_segment_2d(o, d, a, b)
     # Collinear hits have no place in this data's oracle.
-    return r.join(s, F.col("seg") % 40 == F.col("ray") % 40).where(d.perp(b - a) != 0).withColumn("t", t).where("t IS NOT NULL").select("ray", "seg", r6(F.col("t"), "toi"))
+    return joins.ray_join(r, s, o, d, B.segment_box(a, b)).where(d.perp(b - a) != 0).withColumn("t", t).where("t IS NOT NULL").select("ray", "seg", r6(F.col("t"), "toi"))
 
 
 # Pairs ------------------------------------------------------------------------------------------------
@@ -132,12 +133,12 @@ def ball_ball_contact(spark, sf):
     return found.select("a_id", "b_id", r6(contact.dist, "dist"), r6(pairs.balls_distance(*a, *b), "distance"), pairs.closest_status(contact.dist, 2.0).alias("status"), r6(contact.point1[0], "px"))
 
 
-@query(f"""WITH b AS ({BOXSQL}), c AS (SELECT * FROM b WHERE id%10=1) SELECT a.id AS a_id, b.id AS b_id, round(sqrt(greatest(a.lox-b.hix,b.lox-a.hix,CAST(0 AS DOUBLE))*greatest(a.lox-b.hix,b.lox-a.hix,CAST(0 AS DOUBLE))+greatest(a.loy-b.hiy,b.loy-a.hiy,CAST(0 AS DOUBLE))*greatest(a.loy-b.hiy,b.loy-a.hiy,CAST(0 AS DOUBLE))+greatest(a.loz-b.hiz,b.loz-a.hiz,CAST(0 AS DOUBLE))*greatest(a.loz-b.hiz,b.loz-a.hiz,CAST(0 AS DOUBLE))),6)+0 AS distance
+@query(f"""WITH b AS ({BOXSQL}), c AS (SELECT * FROM b) SELECT a.id AS a_id, b.id AS b_id, round(sqrt(greatest(a.lox-b.hix,b.lox-a.hix,CAST(0 AS DOUBLE))*greatest(a.lox-b.hix,b.lox-a.hix,CAST(0 AS DOUBLE))+greatest(a.loy-b.hiy,b.loy-a.hiy,CAST(0 AS DOUBLE))*greatest(a.loy-b.hiy,b.loy-a.hiy,CAST(0 AS DOUBLE))+greatest(a.loz-b.hiz,b.loz-a.hiz,CAST(0 AS DOUBLE))*greatest(a.loz-b.hiz,b.loz-a.hiz,CAST(0 AS DOUBLE))),6)+0 AS distance
   FROM c a JOIN c b ON a.id<b.id AND sqrt(greatest(a.lox-b.hix,b.lox-a.hix,CAST(0 AS DOUBLE))*greatest(a.lox-b.hix,b.lox-a.hix,CAST(0 AS DOUBLE))+greatest(a.loy-b.hiy,b.loy-a.hiy,CAST(0 AS DOUBLE))*greatest(a.loy-b.hiy,b.loy-a.hiy,CAST(0 AS DOUBLE))+greatest(a.loz-b.hiz,b.loz-a.hiz,CAST(0 AS DOUBLE))*greatest(a.loz-b.hiz,b.loz-a.hiz,CAST(0 AS DOUBLE)))<=5""")
 def box_box_distance(spark, sf):
-    """Pairs of every tenth box within 5: a distance join over loosened boxes."""
+    """Pairs of boxes within 5: a distance join over loosened boxes."""
     d = pairs.boxes_distance(B.Box.columns("a_"), B.Box.columns("b_"))
-    found = joins.self_pairs(boxes_of(spark, sf).where("id % 10 = 1"), lambda p: B.Box.columns(p).loosened(2.5), "id", d <= 5)
+    found = joins.self_pairs(boxes_of(spark, sf), lambda p: B.Box.columns(p).loosened(2.5), "id", d <= 5)
     return found.select("a_id", "b_id", r6(d, "distance"))
 
 
@@ -156,12 +157,12 @@ def obb_sat_separation(spark, sf):
 
 @query(f"""WITH b AS ({BOXSQL}), t AS (SELECT g.*, least(ax,bx,cx) AS lox, greatest(ax,bx,cx) AS hix, least(ay,by_,cy) AS loy, greatest(ay,by_,cy) AS hiy, least(az,bz,cz) AS loz, greatest(az,bz,cz) AS hiz FROM g_triangles g),
   p AS (SELECT b.id AS box, t.id AS tri, (b.hix-b.lox)/2 AS hx, (b.hiy-b.loy)/2 AS hy, (b.hiz-b.loz)/2 AS hz, ax-(b.lox+b.hix)/2 AS ax, ay-(b.loy+b.hiy)/2 AS ay, az-(b.loz+b.hiz)/2 AS az, bx-(b.lox+b.hix)/2 AS bx, by_-(b.loy+b.hiy)/2 AS by_, bz-(b.loz+b.hiz)/2 AS bz, cx-(b.lox+b.hix)/2 AS cx, cy-(b.loy+b.hiy)/2 AS cy, cz-(b.loz+b.hiz)/2 AS cz
-    FROM b JOIN t ON b.id%5=2 AND b.lox<=t.hix AND t.lox<=b.hix AND b.loy<=t.hiy AND t.loy<=b.hiy AND b.loz<=t.hiz AND t.loz<=b.hiz),
+    FROM b JOIN t ON b.lox<=t.hix AND t.lox<=b.hix AND b.loy<=t.hiy AND t.loy<=b.hiy AND b.loz<=t.hiz AND t.loz<=b.hiz),
   e AS (SELECT *, unnest([[bx-ax,by_-ay,bz-az],[cx-bx,cy-by_,cz-bz],[ax-cx,ay-cy,az-cz]]) AS e FROM p),
   x AS (SELECT box, tri, hx, hy, hz, ax, ay, az, bx, by_, bz, cx, cy, cz, unnest([[CAST(0 AS DOUBLE),-e[3],e[2]],[e[3],CAST(0 AS DOUBLE),-e[1]],[-e[2],e[1],CAST(0 AS DOUBLE)],[(by_-ay)*(cz-bz)-(bz-az)*(cy-by_),(bz-az)*(cx-bx)-(bx-ax)*(cz-bz),(bx-ax)*(cy-by_)-(by_-ay)*(cx-bx)]]) AS n FROM e)
   SELECT box, tri FROM x GROUP BY box, tri HAVING bool_and(least(n[1]*ax+n[2]*ay+n[3]*az,n[1]*bx+n[2]*by_+n[3]*bz,n[1]*cx+n[2]*cy+n[3]*cz)<=hx*abs(n[1])+hy*abs(n[2])+hz*abs(n[3]) AND greatest(n[1]*ax+n[2]*ay+n[3]*az,n[1]*bx+n[2]*by_+n[3]*bz,n[1]*cx+n[2]*cy+n[3]*cz)>=-(hx*abs(n[1])+hy*abs(n[2])+hz*abs(n[3])))""")
 def box_triangle_intersect(spark, sf):
-    b, t = boxes_of(spark, sf, "q_").where("q_id % 5 = 2"), view(spark, sf, "g_triangles")
+    b, t = boxes_of(spark, sf, "q_"), view(spark, sf, "g_triangles")
     return joins.box_join(b, t, B.Box.columns("q_"), B.triangle_box(*tri()), pairs.box_meets_triangle(B.Box.columns("q_"), *tri())).select(F.col("q_id").alias("box"), F.col("id").alias("tri"))
 
 
@@ -204,27 +205,28 @@ def compound_deepest_contact(spark, sf):
 # Motion -----------------------------------------------------------------------------------------------
 
 
-@query("""WITH p AS (SELECT a.id AS a_id, b.id AS b_id, a.x-b.x AS mx, a.y-b.y AS my, a.z-b.z AS mz, a.r+b.r AS r, CAST(b.id%5-2-(a.id%5-2) AS DOUBLE) AS vx, CAST(b.id%7-a.id%7 AS DOUBLE) AS vy, CAST(b.id%3-a.id%3 AS DOUBLE) AS vz FROM g_balls a JOIN g_balls b ON a.id<b.id AND b.id-a.id<=20),
+@query("""WITH p AS (SELECT a.id AS a_id, b.id AS b_id, a.x-b.x AS mx, a.y-b.y AS my, a.z-b.z AS mz, a.r+b.r AS r, CAST(b.id%5-2-(a.id%5-2) AS DOUBLE) AS vx, CAST(b.id%7-a.id%7 AS DOUBLE) AS vy, CAST(b.id%3-a.id%3 AS DOUBLE) AS vz FROM g_balls a JOIN g_balls b ON a.id<b.id),
   q AS (SELECT *, vx*vx+vy*vy+vz*vz AS a, -(mx*vx+my*vy+mz*vz) AS b, mx*mx+my*my+mz*mz-r*r AS c FROM p),
   t AS (SELECT a_id, b_id, CASE WHEN c<=0 THEN CAST(0 AS DOUBLE) WHEN a>0 AND b*b-a*c>=0 AND b<=0 THEN (-b-sqrt(greatest(b*b-a*c,CAST(0 AS DOUBLE))))/nullif(a,0) END AS t FROM q)
-  SELECT a_id, b_id, round(t,6)+0 AS toi FROM t WHERE t<=30""")
+  SELECT a_id, b_id, round(t,6)+0 AS toi FROM t WHERE t<=5""")
 def ball_ball_toi(spark, sf):
-    """When moving balls meet within 30 seconds."""
+    """When moving balls meet within 5 seconds."""
     v = lambda p: V(*((F.col(f"{p}id") % m - k).cast("double") for m, k in ((5, 2), (7, 3), (3, 1))))
     balls = view(spark, sf, "g_balls")
-    both = renamed(balls, "a_").join(renamed(balls, "b_"), (F.col("a_id") < F.col("b_id")) & (F.col("b_id") - F.col("a_id") <= 20))
     (c1, r1), (c2, r2) = ball("a_"), ball("b_")
-    t = motion.balls_toi(c1, v("a_"), r1, c2, v("b_"), r2, max_toi=30.0)
-    return both.withColumn("t", t).where("t IS NOT NULL").select("a_id", "b_id", r6(F.col("t"), "toi"))
+    t = motion.balls_toi(c1, v("a_"), r1, c2, v("b_"), r2, max_toi=5.0)
+    both = joins.moving_join(renamed(balls, "a_"), renamed(balls, "b_"), B.ball_box(c1, r1), v("a_"), B.ball_box(c2, r2), v("b_"), t, 5.0, F.col("a_id") < F.col("b_id"))
+    return both.withColumn("t", t).select("a_id", "b_id", r6(F.col("t"), "toi"))
 
 
-@query(f"""WITH b AS ({BOXSQL}), p AS (SELECT a.id AS a_id, b.id AS b_id, CAST(b.id%5-a.id%5 AS DOUBLE) AS dx, CAST(b.id%7-a.id%7 AS DOUBLE) AS dy, CAST(b.id%3-a.id%3 AS DOUBLE) AS dz, CAST(0 AS DOUBLE) AS ox, CAST(0 AS DOUBLE) AS oy, CAST(0 AS DOUBLE) AS oz, a.lox-b.hix AS lox, a.hix-b.lox AS hix, a.loy-b.hiy AS loy, a.hiy-b.loy AS hiy, a.loz-b.hiz AS loz, a.hiz-b.loz AS hiz FROM b a JOIN b b ON a.id<b.id AND b.id-a.id<=20),
-  s AS ({_SLAB} FROM p) SELECT a_id, b_id, round(greatest(t0,CAST(0 AS DOUBLE)),6)+0 AS toi FROM s WHERE par AND t0<=t1 AND t1>=0 AND greatest(t0,CAST(0 AS DOUBLE))<=30""")
+@query(f"""WITH b AS ({BOXSQL}), p AS (SELECT a.id AS a_id, b.id AS b_id, CAST(b.id%5-a.id%5 AS DOUBLE) AS dx, CAST(b.id%7-a.id%7 AS DOUBLE) AS dy, CAST(b.id%3-a.id%3 AS DOUBLE) AS dz, CAST(0 AS DOUBLE) AS ox, CAST(0 AS DOUBLE) AS oy, CAST(0 AS DOUBLE) AS oz, a.lox-b.hix AS lox, a.hix-b.lox AS hix, a.loy-b.hiy AS loy, a.hiy-b.loy AS hiy, a.loz-b.hiz AS loz, a.hiz-b.loz AS hiz FROM b a JOIN b b ON a.id<b.id),
+  s AS ({_SLAB} FROM p) SELECT a_id, b_id, round(greatest(t0,CAST(0 AS DOUBLE)),6)+0 AS toi FROM s WHERE par AND t0<=t1 AND t1>=0 AND greatest(t0,CAST(0 AS DOUBLE))<=2""")
 def box_box_toi(spark, sf):
     v = lambda p: V(*((F.col(f"{p}id") % m).cast("double") for m in (5, 7, 3)))
-    both = boxes_of(spark, sf, "a_").join(boxes_of(spark, sf, "b_"), (F.col("a_id") < F.col("b_id")) & (F.col("b_id") - F.col("a_id") <= 20))
-    t = motion.boxes_toi(B.Box.columns("a_"), v("a_"), B.Box.columns("b_"), v("b_"), 30.0)
-    return both.withColumn("t", t).where("t IS NOT NULL").select("a_id", "b_id", r6(F.col("t"), "toi"))
+    """When moving boxes meet within 2 seconds."""
+    t = motion.boxes_toi(B.Box.columns("a_"), v("a_"), B.Box.columns("b_"), v("b_"), 2.0)
+    both = joins.moving_join(boxes_of(spark, sf, "a_"), boxes_of(spark, sf, "b_"), B.Box.columns("a_"), v("a_"), B.Box.columns("b_"), v("b_"), t, 2.0, F.col("a_id") < F.col("b_id"))
+    return both.withColumn("t", t).select("a_id", "b_id", r6(F.col("t"), "toi"))
 
 
 @query("""SELECT id, round(CASE WHEN z-r<=0 THEN CAST(0 AS DOUBLE) WHEN id%7>3 THEN (z-r)/nullif(CAST(id%7-3 AS DOUBLE),0) END,6)+0 AS toi FROM g_balls""")
@@ -238,11 +240,11 @@ def ball_halfspace_toi(spark, sf):
 # Clips ------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH b AS ({BOXSQL}), s AS ({_SLAB} FROM (SELECT s.id AS seg, b.*, ax AS ox, ay AS oy, az AS oz, bx-ax AS dx, by_-ay AS dy, bz-az AS dz FROM g_segments s JOIN b ON b.id%50=s.id%50))
+@query(f"""WITH b AS ({BOXSQL}), s AS ({_SLAB} FROM (SELECT s.id AS seg, b.*, ax AS ox, ay AS oy, az AS oz, bx-ax AS dx, by_-ay AS dy, bz-az AS dz FROM g_segments s CROSS JOIN b))
   SELECT seg, id AS box, round(greatest(t0,CAST(0 AS DOUBLE)),6)+0 AS enter, round(least(t1,CAST(1 AS DOUBLE)),6)+0 AS leave FROM s WHERE par AND t0<=t1 AND t0<=1 AND t1>=0""")
 def clip_segment_aabb(spark, sf):
     a, b = seg()
-    both = view(spark, sf, "g_segments").join(boxes_of(spark, sf, "q_"), F.col("q_id") % 50 == F.col("id") % 50)
+    both = joins.box_join(view(spark, sf, "g_segments"), boxes_of(spark, sf, "q_"), B.segment_box(a, b), B.Box.columns("q_"))
     enter, leave = clips.segment_in_box(a, b, B.Box.columns("q_"))
     return both.withColumns({"e": enter, "l": leave}).where("e IS NOT NULL").select(F.col("id").alias("seg"), F.col("q_id").alias("box"), r6(F.col("e"), "enter"), r6(F.col("l"), "leave"))
 
@@ -271,10 +273,10 @@ def split_segment(spark, sf):
     return view(spark, sf, "g_segments").select("id", side.alias("side"), r6(q[1], "y"))
 
 
-@query("""WITH p AS (SELECT s.id AS a, t.id AS b, s.bx-s.ax AS ux, s.by_-s.ay AS uy, t.bx-t.ax AS vx, t.by_-t.ay AS vy, t.ax-s.ax AS wx, t.ay-s.ay AS wy FROM g_segments s JOIN g_segments t ON s.id<t.id AND t.id%25=s.id%25)
+@query("""WITH p AS (SELECT s.id AS a, t.id AS b, s.bx-s.ax AS ux, s.by_-s.ay AS uy, t.bx-t.ax AS vx, t.by_-t.ay AS vy, t.ax-s.ax AS wx, t.ay-s.ay AS wy FROM g_segments s JOIN g_segments t ON s.id<t.id)
   SELECT a, b FROM p WHERE ux*vy-uy*vx<>0 AND (wx*vy-wy*vx)/nullif(ux*vy-uy*vx,0) BETWEEN 0 AND 1 AND (wx*uy-wy*ux)/nullif(ux*vy-uy*vx,0) BETWEEN 0 AND 1""")
 def segments_intersection_2d(spark, sf):
     s, t = view(spark, sf, "g_segments"), renamed(view(spark, sf, "g_segments"), "t_")
     kind = clips.segments_intersection_2d(V("ax", "ay"), V("bx", "by_"), V("t_ax", "t_ay"), V("t_bx", "t_by_"))
-    met = joins.box_join(s, t, B.segment_box(V("ax", "ay"), V("bx", "by_")), B.segment_box(V("t_ax", "t_ay"), V("t_bx", "t_by_")), (F.col("id") < F.col("t_id")) & (F.col("id") % 25 == F.col("t_id") % 25) & (kind == "point"))
+    met = joins.box_join(s, t, B.segment_box(V("ax", "ay"), V("bx", "by_")), B.segment_box(V("t_ax", "t_ay"), V("t_bx", "t_by_")), (F.col("id") < F.col("t_id")) & (kind == "point"))
     return met.select(F.col("id").alias("a"), F.col("t_id").alias("b"))

@@ -313,3 +313,65 @@ def test_root_isolation():
     waves = roots(lambda x: x.sin(), lambda x: x.cos(), Interval(1.0, 10.0))
     assert [round(r.middle() / math.pi) for r in waves] == [1, 2, 3] and all(r.width() < 1e-6 for r in waves)
     assert roots(lambda x: x * x + point(1.0), lambda x: point(2.0) * x, Interval(-3.0, 3.0)) == []
+
+
+def test_ray_and_moving_joins_by_brute_force(spark):
+    """Each pair once, for rays along axes, from inside, without a direction, beyond a bound; and for boxes that stand, meet late or twice as large."""
+    import itertools
+
+    import numpy as np
+
+    from quadrille.functions import motion, rays
+    from quadrille.functions.boxes import Box
+    from quadrille.functions.vec import V
+    from quadrille.operators import joins
+
+    rng = np.random.default_rng(12)
+    lo = rng.uniform(0, 50, (80, 3))
+    boxes = [(i, *map(float, a), *map(float, a + s)) for i, (a, s) in enumerate(zip(lo, rng.uniform(0.1, 9, (80, 3)), strict=True))]
+    lines = [(i, *map(float, rng.uniform(-20, 70, 3)), *map(float, rng.integers(-2, 3, 3))) for i in range(400)]
+    b = spark.createDataFrame(boxes, "box long, lox double, loy double, loz double, hix double, hiy double, hiz double")
+    r = spark.createDataFrame(lines, "ray long, ox double, oy double, oz double, dx double, dy double, dz double")
+    o, d, box = V("ox", "oy", "oz"), V("dx", "dy", "dz"), Box(V("lox", "loy", "loz"), V("hix", "hiy", "hiz"))
+    for bound in (None, 9.0):
+        hit = rays.on_box(o, d, box, max_toi=bound)
+        got = [tuple(x) for x in joins.ray_join(r, b, o, d, box, bound).where(hit.isNotNull()).select("ray", "box").collect()]
+        want = [tuple(x) for x in r.crossJoin(b).where(hit.isNotNull()).select("ray", "box").collect()]
+        assert sorted(got) == sorted(want) and len(want) > 20
+    assert joins.ray_join(r, b.limit(0), o, d, box).count() == 0
+    one = b.select(*[F.col(c).alias(f"a_{c}") for c in b.columns])
+    abox = Box(V("a_lox", "a_loy", "a_loz"), V("a_hix", "a_hiy", "a_hiz"))
+    v = lambda key: V(*((F.col(key) * k % 7 - 3).cast("double") for k in (1, 2, 3)))
+    toi = motion.boxes_toi(abox, v("a_box"), box, v("box"), 4.0)
+    got = [tuple(x) for x in joins.moving_join(one, b, abox, v("a_box"), box, v("box"), toi, 4.0, F.col("a_box") < F.col("box")).select("a_box", "box").collect()]
+    want = [tuple(x) for x in one.crossJoin(b).where((F.col("a_box") < F.col("box")) & toi.isNotNull()).select("a_box", "box").collect()]
+    assert sorted(got) == sorted(want) and len(set(itertools.chain(*want))) > 40
+
+
+def test_nearest_points_of_odd_segments(spark):
+    """Parallel, nearly parallel, crossing, touching and pointlike segments against a fine grid of parameters."""
+    import numpy as np
+
+    from quadrille.functions import measures, pairs
+    from quadrille.functions.vec import V
+
+    rng = np.random.default_rng(13)
+    rows = [[0, 0, 0, 1, 0, 0, 0, 1, 0, 1, 1, 1e-9], [0, 0, 0, 4, 0, 0, 5, 1, 0, 9, 1, 0], [0, 0, 0, 0, 0, 0, 1, 2, 2, 1, 2, 2], [0, 0, 0, 2, 2, 0, 0, 2, 0, 2, 0, 0], *rng.integers(-4, 5, (20, 12)).tolist()]
+    names = "ax ay az bx by_ bz cx cy cz dx dy dz".split()
+    df = spark.createDataFrame([[float(x) for x in r] for r in rows], ", ".join(f"{n} double" for n in names))
+    a, b, c, d = (V(*names[i : i + 3]) for i in (0, 3, 6, 9))
+    got = [x[0] for x in df.select(pairs.segments_distance(a, b, c, d)).collect()]
+    t = np.linspace(0, 1, 401)
+    for r, found in zip(rows, got, strict=True):
+        p, q, u, w = (np.array(r[i : i + 3], float) for i in (0, 3, 6, 9))
+        first, second = p + t[:, None] * (q - p), u + t[:, None] * (w - u)
+        least = np.linalg.norm(first[:, None] - second[None], axis=2).min()
+        assert least - 0.05 <= found <= least + 1e-9
+    center, radius = measures.triangle_circumcircle(a, b, c)
+    for r, x in zip(rows, df.select(*center, radius).collect(), strict=True):
+        p, q, u = (np.array(r[i : i + 3], float) for i in (0, 3, 6))
+        away = [np.linalg.norm(np.array(x[:3]) - y) for y in (p, q, u)]
+        if np.linalg.norm(np.cross(q - p, u - p)) > 1e-6:
+            assert np.allclose(away, x[3])
+        else:
+            assert max(np.linalg.norm(y - z) for y, z in ((p, q), (q, u), (u, p))) == pytest.approx(2 * x[3])
