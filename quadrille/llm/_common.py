@@ -66,7 +66,8 @@ def whole_texts(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[bytes]:
-    """The texts of an Arrow batch one after another, without a Python list of all of them."""
+    """The texts of an Arrow batch one after another, without a Python list of all of them. What earlier batches took goes back to the system."""
+    pa.default_memory_pool().release_unused()
     column = batch.column(batch.schema.get_field_index("text"))
     for i in range(len(column)):
         yield column[i].as_py()
