@@ -72,7 +72,7 @@ class WordTokenizer:
             self._learn(fresh.difference(again))
             for i in new:
                 found[i] = known[words[i]]
-            self.held += sum(len(w) + len(known[w]) + _ENTRY for w in fresh)
+            self.held += sum(map(len, fresh)) + sum(map(len, map(known.__getitem__, fresh))) + _ENTRY * len(fresh)
             if self.held > CACHED_BYTES // 2:
                 self.before, self.known, self.held = known, {}, 0
         return b"".join(found)
