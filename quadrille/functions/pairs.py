@@ -123,20 +123,26 @@ def lines_closest(p: V, d: V, q: V, e: V) -> tuple[Column, Column]:
     return s, F.coalesce(div(b * s + g, f), num(0))
 
 
-def segments_closest(a: V, b: V, c: V, d: V) -> tuple[Column, Column]:
-    """Parameters, 0 to 1, of nearest points of two segments.
+def segments_nearest(a: V, b: V, c: V, d: V) -> Column:
+    """struct<d, s, t>: the squared distance of two segments and parameters, 0 to 1, of nearest points.
 
     Nearest points are those of the lines, where both lie within the segments, or an end is one of them: the least of
     these five, however near to parallel the segments are. Of equal distances the smaller parameters count.
     """
     s, t = lines_closest(a, b - a, c, d - c)
-    pairs = [
-        (clamp(s, 0, 1), clamp(t, 0, 1)),
-        (num(0), segment_parameter(a, c, d)), (num(1), segment_parameter(b, c, d)),
-        (segment_parameter(c, a, b), num(0)), (segment_parameter(d, a, b), num(1)),
-    ]
-    apart = lambda x, y: ((a + (b - a) * x) - (c + (d - c) * y)).norm2()
-    best = F.least(*[F.struct(apart(x, y).alias("d"), x.alias("s"), y.alias("t")) for x, y in pairs])
+    spot = lambda x, y: F.struct(x.alias("s"), y.alias("t"))
+    spots = F.array(
+        spot(clamp(s, 0, 1), clamp(t, 0, 1)),
+        spot(num(0), segment_parameter(a, c, d)), spot(num(1), segment_parameter(b, c, d)),
+        spot(segment_parameter(c, a, b), num(0)), spot(segment_parameter(d, a, b), num(1)),
+    )
+    apart = lambda k: ((a + (b - a) * k["s"]) - (c + (d - c) * k["t"])).norm2()
+    return F.array_min(F.transform(spots, lambda k: F.struct(apart(k).alias("d"), k["s"].alias("s"), k["t"].alias("t"))))
+
+
+def segments_closest(a: V, b: V, c: V, d: V) -> tuple[Column, Column]:
+    """The parameters of ``segments_nearest``."""
+    best = segments_nearest(a, b, c, d)
     return best["s"], best["t"]
 
 

@@ -119,6 +119,11 @@ class Names(V):
         return num(tuple.__getitem__(self, i))
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def choose(condition: Column, a: V, b: V) -> V:
     return V(*(F.when(condition, x).otherwise(y) for x, y in zip(a, b, strict=True)))
 

@@ -22,75 +22,82 @@ class Manifold:
         return int(self.dist.argmin()) if len(self.dist) else None
 
 
-def _face(center: np.ndarray, axes: np.ndarray, half: np.ndarray, direction: np.ndarray) -> tuple[np.ndarray, int]:
-    """The corners of a cuboid's face that faces a direction most, and the face's number. ``axes`` are columns."""
-    along = axes.T @ direction
-    k = int(np.abs(along).argmax())
-    sign = 1.0 if along[k] >= 0 else -1.0
-    u, v = (k + 1) % 3, (k + 2) % 3
-    mid = center + axes[:, k] * half[k] * sign
-    du, dv = axes[:, u] * half[u], axes[:, v] * half[v]
-    return np.array([mid - du - dv, mid + du - dv, mid + du + dv, mid - du + dv]), 2 * k + (sign < 0)
-
-
-def _cut(poly: np.ndarray, n: np.ndarray, at: float) -> np.ndarray:
-    """A polygon cut to n·p <= at."""
-    s = poly @ n - at
-    out = []
-    for i in range(len(poly)):
-        j = (i + 1) % len(poly)
-        if s[i] <= 0:
-            out.append(poly[i])
-        if (s[i] <= 0) != (s[j] <= 0):
-            out.append(poly[i] + (poly[j] - poly[i]) * (s[i] / (s[i] - s[j])))
-    return np.array(out).reshape(-1, 3)
-
-
-def cuboids(c1: np.ndarray, a1: np.ndarray, h1: np.ndarray, c2: np.ndarray, a2: np.ndarray, h2: np.ndarray, prediction: float = 0.0) -> Manifold | None:
-    """The manifold of two cuboids within ``prediction``, None if they are farther. Axes are the columns of rotations.
+def _faces(center: np.ndarray, axes: np.ndarray, half: np.ndarray, direction: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The corners (n, 4, 3) of the cuboids' faces that face a direction most, and the faces' numbers. ``axes`` are columns."""
+    rows = np.arange(len(center))
+    along = np.einsum("nij,ni->nj", axes, direction)
+    k = np.abs(along).argmax(1)
+    sign = np.where(along[rows, k] >= 0, 1.0, -1.0)
+    side = lambda j: axes[rows, :, j] * half[rows, j, None]
+    mid = center + side(k) * sign[:, None]
+    du, dv = side((k + 1) % 3), side((k + 2) % 3)
+    return np.stack([mid - du - dv, mid + du - dv, mid + du + dv, mid - du + dv], axis=1), 2 * k + (sign < 0)
+
+
+def _cut(poly: np.ndarray, count: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Convex polygons (n, m, 3), of which the first ``count`` corners are used, cut to n·p <= at."""
+    s = np.einsum("nmi,ni->nm", poly, n) - at[:, None]
+    slot = np.arange(poly.shape[1])
+    used = slot < count[:, None]
+    after = np.where(slot + 1 < count[:, None], slot + 1, 0)
+    s_after, p_after = np.take_along_axis(s, after, 1), np.take_along_axis(poly, after[..., None], 1)
+    crosses = used & (((s < 0) & (s_after > 0)) | ((s > 0) & (s_after < 0)))
+    part = np.divide(s, s - s_after, out=np.zeros_like(s), where=crosses)
+    corners = np.stack([poly, poly + (p_after - poly) * part[..., None]], axis=2).reshape(len(poly), -1, 3)
+    keep = np.stack([used & (s <= 0), crosses], axis=2).reshape(len(poly), -1)
+    order = np.argsort(~keep, axis=1, kind="stable")[:, : poly.shape[1] + 1]
+    return np.take_along_axis(corners, order[..., None], 1), keep.sum(1)
+
+
+def cuboid_batches(c1, a1, h1, c2, a2, h2, prediction: float = 0.0) -> tuple[np.ndarray, ...]:
+    """Manifolds of cuboids, all rows at once: whether they are within ``prediction``, normals (n, 3), points on the second
+    (n, m, 3), distances (n, m), which of the m are contacts, and the numbers of the two faces. Axes are columns of rotations.
 
     The normal is the axis of most separation among face normals and edge products; of near equals a face normal.
     """
-    best, normal = -np.inf, None
+    n = len(c1)
+    rows = np.arange(n)
     offset = c2 - c1
-    faces = [*a1.T, *a2.T]
-    edges = [np.cross(u, v) for u in a1.T for v in a2.T]
-    for k, n in enumerate(faces + edges):
-        size = np.linalg.norm(n)
-        if size < 1e-9:
-            continue
-        n = n / size
-        if n @ offset < 0:
-            n = -n
-        gap = n @ offset - np.abs(a1.T @ n) @ h1 - np.abs(a2.T @ n) @ h2
-        if gap > best + (1e-9 if k < 6 else 1e-6):
-            best, normal = gap, n
-    if best > prediction:
-        return None
-    f1, id1 = _face(c1, a1, h1, normal)
-    f2, id2 = _face(c2, a2, h2, -normal)
-    poly = f2
-    mid = f1.mean(0)
+    u, v = a1.transpose(0, 2, 1), a2.transpose(0, 2, 1)
+    axes = np.concatenate([u, v, np.cross(u[:, :, None], v[:, None]).reshape(n, 9, 3)], axis=1)
+    size = np.linalg.norm(axes, axis=2, keepdims=True)
+    real = size[..., 0] >= 1e-9
+    axes = np.divide(axes, size, out=np.zeros_like(axes), where=real[..., None])
+    towards = np.einsum("nki,ni->nk", axes, offset)
+    axes = np.where(towards[..., None] < 0, -axes, axes)
+    gap = np.abs(towards) - np.einsum("nkj,nj->nk", np.abs(axes @ a1), h1) - np.einsum("nkj,nj->nk", np.abs(axes @ a2), h2)
+    gap = np.where(real, gap, -np.inf)
+    # Nearly equal gaps take the earlier axis, and a face's before an edge's.
+    handicap = np.concatenate([np.arange(6) * 1e-9, np.full(9, 1e-6)])
+    k = (gap - handicap).argmax(1)
+    best, normal = gap[rows, k], axes[rows, k]
+    f1, id1 = _faces(c1, a1, h1, normal)
+    poly, id2 = _faces(c2, a2, h2, -normal)
+    count, mid = np.full(n, 4), f1.mean(1)
     for i in range(4):
-        side = np.cross(f1[(i + 1) % 4] - f1[i], normal)
-        if side @ (mid - f1[i]) > 0:
-            side = -side
-        poly = _cut(poly, side, float(side @ f1[i]))
-        if not len(poly):
-            break
-    n1 = np.cross(f1[1] - f1[0], f1[2] - f1[0])
-    slope = n1 @ normal
-    if len(poly) and abs(slope) > 1e-9:
-        # Each point of the second face and what lies before it, along the normal, on the first.
-        depth = ((poly - f1[0]) @ n1) / slope
-        keep = depth <= prediction
-        p2, d = poly[keep], depth[keep]
-    else:
-        p2, d = np.zeros((0, 3)), np.zeros(0)
-    if not len(d):  # edges cross: one contact along the normal
-        s1 = c1 + a1 @ (np.sign(a1.T @ normal) * h1)
-        p2, d = (s1 + normal * best)[None], np.array([best])
-    return Manifold(normal, p2 - normal * d[:, None], p2, d, [(int(id1) * 8 + k, int(id2) * 8 + k) for k in range(len(d))])
+        side = np.cross(f1[:, (i + 1) % 4] - f1[:, i], normal)
+        side *= np.where(((mid - f1[:, i]) * side).sum(1) > 0, -1.0, 1.0)[:, None]
+        poly, count = _cut(poly, count, side, (side * f1[:, i]).sum(1))
+    n1 = np.cross(f1[:, 1] - f1[:, 0], f1[:, 2] - f1[:, 0])
+    slope = (n1 * normal).sum(1)
+    # Each point of the second face and what lies before it, along the normal, on the first.
+    rise = np.einsum("nmi,ni->nm", poly - f1[:, :1], n1)
+    dist = np.divide(rise, slope[:, None], out=np.full_like(rise, np.inf), where=np.abs(slope)[:, None] > 1e-9)
+    kept = (np.arange(poly.shape[1]) < count[:, None]) & (dist <= prediction)
+    # Where edges cross there is one contact along the normal.
+    lone = ~kept.any(1)
+    tip = c1 + np.einsum("nij,nj->ni", a1, np.sign(np.einsum("nij,ni->nj", a1, normal)) * h1)
+    poly[lone, 0], dist[lone, 0], kept[lone, 0] = (tip + normal * best[:, None])[lone], best[lone], True
+    return best <= prediction, normal, poly, dist, kept, id1, id2
+
+
+def cuboids(c1: np.ndarray, a1: np.ndarray, h1: np.ndarray, c2: np.ndarray, a2: np.ndarray, h2: np.ndarray, prediction: float = 0.0) -> Manifold | None:
+    """The manifold of two cuboids within ``prediction``, None if they are farther."""
+    near, normal, p2, dist, kept, id1, id2 = (x[0] for x in cuboid_batches(*(np.asarray(x, float)[None] for x in (c1, a1, h1, c2, a2, h2)), prediction))
+    if not near:
+        return None
+    p2, dist = p2[kept], dist[kept]
+    return Manifold(normal, p2 - normal * dist[:, None], p2, dist, [(int(id1) * 8 + k, int(id2) * 8 + k) for k in range(len(dist))])
 
 
 def balls(c1: np.ndarray, r1: float, c2: np.ndarray, r2: float, prediction: float = 0.0) -> Manifold | None:

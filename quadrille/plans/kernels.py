@@ -63,10 +63,10 @@ def gjk_distance(spark, sf):
     return _map(pairs, run, "a_id long, distance double").select("a_id", (F.round("distance", 5) + 0.0).alias("distance"))
 
 
-@query(f"WITH b AS ({BOXSQL}) SELECT a.id AS a_id, b.id AS b_id, round(-least(a.hix-b.lox,b.hix-a.lox,a.hiy-b.loy,b.hiy-a.loy,a.hiz-b.loz,b.hiz-a.loz),5)+0 AS dist FROM b a JOIN b b ON a.id<b.id AND a.id%5=0 AND b.id%5=0 AND {MEET}")
+@query(f"WITH b AS ({BOXSQL}) SELECT a.id AS a_id, b.id AS b_id, round(-least(a.hix-b.lox,b.hix-a.lox,a.hiy-b.loy,b.hiy-a.loy,a.hiz-b.loz,b.hiz-a.loz),5)+0 AS dist FROM b a JOIN b b ON a.id<b.id AND {MEET}")
 def epa_contact(spark, sf):
     """Penetration depths of overlapping boxes; the oracle is the least overlap of an axis."""
-    found = joins.self_pairs(boxes_of(spark, sf).where("id % 5 = 0"), B.Box.columns, "id")
+    found = joins.self_pairs(boxes_of(spark, sf), B.Box.columns, "id")
 
     def run(rows):
         zero = np.zeros(len(rows))
@@ -242,19 +242,16 @@ def triangle_triangle(spark, sf):
     return _map(found, run, "a_id long, b_id long, length double").where("length IS NOT NULL AND NOT isnan(length)").select("a_id", "b_id", r6(F.col("length"), "length"))
 
 
-@query(f"WITH b AS ({BOXSQL}) SELECT a.id AS a_id, b.id AS b_id, CAST(4 AS INTEGER) AS contacts, round(-least(a.hix-b.lox,b.hix-a.lox,a.hiy-b.loy,b.hiy-a.loy,a.hiz-b.loz,b.hiz-a.loz),6)+0 AS dist FROM b a JOIN b b ON a.id<b.id AND a.id%3=0 AND b.id%3=0 AND {MEET}")
+@query(f"WITH b AS ({BOXSQL}) SELECT a.id AS a_id, b.id AS b_id, CAST(4 AS INTEGER) AS contacts, round(-least(a.hix-b.lox,b.hix-a.lox,a.hiy-b.loy,b.hiy-a.loy,a.hiz-b.loz,b.hiz-a.loz),6)+0 AS dist FROM b a JOIN b b ON a.id<b.id AND {MEET}")
 def box_manifolds(spark, sf):
     """Contact manifolds of overlapping boxes: four corners of the faces' common part, and the deepest distance."""
-    found = joins.self_pairs(boxes_of(spark, sf).where("id % 3 = 0"), B.Box.columns, "id")
-    unit = np.eye(3)
+    found = joins.self_pairs(boxes_of(spark, sf), B.Box.columns, "id")
 
     def run(rows):
-        out = []
-        ends = [rows[[f"{p}{e}{k}" for k in "xyz"]].to_numpy(float) for p in ("a_", "b_") for e in ("lo", "hi")]
-        for lo1, hi1, lo2, hi2 in zip(*ends, strict=True):
-            m = manifolds.cuboids((lo1 + hi1) / 2, unit, (hi1 - lo1) / 2, (lo2 + hi2) / 2, unit, (hi2 - lo2) / 2)
-            out.append((0, np.nan) if m is None else (len(m.dist), m.dist[m.deepest()]))
-        return pd.DataFrame({"a_id": rows.a_id, "b_id": rows.b_id, "contacts": [c for c, _ in out], "dist": [d for _, d in out]})
+        lo1, hi1, lo2, hi2 = (rows[[f"{p}{e}{k}" for k in "xyz"]].to_numpy(float) for p in ("a_", "b_") for e in ("lo", "hi"))
+        unit = np.tile(np.eye(3), (len(rows), 1, 1))
+        near, _, _, dist, kept, *_ = manifolds.cuboid_batches((lo1 + hi1) / 2, unit, (hi1 - lo1) / 2, (lo2 + hi2) / 2, unit, (hi2 - lo2) / 2, 1e-9)
+        return pd.DataFrame({"a_id": rows.a_id, "b_id": rows.b_id, "contacts": np.where(near, kept.sum(1), 0), "dist": np.where(near, np.where(kept, dist, np.inf).min(1), np.nan)})
 
     got = _map(found, run, "a_id long, b_id long, contacts int, dist double")
     return got.select("a_id", "b_id", "contacts", r6(F.col("dist"), "dist"))

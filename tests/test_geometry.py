@@ -284,6 +284,39 @@ def test_pairs_of_segments(spark):
     assert value(spark, s) == pytest.approx(1.0)
 
 
+def test_penetrations_in_batches():
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(40, 6, 3)), rng.normal(size=(40, 7, 3)) + 0.2
+    a[0] = b[0, :1]  # a cloud of one repeated point
+    depth, normal = gjk.penetrations(a, b)
+    for i in np.flatnonzero(gjk.closest(a, b)[0] == 0):
+        d, n = gjk.penetration(a[i], b[i])
+        assert depth[i] == pytest.approx(d, abs=1e-9) and normal[i] == pytest.approx(n, abs=1e-9)
+    assert len(gjk.penetrations(a[:0], b[:0])[0]) == 0
+
+
+def test_turned_cuboid_manifolds():
+    from quadrille.kernels import manifolds
+
+    rng = np.random.default_rng(2)
+    n = 60
+    bits = np.array([[i, j, k] for i in (-1, 1) for j in (-1, 1) for k in (-1, 1)], float)
+    turns = [gjk.rotation(rng.normal(size=(n, 3))) for _ in range(2)]
+    half = [rng.uniform(0.5, 2, size=(n, 3)) for _ in range(2)]
+    mid = [np.zeros((n, 3)), rng.normal(size=(n, 3))]
+    a, b = (mid[k][:, None] + np.einsum("nij,nkj->nki", turns[k], bits * half[k][:, None]) for k in (0, 1))
+    near, normal, p2, dist, kept, *_ = manifolds.cuboid_batches(mid[0], turns[0], half[0], mid[1], turns[1], half[1])
+    inside = gjk.closest(a, b)[0] == 0
+    assert (near == inside).all() and inside.sum() > 20
+    depth, _ = gjk.penetrations(a[inside], b[inside])
+    # Along the normal the cuboids overlap by the penetration depth; contacts lie within the first face's sides.
+    width = (normal[:, None] * a).sum(2).max(1) - (normal[:, None] * b).sum(2).min(1)
+    assert width[inside] == pytest.approx(depth, abs=1e-5)
+    for i in np.flatnonzero(near):
+        m = manifolds.cuboids(mid[0][i], turns[0][i], half[0][i], mid[1][i], turns[1][i], half[1][i])
+        assert 1 <= len(m.dist) <= 8 and m.dist == pytest.approx(dist[i][kept[i]]) and (m.dist >= -depth.max() - 1e-5).all()
+
+
 def test_manifolds():
     from quadrille.kernels import manifolds
 
