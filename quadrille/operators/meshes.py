@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vec import V, div
+from ..functions.vec import V, choose, div
 
 
 def triangles(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -72,9 +72,12 @@ def plane_section(corners: DataFrame, axis: str, bias: float, eps: float = 1e-9)
 
     def cross(a: V, b: V):
         x, y = a[i] - bias, b[i] - bias
+        on = F.when(F.abs(x) <= eps, a.struct())
+        # From the lower end to the upper, whichever way the face runs: the faces on an edge make the same point of it.
+        up = x < 0
+        a, b, x, y = choose(up, a, b), choose(up, b, a), F.when(up, x).otherwise(y), F.when(up, y).otherwise(x)
         t = F.when((F.abs(x) > eps) & (F.abs(y) > eps) & (x * y < 0), div(-x, y - x))
         q = a + (b - a) * t
-        on = F.when(F.abs(x) <= eps, a.struct())
         return [F.when(t.isNotNull(), q.struct()), on]
 
     points = F.array(*[c for a, b in ((0, 1), (1, 2), (2, 0)) for c in cross(p[a], p[b])])

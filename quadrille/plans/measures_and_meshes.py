@@ -102,7 +102,7 @@ def mesh_plane_section(spark, sf):
     """Where box meshes meet the plane z = 50: four edges and four face diagonals are crossed."""
     solid = boxes_of(spark, sf).where((F.col("loz") < 49.9999) & (F.col("hiz") > 50.0001)).withColumnRenamed("id", "mesh_id")
     v, f = generators.box_mesh(solid, "mesh_id", B.Box.columns())
-    pts = meshes.plane_section(meshes.triangles(v, f), "z", 50.0).select("mesh_id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y")).distinct()
+    pts = meshes.plane_section(meshes.triangles(v, f), "z", 50.0)
     return pts.groupBy("mesh_id").agg(F.count("*").alias("n"), r6(F.min("y"), "y0"), r6(F.max("y"), "y1"))
 
 
@@ -185,7 +185,7 @@ def connected_components(spark, sf):
     from ..operators import joins
 
     s = lambda p: B.Sphere(*ball(p))
-    met = joins.self_pairs(view(spark, sf, "g_balls"), lambda p: s(p).box(), "id", s("a_").intersects(s("b_"))).select("a_id", "b_id")
+    met = joins.self_pairs(view(spark, sf, "g_balls"), lambda p: s(p).box().rimmed(), "id", s("a_").intersects(s("b_"))).select("a_id", "b_id")
     return meshes.connected_components(met, "a_id", "b_id")
 
 
