@@ -408,3 +408,54 @@ def test_nearest_points_of_odd_segments(spark):
             assert np.allclose(away, x[3])
         else:
             assert max(np.linalg.norm(y - z) for y, z in ((p, q), (q, u), (u, p))) == pytest.approx(2 * x[3])
+
+
+@pytest.mark.parametrize(("name", "part"), [("mesh_plane_section", [(110775, 25)])])
+def test_ties_of_rounding_agree_with_sql(spark, tmp_path, name, part):
+    """A point on two faces' edge halfway between roundings."""
+    con = duckdb.connect()
+    rows = ", ".join(map(str, part))
+    con.execute(f"COPY (SELECT k::BIGINT AS p_partkey, s::BIGINT AS p_size FROM (VALUES {rows}) AS v(k, s)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    want = con.execute(oracle_sql()[name]).fetchall()
+    assert want and sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_a_triangle_whose_corner_is_on_a_boxs_face_meets_it(spark):
+    """By the bounds as they stand: centred, some would be parted by rounding."""
+    rows = [(i / 10, i / 10 + j / 7) for i in range(1, 60) for j in range(1, 9)]
+    assert any(hi - (lo + hi) * 0.5 > (hi - lo) * 0.5 for lo, hi in rows)
+    x = F.col("hi")
+    met = pairs.box_meets_triangle(B.Box(V("lo", 0.0, 0.0), V(x, num(1), num(1))), V(x, num(0.5), num(0.5)), V(x + 1, num(0.2), num(0.3)), V(x + 1.3, num(0.8), num(0.6)))
+    assert spark.createDataFrame(rows, "lo double, hi double").where(~met).count() == 0
+
+
+def test_rims_keep_what_the_exact_test_accepts(spark):
+    """A box that moves onto another whose face its rounded end falls short of."""
+    rows = [(i, j / 10, i / 10) for i in range(1, 40) for j in range(1, 40)]
+    df = spark.createDataFrame(rows, "i long, hi double, v double").withColumn("lo", F.col("hi") + F.col("v"))
+    short = [x for x in rows if x[1] + x[2] - x[1] > x[2]]
+    assert short
+    one = B.Box(V(0.0, 0.0, 0.0), V("hi", 1.0, 1.0))
+    end = B.swept_box(one, one.translated(V("v", 0.0, 0.0))).rimmed()
+    other = B.Box(V(F.col("lo"), num(0), num(0)), V(F.col("lo") + 1, num(1), num(1)))
+    assert df.where(~end.intersects(other)).count() == 0
+
+
+@pytest.mark.parametrize("wide", [1.0, 300.0])
+def test_box_joins_of_uneven_boxes_by_brute_force(spark, wide):
+    """Flat, long and large boxes, points, and a table without end, against every pair; no plan has a nested loop but the last."""
+    rng = np.random.default_rng(5)
+    lo = rng.uniform(-50, 50, (150, 3))
+    size = rng.uniform(0, 3, (150, 3)) * np.where(np.arange(150)[:, None] % 10 == 0, [wide, 1, 1], [0, 1, 0.1])
+    rows = [(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(lo, lo + size, strict=True))]
+    df = spark.createDataFrame([*rows, (999, *[None] * 6)], "id long, lox double, loy double, loz double, hix double, hiy double, hiz double")
+    meet = lambda a, b: all(a[k] <= b[k + 3] and b[k] <= a[k + 3] for k in (1, 2, 3))
+    met = joins.self_pairs(df, B.Box.columns, "id")
+    assert "NestedLoop" not in met._jdf.queryExecution().toString() and "Cartesian" not in met._jdf.queryExecution().toString()
+    assert sorted(map(tuple, met.select("a_id", "b_id").collect())) == [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and meet(a, b)]
+    pts = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.uniform(-50, 50, (300, 3)))] + [(999, None, 0.0, 0.0)], "i long, x double, y double, z double")
+    p = V("x", "y", "z")
+    inside = {r[0] for r in pts.join(df, B.Box.columns().contains_point(p)).select("i").collect()}
+    assert sorted(r[0] for r in joins.point_exists(pts, df, p, B.Box.columns()).collect()) == sorted(inside)
+    assert sorted(r[0] for r in joins.point_exists(pts, df, p, B.Box.columns(), absent=True).collect()) == sorted({*range(300), 999} - inside)
