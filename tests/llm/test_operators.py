@@ -718,3 +718,25 @@ def test_scores_every_row(docs, labels, name):
 
 def test_schema_is_stable(spark, labels):
     assert make(spark, []).schema.simpleString().startswith("struct<doc_id:bigint") and SCHEMA
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 16])
+def test_rules_count_trusted_texts_where_they_are(spark, monkeypatch, bits):
+    """Whatever the filter lets in, the counts are those of the trusted rows; and no join carries all texts."""
+    monkeypatch.setattr(quality_rules, "FILTER_BITS", bits)
+    monkeypatch.setattr(quality_rules, "LEAST_BITS", bits)
+    rows = [(i if i % 50 else None, f"text {i % 40} of row {i}" * (1 + i % 3)) for i in range(400)] + [(7, None), (8, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(0, 200, 2)] + [(None, 1)], "doc_id long, quality int")
+    good = {i for i in range(0, 200, 2) if i % 4 < 2}
+    moved = []
+    semi = quality_rules.texts_of
+    monkeypatch.setattr(quality_rules, "texts_of", lambda d, ids: moved.append(ids.count()) or semi(d, ids))
+    raw, target = quality_rules.raw_and_trusted_counts(docs, labels)
+    want = np.zeros((2, quality_rules.BUCKETS), np.int64)
+    for i, text in rows:
+        np.add.at(want[0], quality_rules.ngram_buckets((text or "").encode()), 1)
+        if i in good:
+            np.add.at(want[1], quality_rules.ngram_buckets((text or "").encode()), 1)
+    assert (raw == want[0]).all() and (target == want[1]).all()
+    assert bool(moved) == (bits == 64)
