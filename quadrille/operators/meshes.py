@@ -14,7 +14,8 @@ def triangles(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     out = faces
     for i, n in enumerate("abc"):
         v = vertices.select("mesh_id", F.col("vid").alias(f"i{i}"), *[F.col(k).alias(f"{n}{k}") for k in "xyz"])
-        out = out.join(v, ["mesh_id", f"i{i}"])
+        # Not broadcast: of exploded vertices Spark knows only the size of the file they came from.
+        out = out.join(v.hint("merge"), ["mesh_id", f"i{i}"])
     return out
 
 
@@ -37,7 +38,7 @@ def merge_vertices(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, Da
     keyed = vertices.withColumn("to", F.min("vid").over(W.partitionBy("mesh_id", "x", "y", "z")))
     out = faces
     for i in range(3):
-        out = out.join(keyed.select("mesh_id", F.col("vid").alias(f"i{i}"), F.col("to").alias(f"t{i}")), ["mesh_id", f"i{i}"])
+        out = out.join(keyed.select("mesh_id", F.col("vid").alias(f"i{i}"), F.col("to").alias(f"t{i}")).hint("merge"), ["mesh_id", f"i{i}"])
     out = out.select("mesh_id", "tid", *[F.col(f"t{i}").alias(f"i{i}") for i in range(3)])
     out = out.where((F.col("i0") != F.col("i1")) & (F.col("i1") != F.col("i2")) & (F.col("i0") != F.col("i2")))
     first = F.row_number().over(W.partitionBy("mesh_id", F.array_sort(F.array("i0", "i1", "i2"))).orderBy("tid"))

@@ -88,12 +88,13 @@ def tetra_volume(spark, sf):
 def mesh_edges_topology(spark, sf):
     """Box meshes given as loose triangles, welded by coordinates: 18 edges, each on two faces that run it both ways."""
     v, f = generators.box_mesh(boxes_of(spark, sf).withColumnRenamed("id", "mesh_id"), "mesh_id", B.Box.columns())
-    loose = f.select("mesh_id", "tid", F.posexplode(F.array("i0", "i1", "i2")).alias("k", "vid")).join(v, ["mesh_id", "vid"])
+    loose = f.select("mesh_id", "tid", F.posexplode(F.array("i0", "i1", "i2")).alias("k", "vid")).join(v.hint("merge"), ["mesh_id", "vid"])
     vertices = loose.select("mesh_id", (F.col("tid") * 3 + F.col("k")).alias("vid"), "x", "y", "z")
     faces = f.select("mesh_id", "tid", *[(F.col("tid") * 3 + i).alias(f"i{i}") for i in range(3)])
     v2, f2 = meshes.merge_vertices(vertices, faces)
     e = meshes.edges(f2).groupBy("mesh_id").agg(F.count("*").alias("edges"), F.sum(((F.col("n") == 2) & (F.col("forward") == 1)).cast("long")).alias("paired"))
-    return e.join(v2.groupBy("mesh_id").agg(F.count("*").alias("vertices")), "mesh_id").join(f2.groupBy("mesh_id").agg(F.count("*").alias("faces")), "mesh_id")
+    counted = lambda df, name: df.groupBy("mesh_id").agg(F.count("*").alias(name)).hint("merge")
+    return e.join(counted(v2, "vertices"), "mesh_id").join(counted(f2, "faces"), "mesh_id")
 
 
 @query("""SELECT id AS mesh_id, CAST(count(*) AS BIGINT) AS n, round(min(y),6)+0 AS y0, round(max(y),6)+0 AS y1 FROM (SELECT id, unnest([cy-hy, cy+hy, cy-hy, cy+hy, cy+hy-2*hy*(50-cz+hz)/(2*hz), cy+hy-2*hy*(50-cz+hz)/(2*hz)]) AS y FROM g_boxes WHERE cz-hz<50 AND cz+hz>50) GROUP BY id HAVING false
