@@ -211,3 +211,45 @@ def intersect_polygons(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
             if len(piece) > 2 and area2(piece) > EPS:
                 out.append(piece)
     return out
+
+
+def _convex(p: np.ndarray) -> np.ndarray:
+    """Which of simple polygons (n, k, 2) in counterclockwise order have no corner that turns right."""
+    e = np.roll(p, -1, axis=1) - p
+    f = np.roll(e, -1, axis=1)
+    return (e[..., 0] * f[..., 1] - e[..., 1] * f[..., 0] >= 0).all(1)
+
+
+def _areas2(p: np.ndarray) -> np.ndarray:
+    """Twice the signed areas of polygons (n, k, 2)."""
+    q = p - p[:, :1]
+    r = np.roll(q, -1, axis=1)
+    return (q[..., 0] * r[..., 1] - q[..., 1] * r[..., 0]).sum(1)
+
+
+def intersection_areas(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The areas that simple polygons (n, k, 2) and (n, m, 2) share. Convex ones are clipped all at once, the others by ``intersect_polygons``."""
+    p, q = (np.where((_areas2(x) < 0)[:, None, None], x[:, ::-1], x) for x in (p, q))
+    easy = _convex(p) & _convex(q)
+    out = np.zeros(len(p))
+    for i in np.flatnonzero(~easy):
+        out[i] = sum(abs(area2(k)) / 2 for k in intersect_polygons(p[i], q[i]))
+    got, edges = p[easy], q[easy]
+    for k in range(q.shape[1]):
+        a, b = edges[:, k, None], edges[:, (k + 1) % q.shape[1], None]
+        e = b - a
+        side = e[..., 0] * (got[..., 1] - a[..., 1]) - e[..., 1] * (got[..., 0] - a[..., 0])
+        after, at = np.roll(got, -1, axis=1), np.roll(side, -1, axis=1)
+        into = (side < 0) != (at < 0)
+        t = np.divide(side, side - at, out=np.zeros_like(side), where=into)
+        points = np.stack([got, got + (after - got) * t[..., None]], axis=2).reshape(len(got), -1, 2)
+        there = np.stack([side >= 0, into], axis=2).reshape(len(got), -1)
+        # A line adds one corner at most. Places left over repeat the first corner, which adds no area.
+        order = np.argsort(~there, axis=1, kind="stable")[:, : got.shape[1] + 1]
+        there = np.take_along_axis(there, order, 1)
+        order = np.where(there, order, order[:, :1])
+        got = np.take_along_axis(points, order[..., None], 1)
+        got[~there[:, 0]] = 0.0
+    area = _areas2(got) / 2
+    out[easy] = np.where(area > EPS / 2, area, 0.0)
+    return out
