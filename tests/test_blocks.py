@@ -114,3 +114,25 @@ def test_distances_by_sampling():
     want = np.sqrt(((d[:, :, None] - spots) ** 2).sum(0)).min(1)
     got = pairs.point_triangle_distance(d, a, b, c)
     assert (got <= want + 1e-12).all() and np.allclose(got, want, atol=0.02)
+
+
+def test_first_hits_in_rounds(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quadrille.functions.boxes import ball_box
+    from quadrille.functions.rays import on_ball
+    from quadrille.functions.vec import V
+    from quadrille.operators import joins
+
+    rng = np.random.default_rng(8)
+    balls = spark.createDataFrame([(i, *map(float, rng.uniform(0, 50, 3)), float(rng.uniform(0.5, 4))) for i in range(60)], "ball long, x double, y double, z double, r double")
+    rays = spark.createDataFrame([(i, *map(float, rng.uniform(0, 50, 3)), *map(float, rng.normal(size=3))) for i in range(150)] + [(150, *[0.0] * 6)], "id long, ox double, oy double, oz double, dx double, dy double, dz double")
+    o, d, c, r = V("ox", "oy", "oz"), V("dx", "dy", "dz"), V("x", "y", "z"), F.col("r")
+    want = None
+    for limit in (10**9, 1):
+        monkeypatch.setattr(joins, "ROUNDS_FROM", limit)
+        for most in (40.0, None):
+            got = sorted(tuple(x) for x in joins.first_hit(rays, balls, o, d, ball_box(c, r), on_ball(o, d, c, r), "id", "ball", most).collect())
+            if limit > 1:
+                want = (want or {}) | {most: got}
+            assert got and got == want[most]
