@@ -304,5 +304,7 @@ def composite_semi(spark, sf):
 
 @query(f"""WITH b AS ({BOXSQL}) SELECT p.id FROM g_points p WHERE NOT EXISTS (SELECT 1 FROM b WHERE x BETWEEN lox AND hix AND y BETWEEN loy AND hiy AND z BETWEEN loz AND hiz)""")
 def composite_anti(spark, sf):
-    pts = view(spark, sf, "g_points").select("id", "x", "y", "z")
-    return joins.point_exists(pts, boxes_of(spark, sf, "b_"), P, B.Box.columns("b_"), absent=True).select("id")
+    """Points in no box: those of which a box is found are taken off, by their keys."""
+    pts, b = view(spark, sf, "g_points").select("id", "x", "y", "z"), B.Box.columns()
+    within = blocks.block_join(pts, boxes_of(spark, sf), (F.col("id"), F.col("id")), (B.Box(P, P), b), ([], []), lambda p, _: [np.unique(p.id)], "id long")
+    return pts.join(within.distinct(), "id", "left_anti").select("id")
