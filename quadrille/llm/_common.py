@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -65,9 +66,19 @@ def whole_texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*[F.col(c) for c in keep], F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
-def rows_of(batch: pa.RecordBatch) -> Iterator[bytes]:
-    """The texts of an Arrow batch one after another, without a Python list of all of them. What earlier batches took goes back to the system."""
+def rows_of(batch: pa.RecordBatch, keep: bool = False) -> Iterator[bytes]:
+    """The texts of an Arrow batch one after another, without a Python list of all of them. What earlier batches took goes back to the system.
+
+    Workers outlive a stage: unless the caller's is to ``keep``, what another operator left in ``worker_cache`` is dropped.
+    """
+    if not keep:
+        cache = worker_cache()
+        for k in [k for k in cache if not str(k).startswith("__")]:
+            del cache[k]
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
     column = batch.column(batch.schema.get_field_index("text"))
     for i in range(len(column)):
         yield column[i].as_py()

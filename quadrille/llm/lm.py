@@ -58,7 +58,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return batch
 
         for batch in batches:
-            for left_out, text in zip(batch.column(0).to_pylist(), rows_of(batch), strict=True):
+            for left_out, text in zip(batch.column(0).to_pylist(), rows_of(batch, keep=True), strict=True):
                 if left_out:
                     others.update(_words(text))
                 else:
@@ -212,7 +212,7 @@ def score_documents(docs: DataFrame, path: str, head_size: int = HEAD) -> DataFr
         nowhere = len(place)
         for batch in batches:
             out = []
-            for text in rows_of(batch):
+            for text in rows_of(batch, keep=True):
                 found = _words(text)
                 at = np.fromiter(map(place.get, found, repeat(nowhere)), np.int64, len(found))
                 far = Counter(found[i] for i in np.flatnonzero(at == nowhere))

@@ -121,7 +121,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             whose, piece, start, length, crc, rank = [], [], [], [], [], []
-            for i, text in enumerate(rows_of(batch)):
+            for i, text in enumerate(rows_of(batch, keep=True)):
                 ids = tok.ids(text) + end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

@@ -48,3 +48,15 @@ def test_registered():
     names = entry.queries()
     assert {f"op{i}" for i in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_an_operator_drops_what_another_left_in_its_worker():
+    import pyarrow as pa
+
+    from quadrille.llm._common import rows_of, worker_cache
+
+    batch = pa.record_batch({"text": pa.array([b"a", b"b"])})
+    worker_cache()["tokenizer", "x"] = 1
+    assert list(rows_of(batch, keep=True)) == [b"a", b"b"] and ("tokenizer", "x") in worker_cache()
+    assert list(rows_of(batch)) == [b"a", b"b"] and ("tokenizer", "x") not in worker_cache()
+    assert "__name__" in worker_cache()
