@@ -38,22 +38,29 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Buckets of ``may_match``'s filter: at most so many longs are broadcast, some 24 MB, however many keys there are.
-FILTER_BUCKETS = 1 << 20
+#: Bits of ``may_match``'s filter: so many for each key, within these bounds. The largest filter is 2 MB, however many keys there are.
+FILTER_BITS, LEAST_FILTER_BITS, BITS_A_KEY = 1 << 24, 1 << 16, 64
 
 
 def may_match(df: DataFrame, key: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """The rows of ``df`` whose ``key`` may be among ``keys[column]``, and those whose key surely isn't.
 
     A filter on a hash of fixed range, so that a scan leaves most rows where they are and only candidates are shuffled.
-    It is broadcast; its size is bounded by the number of buckets. Where there are so many keys that every bucket is taken,
-    all rows are candidates: what follows must be exact by itself. Null keys are hashed like others.
+    Its bits come as a scalar subquery, and its test is a predicate on the scan: Spark would move an exact semi- or
+    anti-join that follows below a join with the filter, and so shuffle all rows. Its size is bounded. Where there are so
+    many keys that most bits are set, most rows are candidates: what follows must be exact by itself. Null keys are hashed like others.
     """
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BUCKETS))
-    taken = materialize(keys.select(bucket(F.col(column)).alias("__bucket")).distinct(), "filter").withColumn("__may", F.lit(True))
-    marked = df.withColumn("__bucket", bucket(key)).join(F.broadcast(taken), "__bucket", "left")
-    columns = [f"`{c}`" for c in df.columns]
-    return marked.where(F.col("__may").isNotNull()).select(columns), marked.where(F.col("__may").isNull()).select(columns)
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    taken = materialize(keys.select(at(F.col(column)).alias("at")).distinct(), "filter")
+    bits = min(max(1 << (BITS_A_KEY * taken.count()).bit_length(), LEAST_FILTER_BITS), FILTER_BITS)
+    folded = F.col("at") % bits
+    marks = taken.groupBy(F.shiftright(folded, 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("mark"))
+    words = df.sparkSession.range(bits >> 6).join(marks, "id", "left").select(F.struct("id", F.coalesce("mark", F.lit(0)).alias("mark")).alias("word"))
+    words = materialize(words.agg(F.transform(F.sort_array(F.collect_list("word")), lambda w: w["mark"]).alias("words")), "filter-bits")
+    place = at(key) % bits
+    word = F.get(words.scalar(), F.shiftright(place, 6).cast("int"))
+    may = F.getbit(word, (place % 64).cast("int")) == 1
+    return df.where(may), df.where(~may)
 
 
 def id_crc32(doc_id: Column) -> Column:

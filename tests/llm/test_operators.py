@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quadrille.llm import exact_dedup, lm, mixing, packing, quality, quality_rules, secrets, sharding, simhash, toxicity
+from quadrille.llm import _common, exact_dedup, lm, mixing, packing, quality, quality_rules, secrets, sharding, simhash, toxicity
+from quadrille.llm._common import may_match
 
 from .conftest import SCHEMA, make
 
@@ -498,6 +499,55 @@ def test_near_duplicates_are_exact_about_the_threshold(spark, monkeypatch, chunk
     assert got == dict(enumerate(roots)) and len(set(roots)) > 1
 
 
+def shuffled_rows(df):
+    """The rows that each exchange of a plan wrote, of a plan that is run here without adaptive changes."""
+    spark = df.sparkSession
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = df.select("*")
+        rows, todo, wrote = df.collect(), [df._jdf.queryExecution().executedPlan()], []
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    while todo:
+        plan = todo.pop()
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "Exchange":
+            wrote.append(plan.metrics().apply("shuffleRecordsWritten").value())
+    return rows, wrote
+
+
+@pytest.mark.parametrize("kind", ["left_semi", "left_anti"])
+def test_filter_comes_before_the_exact_join(spark, tmp_path, kind):
+    """Where the keys are too many to broadcast, only candidates are shuffled, not all rows."""
+    spark.range(5000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.col("id").cast("string").alias("text")).write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    spark.range(1, 5000, 100).select(F.col("id").alias("of")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS of")).write.parquet(f"{tmp_path}/keys")
+    keys = spark.read.parquet(f"{tmp_path}/keys")
+    may, rest = may_match(df, F.col("k"), keys, "of")
+    assert key(collect(may.unionByName(rest))) == key(collect(df))
+    wanted = {None, *range(1, 5000, 100)}
+    assert wanted <= {r["k"] for r in may.collect()} and may.count() < 100
+    rows, wrote = shuffled_rows(may.join(keys, F.col("k") == F.col("of"), kind))
+    assert ({r["k"] for r in rows} == wanted - {None}) if kind == "left_semi" else not wanted - {None} & {r["k"] for r in rows}
+    assert len(wrote) == 2 and max(wrote) < 100
+
+
+def test_filter_is_bounded_and_loses_no_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(_common, "FILTER_BITS", 256)
+    monkeypatch.setattr(_common, "LEAST_FILTER_BITS", 64)
+    df = spark.range(3000).select(F.col("id").alias("k"))
+    for step in (3001, 50, 3, 1):
+        keys = spark.range(0, 3000, step).select("id")
+        may, rest = may_match(df, F.col("k"), keys, "id")
+        may, rest = {r["k"] for r in may.collect()}, {r["k"] for r in rest.collect()}
+        assert set(range(0, 3000, step)) <= may and not may & rest and len(may) + len(rest) == 3000
+    may, rest = may_match(df, F.col("k"), keys.limit(0), "id")
+    assert may.isEmpty() and rest.count() == 3000
+
+
 # op7 ---------------------------------------------------------------------------------------------------
 
 
