@@ -31,3 +31,9 @@ def test_slivers_of_polygons(spark, tmp_path):
     # Squares that overlap by 14.6 and, but for rounding, 0.001; others share more or nothing.
     got, extra, missing = differs(spark, tmp_path, "polygon_intersection", supplier=suppliers(4, 3363, 11, 3370, *range(100, 140)))
     assert got and not extra and not missing
+
+
+def test_rays_through_ends_of_segments(spark, tmp_path):
+    keys = {762357: 7498, 766407: 107577, 767407: 102845, 629357: 32844}
+    got, extra, missing = differs(spark, tmp_path, "ray_segment_2d", orders=[{"o_orderkey": k} for k in keys], part=parts(*keys.values(), *range(50)))
+    assert set(keys.items()) <= {r[:2] for r in got} and not extra and not missing
