@@ -92,32 +92,48 @@ def decompose(cells: np.ndarray, max_concavity: float = 0.01, max_parts: int = 3
     return [p for _, p in parts]
 
 
-def triangles_intersect(t1: np.ndarray, t2: np.ndarray, eps: float = 1e-12) -> np.ndarray | None:
-    """The segment (2, 3) that two triangles share, None if they are apart or in one plane."""
-    def plane(t):
-        n = np.cross(t[1] - t[0], t[2] - t[0])
-        return n, n @ t[0]
-
-    (n1, d1), (n2, d2) = plane(t1), plane(t2)
-    s1, s2 = t1 @ n2 - d2, t2 @ n1 - d1
-    if np.all(s1 > eps) or np.all(s1 < -eps) or np.all(s2 > eps) or np.all(s2 < -eps) or np.all(np.abs(s1) <= eps):
-        return None
+def shared_segments(t1: np.ndarray, t2: np.ndarray, eps: float = 1e-12) -> np.ndarray:
+    """The segments (n, 2, 3) that pairs of triangles (n, 3, 3) share; nan where they are apart or in one plane."""
+    out = np.full((len(t1), 2, 3), np.nan)
+    # Corners are taken from a corner of the other triangle: far from the origin their heights over its plane would be lost.
+    at, left = t2[:, :1], np.arange(len(t1))
+    x, y = t1 - at, t2 - at
+    cross = lambda u, v: np.stack([u[:, 1] * v[:, 2] - u[:, 2] * v[:, 1], u[:, 2] * v[:, 0] - u[:, 0] * v[:, 2], u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]], axis=1)
+    dot = lambda p, n: p[..., 0] * n[:, None, 0] + p[..., 1] * n[:, None, 1] + p[..., 2] * n[:, None, 2]
+
+    def heights(p, t):
+        n = cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0])
+        return n, dot(p - t[:, :1], n)
+
+    crossed = lambda s: ~((s > eps).all(1) | (s < -eps).all(1))
+    n2, s1 = heights(x, y)
+    on = crossed(s1) & ~(np.abs(s1) <= eps).all(1)
+    left, x, y, n2, s1 = left[on], x[on], y[on], n2[on], s1[on]
+    n1, s2 = heights(y, x)
+    on = crossed(s2)
+    left, x, y, n1, n2, s1, s2 = left[on], x[on], y[on], n1[on], n2[on], s1[on], s2[on]
+    d, rows = cross(n1, n2), np.arange(len(left))
 
     def span(t, s):
-        pts = []
-        for i in range(3):
-            j = (i + 1) % 3
-            if abs(s[i]) <= eps:
-                pts.append(t[i])
-            elif s[i] * s[j] < 0 and abs(s[j]) > eps:
-                pts.append(t[i] + (t[j] - t[i]) * (s[i] / (s[i] - s[j])))
-        return pts
-
-    p, q = span(t1, s1), span(t2, s2)
-    if not p or not q:
-        return None
-    d = np.cross(n1, n2)
-    key = lambda x: x @ d
-    lo = max(min(p, key=key), min(q, key=key), key=key)
-    hi = min(max(p, key=key), max(q, key=key), key=key)
-    return np.stack([lo, hi]) if key(lo) <= key(hi) + eps else None
+        """A point for each edge that the other plane cuts or begins on: those first and last along the line, and where they are."""
+        s_next = np.roll(s, -1, axis=1)
+        touch = np.abs(s) <= eps
+        cut = ~touch & (s * s_next < 0) & (np.abs(s_next) > eps)
+        share = np.divide(s, s - s_next, out=np.zeros_like(s), where=cut)
+        p = t + (np.roll(t, -1, axis=1) - t) * share[..., None]
+        k = dot(p, d)
+        low, high = (np.where(touch | cut, k, far) for far in (np.inf, -np.inf))
+        return p[rows, low.argmin(1)], low.min(1, initial=np.inf), p[rows, high.argmax(1)], high.max(1, initial=-np.inf)
+
+    (p0, k0, p1, k1), (q0, h0, q1, h1) = span(x, s1), span(y, s2)
+    # Without a point of one of them its ends are infinite the wrong way round.
+    met = (np.maximum(k0, h0) <= np.minimum(k1, h1) + eps) & np.isfinite(k0) & np.isfinite(h0)
+    ends = np.stack([np.where((k0 >= h0)[:, None], p0, q0), np.where((k1 <= h1)[:, None], p1, q1)], axis=1)
+    out[left[met]] = (ends + at[left])[met]
+    return out
+
+
+def triangles_intersect(t1: np.ndarray, t2: np.ndarray, eps: float = 1e-12) -> np.ndarray | None:
+    """The segment (2, 3) that two triangles share, None if they are apart or in one plane."""
+    got = shared_segments(t1[None].astype(float), t2[None].astype(float), eps)[0]
+    return None if np.isnan(got).any() else got

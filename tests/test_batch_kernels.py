@@ -19,3 +19,33 @@ def test_depths_of_boxes_are_those_of_their_corners():
     p, q = (x.T[met][:, None] + (y - x).T[met][:, None] * bits for x, y in ((a, b), (c, d)))
     zero = np.zeros(met.sum())
     assert np.allclose(-gjk.box_depths(a[:, met], b[:, met], c[:, met], d[:, met]), gjk.contact(p, zero, q, zero)[0], atol=1e-9)
+
+
+def test_shared_segments_of_triangles():
+    from quadrille.kernels.solids import shared_segments, triangles_intersect
+
+    flat = np.array([(0.0, 0, 0), (4, 0, 0), (0, 4, 0)])
+    # Through the face, above it, touching by a corner, in its plane, beside it in a crossing plane.
+    others = np.array([[(1, 1, -1), (1, 1, 1), (2, 1, 0)], [(1, 1, 1), (1, 1, 3), (2, 1, 2)], [(1, 1, 0), (1, 1, 3), (2, 1, 2)], flat + 1 - [0, 0, 1], [(9, 9, -1), (9, 9, 1), (8, 9, 0)]], float)
+    for far in (0.0, 1e5):
+        got = shared_segments(np.tile(flat, (5, 1, 1)) + far, others + far)
+        assert np.isnan(got[:, 0, 0]).tolist() == [False, True, False, True, True]
+        assert np.allclose(np.linalg.norm(got[:, 1] - got[:, 0], axis=1)[[0, 2]], [1, 0], atol=1e-9)
+    assert len(shared_segments(np.zeros((0, 3, 3)), np.zeros((0, 3, 3)))) == 0
+    # Ends are on both planes and within both triangles, and triangles with a shared inner point are found.
+    rng = np.random.default_rng(12)
+    a, b = rng.uniform(0, 3, (2, 400, 3, 3))
+    got = shared_segments(a, b)
+    met = ~np.isnan(got[:, 0, 0])
+    assert 40 < met.sum() < 360
+    for t in (a[met], b[met]):
+        base = np.stack([t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]], axis=2)
+        for k in (0, 1):
+            w, off = (np.stack(z) for z in zip(*[np.linalg.lstsq(m, p, rcond=None)[:2] for m, p in zip(base, got[met, k] - t[:, 0], strict=True)], strict=True))
+            assert np.abs(off).max() < 1e-12 and w.min() > -1e-7 and w.sum(1).max() < 1 + 1e-7
+    for x, y, on, seg in zip(a, b, met, got, strict=True):
+        one = triangles_intersect(x, y)
+        assert (one is not None) == on and (one is None or np.allclose(one, seg))
+    # Turned round, the same pairs and lengths.
+    back = shared_segments(b, a)
+    assert np.allclose(np.linalg.norm(back[:, 1] - back[:, 0], axis=1), np.linalg.norm(got[:, 1] - got[:, 0], axis=1), equal_nan=True, atol=1e-9)
