@@ -49,3 +49,19 @@ def test_shared_segments_of_triangles():
     # Turned round, the same pairs and lengths.
     back = shared_segments(b, a)
     assert np.allclose(np.linalg.norm(back[:, 1] - back[:, 0], axis=1), np.linalg.norm(got[:, 1] - got[:, 0], axis=1), equal_nan=True, atol=1e-9)
+
+
+def test_times_of_boxes_by_stepping():
+    from quadrille.kernels.pairs import boxes_toi
+
+    rng = np.random.default_rng(13)
+    (a, b), (c, d) = _boxes(rng, 300), _boxes(rng, 300)
+    v = rng.integers(-2, 3, (3, 300)).astype(float)
+    got, steps = boxes_toi(a, b, c, d, v), np.linspace(0, 8, 1601)
+    met = ((a[..., None] <= d[..., None] + v[..., None] * steps) & (c[..., None] + v[..., None] * steps <= b[..., None])).all(0)
+    first = np.where(met.any(1), steps[met.argmax(1)], np.nan)
+    # A box may pass between two steps.
+    assert (~(got[~met.any(1)] <= 7.9)).mean() > 0.95
+    assert ((got <= first + 1e-12) & (got > first - 0.0051))[met.any(1)].mean() > 0.95 and (got[met.any(1)] <= first[met.any(1)] + 1e-12).all()
+    assert boxes_toi(*np.array([[[0.0]] * 3, [[1.0]] * 3, [[2.0]] * 3, [[3.0]] * 3]), np.array([[-1.0]] * 3)).tolist() == [1.0]
+    assert np.isnan(boxes_toi(*np.array([[[0.0]] * 3, [[1.0]] * 3, [[2.0]] * 3, [[3.0]] * 3]), np.array([[0.0]] * 3))).all()
