@@ -37,3 +37,11 @@ def test_rays_through_ends_of_segments(spark, tmp_path):
     keys = {762357: 7498, 766407: 107577, 767407: 102845, 629357: 32844}
     got, extra, missing = differs(spark, tmp_path, "ray_segment_2d", orders=[{"o_orderkey": k} for k in keys], part=parts(*keys.values(), *range(50)))
     assert set(keys.items()) <= {r[:2] for r in got} and not extra and not missing
+
+
+def test_compounds_on_boxes_of_like_and_unlike_sizes(spark, tmp_path):
+    balls = suppliers(*range(1, 200))
+    got, extra, missing = differs(spark, tmp_path, "compound_manifolds", supplier=balls, part=parts(*range(60)))
+    assert got and not extra and not missing
+    got, extra, missing = differs(spark, tmp_path, "compound_manifolds", supplier=balls, part=[*parts(*range(60)), {"p_partkey": 77, "p_size": 900}])
+    assert got and not extra and not missing
