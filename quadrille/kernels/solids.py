@@ -52,6 +52,61 @@ def flood_fill(surface: np.ndarray, cavities: bool = False) -> np.ndarray:
     return np.argwhere(inside) + lo
 
 
+def _touched(tri: np.ndarray, size: float) -> tuple[np.ndarray, np.ndarray]:
+    """``surface_voxels`` of triangles (n, 3, 3) with the origin's grid, each by itself: numbers of triangles and keys of the cells."""
+    lo, hi = (np.floor(f(axis=1) / size).astype(int) for f in (tri.min, tri.max))
+    span = hi - lo + 1
+    n = span.prod(1)
+    own = np.repeat(np.arange(len(tri)), n)
+    at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    at, k = np.divmod(at, span[own, 2])
+    i, j = np.divmod(at, span[own, 1])
+    cells = lo[own] + np.stack([i, j, k], axis=1)
+    mid = (cells + 0.5).T * size
+    edges = np.roll(tri, -1, axis=1) - tri
+    met = np.ones(len(own), bool)
+    for axis in np.concatenate([np.cross(edges[:, 0], edges[:, 1])[None], np.cross(np.eye(3)[:, None, None], edges.transpose(1, 0, 2)[None]).reshape(9, -1, 3)]):
+        on = (tri * axis[:, None]).sum(2)
+        reach = np.abs(axis).sum(1) * size / 2 + 1e-12
+        center = sum(mid[k] * axis[own, k] for k in range(3) if axis[:, k].any())
+        met &= ((on.min(1) - reach)[own] <= center) & (center <= (on.max(1) + reach)[own])
+    return own[met], cells[met]
+
+
+def voxel_counts(meshes: np.ndarray, size: float, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Of meshes (n, triangles, 3, 3): how many cells the surface of each touches, and how many these and those they enclose are.
+
+    As ``surface_voxels`` and ``flood_fill``, of as many meshes at once as have ``cells`` cells together."""
+    lo, hi = (np.floor(f(axis=(1, 2)) / size).astype(int) for f in (meshes.min, meshes.max))
+    lo, shape = lo - 1, hi - lo + 3
+    order, at = np.argsort(shape.prod(1), kind="stable"), 0
+    surface, filled = np.zeros(len(meshes), int), np.zeros(len(meshes), int)
+    while at < len(order):
+        most = np.maximum.accumulate(shape[order[at : at + 4096]], axis=0)
+        n = max(1, int(np.searchsorted(most.prod(1) * np.arange(1, len(most) + 1), cells, "right")))
+        pick, dims = order[at : at + n], most[n - 1]
+        at += n
+        wall = np.zeros((*dims, n), bool)
+        step = max(1, 4096 // meshes.shape[1])
+        for k in range(0, n, step):
+            own, found = _touched(meshes[pick[k : k + step]].reshape(-1, 3, 3), size)
+            own = own // meshes.shape[1] + k
+            wall[(*(found - lo[pick[own]]).T, own)] = True
+        surface[pick] = wall.sum((0, 1, 2))
+        free, outside, count = ~wall, np.zeros_like(wall), -1
+        outside[0] = True
+        while count != (count := int(outside.sum())):
+            # Sweeps to and fro along each axis, until none reaches farther.
+            for axis in range(3):
+                to, way = np.moveaxis(outside, axis, 0), np.moveaxis(free, axis, 0)
+                for i in range(1, dims[axis]):
+                    to[i] |= to[i - 1] & way[i]
+                for i in range(dims[axis] - 2, -1, -1):
+                    to[i] |= to[i + 1] & way[i]
+        filled[pick] = int(dims.prod()) - outside.sum((0, 1, 2))
+    return surface, filled
+
+
 def corners(cells: np.ndarray) -> np.ndarray:
     """The distinct corners of unit cells."""
     steps = np.array([[i, j, k] for i in (0, 1) for j in (0, 1) for k in (0, 1)])

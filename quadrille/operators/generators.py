@@ -19,9 +19,7 @@ def _rows(df: DataFrame, key: str, items: list, number: str, fields: tuple[str,
 def box_mesh(df: DataFrame, key: str, box: Box) -> tuple[DataFrame, DataFrame]:
     """Vertices (key, vid, x, y, z) and outward triangles (key, tid, i0, i1, i2)."""
     v = _rows(df, key, box.vertices(), "vid", ("x", "y", "z"))
-    faces = [t for a, b, c, d in FACES_3D for t in ((a, b, c), (a, c, d))]
-    # The first two faces of each axis list their corners outwards; so do the others by construction of the table.
-    f = _rows(df, key, [tuple(F.lit(i).cast("long") for i in t) for t in map(_outward, faces)], "tid", ("i0", "i1", "i2"))
+    f = _rows(df, key, [tuple(F.lit(i).cast("long") for i in t) for t in BOX_TRIANGLES], "tid", ("i0", "i1", "i2"))
     return v, f
 
 
@@ -35,6 +33,10 @@ def _outward(t: tuple[int, int, int]) -> tuple[int, int, int]:
     return t if sum(x * y for x, y in zip(n, a, strict=True)) > 0 else (t[0], t[2], t[1])
 
 
+#: The outward triangles of a box, as numbers of its vertices.
+BOX_TRIANGLES = [_outward(t) for a, b, c, d in FACES_3D for t in ((a, b, c), (a, c, d))]
+
+
 def box_outline(df: DataFrame, key: str, box: Box) -> DataFrame:
     """The twelve edges: key, edge, ax.. bz."""
     v = box.vertices()

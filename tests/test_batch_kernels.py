@@ -65,3 +65,22 @@ def test_times_of_boxes_by_stepping():
     assert ((got <= first + 1e-12) & (got > first - 0.0051))[met.any(1)].mean() > 0.95 and (got[met.any(1)] <= first[met.any(1)] + 1e-12).all()
     assert boxes_toi(*np.array([[[0.0]] * 3, [[1.0]] * 3, [[2.0]] * 3, [[3.0]] * 3]), np.array([[-1.0]] * 3)).tolist() == [1.0]
     assert np.isnan(boxes_toi(*np.array([[[0.0]] * 3, [[1.0]] * 3, [[2.0]] * 3, [[3.0]] * 3]), np.array([[0.0]] * 3))).all()
+
+
+def test_voxels_of_many_meshes_are_those_of_each():
+    from quadrille.kernels import solids
+
+    rng = np.random.default_rng(15)
+    meshes = rng.uniform(-6, 6, (25, 1, 1, 3)) + rng.uniform(0, 5, (25, 4, 3, 3))  # triangles here and there
+    lo, hi = rng.uniform(-5, 5, (2, 25, 3))
+    lo, hi = np.minimum(lo, hi), np.maximum(lo, hi)
+    lo[0], hi[0], hi[1] = (0, 0, 0), (4, 4, 4), lo[1]  # on the grid, and a point
+    bits = np.array([[i, j, k] for i in (0, 1) for j in (0, 1) for k in (0, 1)], float)
+    corners = lo[:, None] + (hi - lo)[:, None] * bits
+    quads = [(0, 1, 3, 2), (4, 5, 7, 6), (0, 1, 5, 4), (2, 3, 7, 6), (0, 2, 6, 4), (1, 3, 7, 5)]
+    boxes = corners[:, [t for a, b, c, d in quads for t in ((a, b, c), (a, c, d))]]
+    for some in (meshes, boxes):
+        want = [solids.surface_voxels(*m.transpose(1, 0, 2), np.zeros(3), 1.0) for m in some]
+        want = [(len(s), len(solids.flood_fill(s))) for s in want]
+        for cells in (1 << 20, 3000, 1):
+            assert list(zip(*(x.tolist() for x in solids.voxel_counts(some, 1.0, cells)), strict=True)) == want
