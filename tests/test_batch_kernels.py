@@ -84,3 +84,25 @@ def test_voxels_of_many_meshes_are_those_of_each():
         want = [(len(s), len(solids.flood_fill(s))) for s in want]
         for cells in (1 << 20, 3000, 1):
             assert list(zip(*(x.tolist() for x in solids.voxel_counts(some, 1.0, cells)), strict=True)) == want
+
+
+def test_boxes_and_triangles_as_the_expression_has_it(spark):
+    from pyspark.sql import functions as F
+
+    from quadrille.functions import pairs
+    from quadrille.functions.boxes import Box
+    from quadrille.functions.vec import V
+    from quadrille.kernels.pairs import box_meets_triangle
+
+    rng = np.random.default_rng(14)
+    lo, hi = _boxes(rng, 400)
+    a, b, c = (rng.uniform(0, 10, (3, 400)) for _ in range(3))
+    lo[:, 0], hi[:, 0], a[:, 0], b[:, 0], c[:, 0] = 0, 1, (1, 1, 1), (2, 1, 1), (1, 2, 2)  # a corner touches
+    columns = [x for v in (lo, hi, a, b, c) for x in v]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(*columns, strict=True))], "id long, " + ", ".join(f"c{k} double" for k in range(15)))
+    v = [V(*(f"c{3 * k + i}" for i in range(3))) for k in range(5)]
+    want = {r[0] for r in df.where(pairs.box_meets_triangle(Box(v[0], v[1]), *v[2:])).select("id").collect()}
+    bounds = ((np.minimum(np.minimum(a, b), c) <= hi) & (np.maximum(np.maximum(a, b), c) >= lo)).all(0)
+    got = set(np.flatnonzero(box_meets_triangle(lo, hi, a, b, c) & bounds).tolist())
+    assert got == want and 0 in got and 50 < len(got) < 350
+    assert not len(box_meets_triangle(*np.zeros((5, 3, 0))))
